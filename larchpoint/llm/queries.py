@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larchpoint.llm import bpe, langid, packing
+from larchpoint.llm import ann, bpe, langid, packing, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op3_ann": ann.op3_ann,
         "op6_langid": langid.op6_langid,
+        "op8_topk": topk.op8_topk,
         "op9_bpe": bpe.op9_bpe,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_topk": topk.OP8_SQL}
