@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larchpoint.llm import ann, bpe, langid, packing, topk, toxicity
+from larchpoint.llm import ann, bpe, chat, langid, packing, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat": chat.op1_chat,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_ann": ann.op3_ann,
         "op6_langid": langid.op6_langid,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk": topk.OP8_SQL}
+    return {"op1_chat": chat.OP1_SQL, "op8_topk": topk.OP8_SQL}
