@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larchpoint.llm import ann, bpe, chat, langid, packing, topk, toxicity
+from larchpoint.llm import ann, bpe, chat, langid, packing, pii, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat": chat.op1_chat,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_ann": ann.op3_ann,
+        "op4_pii": pii.op4_pii,
         "op6_langid": langid.op6_langid,
         "op8_topk": topk.op8_topk,
         "op9_bpe": bpe.op9_bpe,
