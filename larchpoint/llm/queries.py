@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larchpoint.llm import ann, bpe, chat, langid, packing, pii, topk, toxicity
+from larchpoint.llm import ann, bpe, chat, langid, minhash, packing, pii, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ann": ann.op3_ann,
         "op4_pii": pii.op4_pii,
         "op6_langid": langid.op6_langid,
+        "op7_minhash": minhash.op7_minhash,
         "op8_topk": topk.op8_topk,
         "op9_bpe": bpe.op9_bpe,
         "op10_packing": packing.op10_packing,
