@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larchpoint.llm import ann, bpe, chat, langid, minhash, packing, pii, topk, toxicity
+from larchpoint.llm import ann, bpe, chat, langid, minhash, packing, pii, suffixdedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_ann": ann.op3_ann,
         "op4_pii": pii.op4_pii,
+        "op5_suffix_dedup": suffixdedup.op5_suffix_dedup,
         "op6_langid": langid.op6_langid,
         "op7_minhash": minhash.op7_minhash,
         "op8_topk": topk.op8_topk,
