@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from larchpoint.llm import ann, bpe, chat, langid, minhash, packing, pii, suffixdedup, topk, toxicity
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": topk.op8_topk,
         "op9_bpe": bpe.op9_bpe,
         "op10_packing": packing.op10_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
