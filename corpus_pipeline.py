@@ -31,7 +31,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near copies; of rows that repeat an id, one."""
     kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id").select(*docs.columns)
+    named = docs.join(kept.hint("merge"), "doc_id").select(*docs.columns)
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
     return named.withColumn("_nth", nth).where("_nth = 1").drop("_nth").unionByName(docs.where("doc_id IS NULL"))
 

@@ -16,6 +16,9 @@ segment, so equal windows lie in segments of the same gram, wherever they start.
 3. A bucket with more than HOT classes would meet in one task; its windows are hashed (128 bits) and counted one by
    one instead, which gives the same answer.
 
+Joins with tables that grow with the corpus are sort-merge joins at every size; nothing but models of fixed size is
+broadcast.
+
 Null texts count as empty; texts shorter than LENGTH keep all bytes; very long texts are cut in segments like others.
 Repeated rows repeat each other's windows, so they lose them all. Rows without doc_id are handled by their text; if
 one doc_id stands for several texts, a row also loses the byte positions that the others lose. Order has no effect.
@@ -291,9 +294,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     classes = every.groupBy("gram", "kind").agg(F.count("*").alias("n"), F.max(F.col("tied").cast("int")).alias("tied"), F.first("id").alias("id"), F.first("nameless").alias("nameless"), F.first("start").alias("start"), F.first("windows").alias("windows"))
     classes = keep(classes.where("n > 0"))
     grams = classes.groupBy("gram").agg(F.sum("n").alias("total"), F.max("tied").alias("any_tied"), F.count("*").alias("classes"), F.min("n").alias("least_n")).where("total > 1 OR any_tied = 1")
-    known = keep(classes.drop("tied").join(grams, "gram"))
+    known = keep(classes.drop("tied").join(grams.hint("merge"), "gram"))
     # Classes with several members: every occurrence is a repeat as a whole.
-    whole = every.join(known.where("n > 1").select("gram", "kind"), ["gram", "kind"]).select("id", "nameless", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + length - 1).alias("hi"))
+    whole = every.join(known.where("n > 1").select("gram", "kind").hint("merge"), ["gram", "kind"]).select("id", "nameless", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + length - 1).alias("hi"))
     # The others need their bytes, and so do those that they may share windows with.
     asked = known.where("least_n = 1 AND (classes > 1 OR any_tied = 1)")
     places = asked.groupBy("id", "nameless").agg(F.collect_list(F.struct("gram", "n", "start", "windows", (F.col("classes") > hot).alias("hot"))).alias("places"))
@@ -309,7 +312,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         kinds = [pa.int64()] * 3 + [pa.bool_(), pa.int64(), pa.bool_(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], ["gram", "n", "id", "nameless", "start", "hot", "data"])
 
-    strings = keep(map_batches(docs.join(places, ["id", "nameless"]), fetch, "gram long, n long, id long, nameless boolean, start long, hot boolean, data binary"))
+    strings = keep(map_batches(docs.join(places.hint("merge"), ["id", "nameless"]), fetch, "gram long, n long, id long, nameless boolean, start long, hot boolean, data binary"))
     return whole.unionByName(compare(strings.where("NOT hot"), length, spill)).unionByName(count_windows(strings.where("hot"), length))
 
 
@@ -317,7 +320,7 @@ def with_ranges(docs: DataFrame, length: int, gram: int, hot: int, spill: int) -
     """docs with a column of the ranges to remove."""
     named = docs.withColumns({"id": F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"])), "nameless": docs["doc_id"].isNull()})
     found = keep(repeats(named.select("id", "nameless", "text"), length, gram, hot, spill).groupBy("id", "nameless").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
-    return named.join(found, ["id", "nameless"], "left").drop("id", "nameless")
+    return named.join(found.hint("merge"), ["id", "nameless"], "left").drop("id", "nameless")
 
 
 def remove(data: bytes, ranges: list[dict] | None) -> tuple[bytes, int]:
