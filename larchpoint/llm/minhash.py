@@ -6,9 +6,10 @@ all ROWS x BANDS coordinates. Equal sets are one node. Nodes that share a band a
 
 1. In every band's group the smallest node is compared with all others (a star, linear in the group).
 2. Connected components of the confirmed links are found.
-3. Groups that still hold nodes of several components are looked at again: pairs across components whose signatures
-   agree in at least MIN_AGREE coordinates are compared, first the most similar one of each node and component, then,
-   after joining components anew, all that remain. No pair is cut off.
+3. Stars that still hold nodes of several components are compared in full: two nodes that share a band share its
+   smallest node, so they are in its star. A star is cut into blocks of about STAR_BLOCK nodes, a task counts the
+   common shingles of two blocks by matrix products, and only links that join components are emitted, at most one for
+   each node. No pair is cut off.
 
 Links are confirmed on whole sets, computed from whole texts. Verification deals the members of a hub over salted
 groups of at most SALT members, each with a copy of the hub's text, so no task holds a large group.
@@ -26,15 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larchpoint.llm.common import bound_batches, column, keep, map_batches, table
 
 BANDS, ROWS = 32, 4
-#: Pairs of signatures that agree in fewer coordinates aren't compared in step 3: 5.6 standard deviations below 0.8.
-MIN_AGREE = 77
+#: Members of a hub verified together, nodes of a star compared together, shingles of one matrix.
 SALT = 128
+STAR_BLOCK = 256
+FEATURES = 4096
 SHINGLE_WORDS = 5
 #: Similarity as a fraction of integers.
 SIMILAR = (80, 100)
@@ -141,6 +143,83 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, similar: tuple[int, int])
     return both.mapInArrow(run, "hub long, id long")
 
 
+def open_stars(tested: DataFrame, labels: DataFrame) -> DataFrame:
+    """hub, id, label of all nodes of the stars that hold nodes of several components, the hubs among them."""
+    rows = keep(labelled(tested.unionByName(tested.select("hub", F.col("hub").alias("id")).distinct()), labels))
+    several = rows.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    return rows.join(several.select("hub", "n"), "hub")
+
+
+def compare_stars(stars: DataFrame, docs: DataFrame, n: int, similar: tuple[int, int]) -> DataFrame:
+    """Links between components within a star. A star is cut into blocks; a task compares two blocks, or one in itself."""
+    blocks = F.ceil(F.col("n") / STAR_BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    rows = stars.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))}).select("hub", "id", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    texts = docs.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "id")
+    both = rows.join(texts, "id").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def out() -> list[pa.RecordBatch]:
+            found = between(held, key[1] == key[2], similar) if held else []
+            return [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["hub", "id"])] if found else []
+
+        for batch in batches:
+            for *at, id_, label, own, text in zip(*(column(batch, c).to_pylist() for c in ("hub", "i", "j", "id", "label", "own", "text")), strict=True):
+                if at != key:
+                    yield from out()
+                    key, held = at, []
+                held.append((id_, label, own == key[1], shingles(text, n)))
+        yield from out()
+
+    return both.select("hub", "i", "j", "id", "label", "own", "text").mapInArrow(run, "hub long, id long")
+
+
+def between(rows: list[tuple], inside: bool, similar: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links that join the components of rows (id, label, whether in the first block, set): enough to connect all that
+    are linked, not every one."""
+    rows = [r for r in rows if len(r[3])]
+    if len({r[1] for r in rows}) < 2:
+        return []
+    sizes = np.array([len(r[3]) for r in rows], np.float32)
+    _, feature, times = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True, return_counts=True)
+    who = np.repeat(np.arange(len(rows)), sizes.astype(np.int64))
+    several = times[feature] > 1
+    feature, who = feature[several], who[several]
+    names = np.cumsum(times > 1)
+    feature = names[feature] - 1
+    order = np.argsort(feature, kind="stable")
+    feature, who = feature[order], who[order]
+    same = np.zeros((len(rows), len(rows)), np.float32)
+    total = int(feature[-1]) + 1 if len(feature) else 0
+    for lo in range(0, total, FEATURES):
+        a, b = np.searchsorted(feature, [lo, lo + FEATURES])
+        part = np.zeros((len(rows), min(FEATURES, total - lo)), np.float32)
+        part[who[a:b], feature[a:b] - lo] = 1
+        same += part @ part.T
+    union = sizes[:, None] + sizes - same
+    label, first = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    linked = (similar[1] * same.astype(np.float64) >= similar[0] * union.astype(np.float64)) & (label[:, None] != label)
+    if not inside:
+        linked &= first[:, None] & ~first
+    parent = {int(x): int(x) for x in label}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for x, y in zip(*np.nonzero(linked), strict=True):
+        a, b = root(int(label[x])), root(int(label[y]))
+        if a != b:
+            parent[a] = b
+            out.append((min(rows[x][0], rows[y][0]), max(rows[x][0], rows[y][0])))
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, label: for every node of the links the smallest node it is connected with (alternating large and small stars)."""
     edges = keep(links.select(F.greatest("hub", "id").alias("u"), F.least("hub", "id").alias("v")).where("u <> v").distinct())
@@ -161,10 +240,8 @@ def components(links: DataFrame) -> DataFrame:
         state = tuple(now)
 
 
-def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """rows with the label of their id, by default the id itself."""
-    if labels is None:
-        return rows.withColumn("label", F.col("id"))
     return rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
@@ -176,34 +253,12 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, similar: tuple[int,
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * ROWS + 1, ROWS)))
     bands = nodes.select("id", F.explode(keys).alias("band"))
     shared = bands.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").drop("last")
-    members = keep(bands.join(shared, "band"))
-    tested = keep(members.where("id <> hub").select("hub", "id").distinct())
+    tested = keep(bands.join(shared, "band").where("id <> hub").select("hub", "id").distinct())
     links = keep(verify(tested, docs, n, similar))
     labels = components(links)
-    for every_pair in (False, True):
-        rows = labelled(members.select("band", "id"), labels)
-        open_bands = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-        rows = keep(rows.join(open_bands, "band", "left_semi"))
-        if rows.isEmpty():
-            break
-        left, right = rows.select("band", "id", "label"), rows.select("band", F.col("id").alias("other"), F.col("label").alias("other_label"))
-        pairs = left.join(right, "band").where("label < other_label").select(F.least("id", "other").alias("hub"), F.greatest("id", "other").alias("id"), "label", "other_label").distinct()
-        pairs = pairs.join(tested, ["hub", "id"], "left_anti")
-        sig = nodes.groupBy("id").agg(F.first("sig").alias("sig"))
-        pairs = pairs.join(sig, "id").join(sig.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-        agree = F.size(F.filter(F.zip_with("sig", "hub_sig", lambda a, b: a == b), lambda x: x))
-        pairs = keep(pairs.withColumn("agree", agree).where(F.col("agree") >= MIN_AGREE).select("hub", "id", "label", "other_label", "agree"))
-        if not every_pair:
-            best = Window.partitionBy("id", "label", "other_label").orderBy(F.desc("agree"), "hub")
-            pairs = pairs.withColumn("nth", F.row_number().over(best)).where("nth = 1")
-        pairs = keep(pairs.select("hub", "id"))
-        if pairs.isEmpty():
-            break
-        tested = tested.unionByName(pairs)
-        more = keep(verify(pairs, docs, n, similar))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+    more = keep(compare_stars(open_stars(tested, labels), docs, n, similar))
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     out = every.select("doc_id", "n_shingles", "print").join(nodes.select("print", "id"), "print", "left")
     out = labelled(out, labels)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
