@@ -109,15 +109,14 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
     return map_batches(docs, run, "doc_id long, n_shingles long, print binary, sig array<int>")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, n: int, similar: tuple[int, int]) -> DataFrame:
-    """The pairs (hub, id) whose sets are similar enough."""
-    texts = docs.where(F.col("doc_id").isNotNull())
-    members = pairs.join(texts.withColumnRenamed("doc_id", "id"), "id").select("hub", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("salt"), "id", "text")
+def verify(pairs: DataFrame, texts: DataFrame, n: int, similar: tuple[int, int]) -> DataFrame:
+    """The pairs (hub, id) whose sets are similar enough. texts: id, text."""
+    members = pairs.join(texts.hint("merge"), "id").select("hub", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("salt"), "id", "text")
     groups = pairs.groupBy("hub").agg(F.count("*").alias("n")).select("hub", F.ceil(F.col("n") / SALT).cast("long").alias("salts"))
-    hubs = groups.join(texts.withColumnRenamed("doc_id", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("id"), "text")
+    hubs = groups.join(texts.withColumnRenamed("id", "hub").hint("merge"), "hub").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("id"), "text")
     members = members.join(groups, "hub").select("hub", F.pmod("salt", "salts").alias("salt"), "id", "text")
     both = hubs.unionByName(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("id").asc_nulls_first())
-    bound_batches(docs.sparkSession)
+    bound_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -150,14 +149,13 @@ def open_stars(tested: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(several.select("hub", "n"), "hub")
 
 
-def compare_stars(stars: DataFrame, docs: DataFrame, n: int, similar: tuple[int, int]) -> DataFrame:
+def compare_stars(stars: DataFrame, texts: DataFrame, n: int, similar: tuple[int, int]) -> DataFrame:
     """Links between components within a star. A star is cut into blocks; a task compares two blocks, or one in itself."""
     blocks = F.ceil(F.col("n") / STAR_BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     rows = stars.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))}).select("hub", "id", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    texts = docs.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "id")
-    both = rows.join(texts, "id").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    bound_batches(docs.sparkSession)
+    both = rows.join(texts.hint("merge"), "id").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    bound_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -254,9 +252,12 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, similar: tuple[int,
     bands = nodes.select("id", F.explode(keys).alias("band"))
     shared = bands.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").drop("last")
     tested = keep(bands.join(shared, "band").where("id <> hub").select("hub", "id").distinct())
-    links = keep(verify(tested, docs, n, similar))
+    # Texts of all candidates, once; by sorting at every size, as the candidates grow with the corpus.
+    ids = tested.select(F.explode(F.array("hub", "id")).alias("doc_id")).distinct()
+    texts = keep(docs.join(ids.hint("merge"), "doc_id").select(F.col("doc_id").alias("id"), "text"))
+    links = keep(verify(tested, texts, n, similar))
     labels = components(links)
-    more = keep(compare_stars(open_stars(tested, labels), docs, n, similar))
+    more = keep(compare_stars(open_stars(tested, labels), texts, n, similar))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     out = every.select("doc_id", "n_shingles", "print").join(nodes.select("print", "id"), "print", "left")
