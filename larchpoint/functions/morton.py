@@ -63,7 +63,8 @@ def encode(x: Column, y: Column, z: Column, box: Bounds) -> Column:
 
 def decode(code: Column, box: Bounds) -> list[Column]:
     """x, y, z of a code; coordinates pass through single precision."""
-    return [F.lit(a) + (c.cast("float") / F.lit(float(TOP)).cast("float")).cast("double") * F.lit(b - a) for c, a, b in zip(axes(code), box.low, box.high, strict=True)]
+    # Spark divides in double precision; rounding the quotient of two floats to float gives float division.
+    return [F.lit(a) + (c.cast("float") / F.lit(float(TOP)).cast("float")).cast("float").cast("double") * F.lit(b - a) for c, a, b in zip(axes(code), box.low, box.high, strict=True)]
 
 
 def bit_length(x: Column) -> Column:

@@ -40,22 +40,28 @@ def offsets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ox long, oy long, oz long")
 
 
+def with_axes(cells: DataFrame, own: str = "cell", to: str = "j") -> DataFrame:
+    """cells with their integer coordinates, in columns of their own: nested bit expressions would grow exponentially."""
+    return cells.withColumns({f"{to}{a}": c for a, c in zip("xyz", morton.axes(F.col(own)), strict=True)})
+
+
 def neighbours(cells: DataFrame, own: str = "cell", level: str = "level") -> DataFrame:
     """cells with a row for each of their neighbour places inside the cube, in column `there`."""
-    out = cells.crossJoin(F.broadcast(offsets(cells.sparkSession)))  # 26 rows
-    at = [c + F.col(o) for c, o in zip(morton.axes(F.col(own)), ("ox", "oy", "oz"), strict=True)]
+    out = with_axes(cells, own).crossJoin(F.broadcast(offsets(cells.sparkSession)))  # 26 rows
+    out = out.withColumns({f"n{a}": F.col(f"j{a}") + F.col(f"o{a}") for a in "xyz"})
     top = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(level).cast("int"))
     inside = F.lit(True)
-    for c in at:
-        inside = inside & (c >= 0) & (c < top)
-    return out.where(inside).withColumn("there", morton.interleave(*at)).drop("ox", "oy", "oz")
+    for a in "xyz":
+        inside = inside & (F.col(f"n{a}") >= 0) & (F.col(f"n{a}") < top)
+    there = morton.interleave(F.col("nx"), F.col("ny"), F.col("nz"))
+    return out.where(inside).withColumn("there", there).drop(*(f"{k}{a}" for k in "jno" for a in "xyz"))
 
 
 def adjacent(a: str, b: str):
-    """Whether two cells of one level touch or are the same."""
+    """Whether two cells of one level touch or are the same, by their coordinates (columns ax, bx, ...)."""
     out = F.lit(True)
-    for x, y in zip(morton.axes(F.col(a)), morton.axes(F.col(b)), strict=True):
-        out = out & (F.abs(x - y) <= 1)
+    for x in "xyz":
+        out = out & (F.abs(F.col(a + x) - F.col(b + x)) <= 1)
     return out
 
 
@@ -79,12 +85,12 @@ def dense_cells(placed: DataFrame, depth: int) -> DataFrame:
 
 def v_list(cells: DataFrame) -> DataFrame:
     """target and source cell ids: children of the parent and of its neighbours that don't touch the cell."""
-    up = cells.where("level > 0").withColumn("up", F.shiftright("cell", 3)).select("cell_id", "level", "cell", "up")
-    near = neighbours(up.select((F.col("level") - 1).alias("plevel"), "up").distinct(), "up", "plevel").select("plevel", "up", "there")
-    near = near.unionByName(up.select((F.col("level") - 1).alias("plevel"), "up").distinct().withColumn("there", F.col("up"))).distinct()
-    target = up.select(F.col("cell_id").alias("target"), (F.col("level") - 1).alias("plevel"), "up", F.col("cell").alias("tcell"))
-    source = up.select(F.col("cell_id").alias("source"), (F.col("level") - 1).alias("plevel"), F.col("up").alias("there"), F.col("cell").alias("scell"))
-    return target.join(near, ["plevel", "up"]).join(source, ["plevel", "there"]).where(~adjacent("tcell", "scell")).select("target", "source")
+    up = keep(with_axes(cells.where("level > 0").select("cell_id", F.col("level") - 1, "cell").toDF("cell_id", "plevel", "cell")).withColumn("up", F.shiftright("cell", 3)).drop("cell"))
+    parents = up.select("plevel", "up").distinct()
+    near = neighbours(parents, "up", "plevel").select("plevel", "up", "there").unionByName(parents.withColumn("there", F.col("up")))
+    target = up.select(F.col("cell_id").alias("target"), "plevel", "up", *(F.col(f"j{a}").alias(f"t{a}") for a in "xyz"))
+    source = up.select(F.col("cell_id").alias("source"), "plevel", F.col("up").alias("there"), *(F.col(f"j{a}").alias(f"s{a}") for a in "xyz"))
+    return target.join(near, ["plevel", "up"]).join(source, ["plevel", "there"]).where(~adjacent("t", "s")).select("target", "source")
 
 
 def u_list(cells: DataFrame, depth: int, with_self: bool = True) -> DataFrame:
