@@ -8,11 +8,13 @@ segment, so equal windows lie in segments of the same gram, wherever they start.
 
 1. Equal segments are counted as one class (with partial aggregation, so a passage in a third of all rows is no hot
    key). A gram seen once can't hold a repeat. All windows of a class with several members are repeats.
-2. Classes with one member are compared with the other classes of their bucket. For this the bucket's collection is
-   built column by column from the right: each round inserts one symbol of every string, by LF mapping, into the
-   Burrows-Wheeler transform, and updates the longest common prefixes (up to LENGTH) from range minima of the last
-   round. Columns larger than SPILL_BYTES live in sequential files of the task. Rounds are bounded by a segment's
-   length, LENGTH + RUN - 1. A window repeats if its suffix shares LENGTH symbols with a neighbour.
+2. Classes with one member are compared with the other classes of their bucket. Windows whose 64-bit hash occurs once
+   in the bucket can't repeat and are left out; what remains of the strings is cut into pieces of at most PIECE windows,
+   and equal pieces are one. The pieces' collection is built column by column from the right: each round inserts one
+   symbol of every piece, by LF mapping, into the Burrows-Wheeler transform, and updates the longest common prefixes
+   (up to LENGTH) from range minima of the last round. The transform is held as the sorted places of each of its
+   symbols, so an LF step is a binary search. Columns larger than SPILL_BYTES live in sequential files of the task.
+   Rounds are bounded by a piece's length. A window repeats if its suffix shares LENGTH symbols with a neighbour.
 3. A bucket with more than HOT classes would meet in one task; its windows are hashed (128 bits) and counted one by
    one instead, which gives the same answer.
 
@@ -42,9 +44,11 @@ LENGTH = 200
 GRAM = 24
 #: Windows of a segment at most.
 RUN = 512
+#: Windows of a piece at most.
+PIECE = 200
 #: Classes of a bucket that are compared in one task, bytes of the buckets compared at once, bytes of a column in memory.
 HOT = 1024
-BATCH = 1 << 19
+BATCH = 1 << 21
 SPILL_BYTES = 8 << 20
 
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -138,36 +142,34 @@ def transform(strings: list[bytes], cap: int, spill: int = SPILL_BYTES) -> tuple
     length = np.array([len(x) for x in strings])
     text = np.frombuffer(b"".join(strings), np.uint8)
     used = np.unique(text)
-    small = len(used) < 255
-    code = np.zeros(256, np.uint8 if small else np.uint16)
+    code = np.zeros(256, np.int64)
     code[used] = np.arange(1, len(used) + 1)
-    text, kind = code[text], np.uint8 if cap < 255 else np.uint16
-    end = np.cumsum(length)
+    end, kind = np.cumsum(length), np.uint8 if cap < 255 else np.uint16
+    # A place in the BWT and its symbol, as one number: sorted, these are the symbols' places one symbol after the other.
+    bits = max(1, int(len(text) + n).bit_length())
+    wide = np.uint32 if bits + int(len(used)).bit_length() <= 32 else np.uint64
+    mask, bits = wide((1 << bits) - 1), wide(bits)
     with tempfile.TemporaryDirectory() as folder:
-        bwt, lcp = Store(spill, folder), Store(spill, folder)
-        first = np.zeros(n, text.dtype)
+        places, lcp = Store(spill, folder), Store(spill, folder)
+        symbol = np.zeros(n, np.int64)
         full = length > 0
-        first[full] = text[end[full] - 1]
-        bwt.write(first)
+        symbol[full] = code[text[end[full] - 1]]
+        places.write(np.sort((symbol.astype(wide) << bits) | np.arange(n, dtype=wide)))
         lcp.write(np.zeros(n + 1, kind))  # one more, so that ranges may end after the last
-        active, at = np.flatnonzero(full), np.flatnonzero(full)
-        j = 0
+        active = at = np.flatnonzero(full)
+        c, j = symbol[full], 0
         while len(active):
             j += 1
-            b, lc = bwt.read(), lcp.read()
-            order = np.argsort(b, kind="stable")
-            place = np.empty(len(b), np.int32)
-            place[order] = np.arange(len(b), dtype=np.int32)
-            finished = int(np.count_nonzero(b == 0))
-            c, i = b[at], place[at].astype(np.int64)
+            held, lc = places.read(), lcp.read()
+            finished = int(np.searchsorted(held, wide(1) << bits))
+            i = np.searchsorted(held, (c.astype(wide) << bits) | at.astype(wide))
             new = n + i - finished
             # Neighbours in the new order that start with the same symbol, and the range minima between their tails.
-            before = np.maximum(i - 1, 0)
-            has_before = (i > 0) & (b[order[before]] == c)
-            after = np.minimum(i + 1, len(b) - 1)
-            has_after = (i + 1 < len(b)) & (b[order[after]] == c)
-            lo = np.concatenate((order[before[has_before]] + 1, at[has_after] + 1))
-            hi = np.concatenate((at[has_before] + 1, order[after[has_after]] + 1))
+            before, after = held[np.maximum(i - 1, 0)], held[np.minimum(i + 1, len(held) - 1)]
+            has_before = (i > 0) & (before >> bits == c)
+            has_after = (i + 1 < len(held)) & (after >> bits == c)
+            lo = np.concatenate(((before[has_before] & mask).astype(np.int64) + 1, at[has_after] + 1))
+            hi = np.concatenate((at[has_before] + 1, (after[has_after] & mask).astype(np.int64) + 1))
             common = np.zeros(len(lo), kind)
             if len(lo):
                 by = np.argsort(lo)
@@ -175,24 +177,34 @@ def transform(strings: list[bytes], cap: int, spill: int = SPILL_BYTES) -> tuple
                 pairs[::2], pairs[1::2] = lo[by], hi[by]
                 common[by] = np.minimum(np.minimum.reduceat(lc, pairs)[::2], cap - 1) + 1
             k = int(has_before.sum())
-            old = np.ones(len(b) + len(active), bool)
-            old[new] = False
-            more = np.zeros(len(active), text.dtype)
             left = length[active] > j
-            more[left] = text[end[active[left]] - j - 1]
-            b2, l2 = np.empty(len(old), text.dtype), np.zeros(len(old) + 1, kind)
-            b2[old], b2[new] = b, more
+            more = np.zeros(len(active), np.int64)
+            more[left] = code[text[end[active[left]] - j - 1]]
+            # Old places move behind the new ones before them; the new symbols join the places of their kind.
+            old = np.ones(len(held) + len(active), bool)
+            old[new] = False
+            moved = (held & ~mask) | np.flatnonzero(old).astype(wide)[held & mask]
+            fresh = np.sort((more.astype(wide) << bits) | new.astype(wide))
+            held = np.empty(len(old), wide)
+            behind = np.ones(len(old), bool)
+            put = np.searchsorted(moved, fresh) + np.arange(len(fresh))
+            behind[put] = False
+            held[behind], held[put] = moved, fresh
+            l2 = np.zeros(len(old) + 1, kind)
             l2[:-1][old] = lc[:-1]
             l2[new] = 0
             l2[new[has_before]] = common[:k]
             l2[new[has_after] + 1] = common[k:]
-            bwt.write(b2)
+            places.write(held)
             lcp.write(l2)
-            active, at = active[left], new[left]
-        b, lc = bwt.read().copy(), lcp.read().copy()
-        bwt.drop()
+            active, at, c = active[left], new[left], more[left]
+        held, lc = places.read().copy(), lcp.read().copy()
+        places.drop()
         lcp.drop()
-    return b, lc, np.argsort(b, kind="stable")
+    order = (held & mask).astype(np.int64)
+    b = np.empty(len(held), np.uint16)
+    b[order] = held >> bits
+    return b, lc, order
 
 
 def repeated(strings: list[bytes], length: int = LENGTH, spill: int = SPILL_BYTES) -> list[np.ndarray]:
@@ -207,12 +219,61 @@ def repeated(strings: list[bytes], length: int = LENGTH, spill: int = SPILL_BYTE
     again = np.maximum(lcp[:-1], lcp[1:]) >= length
     at, size = np.arange(len(strings)), np.array([len(x) for x in strings])
     which = np.arange(len(strings))
+    ends = np.cumsum([0, *map(len, out)])
+    flat = np.zeros(ends[-1], bool)
     for done in range(int(size.max()) + 1):
         if done >= length:
-            for s in which[again[at]]:
-                out[s][size[s] - done] = True
+            flat[ends[which] + size[which] - done] = again[at]
         go = size[which] > done
         at, which = step[at[go]], which[go]
+    return [flat[a:e] for a, e in zip(ends, ends[1:], strict=False)]
+
+
+def seen_twice(h: np.ndarray) -> np.ndarray:
+    """Which of the numbers occur more than once."""
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    out = np.empty(len(h), bool)
+    out[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    return out
+
+
+def repeats_among(strings: list[bytes], several: list[bool], length: int = LENGTH, spill: int = SPILL_BYTES, piece: int = PIECE) -> list[tuple[int, int, int]]:
+    """(string, first, one past the last) of runs of windows that also start elsewhere; several: strings that occur more
+    than once anyway, for which nothing is returned. Runs may touch."""
+    size = np.array([len(x) for x in strings])
+    data = b"".join(strings)
+    windows = size - length + 1
+    first = np.cumsum(windows) - windows
+    nth = np.arange(windows.sum()) - np.repeat(first, windows)
+    who = np.repeat(np.arange(len(strings)), windows)
+    begin = np.repeat(np.cumsum(size) - size, windows) + nth
+    h = rolling(np.frombuffer(data, np.uint8), length)[begin]
+    maybe = seen_twice(h)
+    # Pieces: neighbouring windows of one string that may repeat.
+    edge = np.flatnonzero((maybe[1:] != maybe[:-1]) | (who[1:] != who[:-1])) + 1
+    a, e = np.concatenate(([0], edge)), np.concatenate((edge, [len(maybe)]))
+    a, e = a[maybe[a]], e[maybe[a]]
+    parts = -(-(e - a) // piece)
+    k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    a, e = np.repeat(a, parts) + k * piece, np.minimum(np.repeat(e, parts), np.repeat(a, parts) + (k + 1) * piece)
+    number: dict[bytes, int] = {}
+    kind = np.array([number.setdefault(data[x:y], len(number)) for x, y in zip(begin[a].tolist(), (begin[e - 1] + length).tolist(), strict=True)], np.int64)
+    if not len(kind):
+        return []
+    often = np.bincount(kind, 1 + np.array(several)[who[a]]) > 1
+    # Pieces that occur once need the others that may hold one of their windows.
+    lone = ~often[kind]
+    at = np.repeat(np.arange(len(a)), e - a)
+    inside = np.repeat(a, e - a) + np.arange(len(at)) - np.repeat(np.cumsum(e - a) - (e - a), e - a)
+    asked = np.isin(h[inside], h[inside[lone[at]]])
+    needed = np.unique(kind[at[asked]])
+    every = list(number)
+    masks = dict(zip(needed.tolist(), repeated([every[x] for x in needed], length, spill), strict=True)) if lone.any() else {}
+    out = []
+    for x, (w, lo, hi) in zip(kind.tolist(), zip(who[a].tolist(), nth[a].tolist(), (nth[e - 1] + 1).tolist(), strict=True), strict=True):
+        if not several[w]:
+            out += [(w, lo, hi)] if often[x] else [(w, lo + p, lo + q) for p, q in runs(masks[x])]
     return out
 
 
@@ -237,11 +298,8 @@ def compare(strings: DataFrame, length: int, spill: int) -> DataFrame:
         held: list[tuple] = []
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            found = []
-            for r, mask in zip(rows, repeated([r[5] for r in rows], length, spill), strict=True):
-                if r[1] == 1:
-                    found += [(r[2], r[3], r[4] + a, r[4] + e - 1 + length) for a, e in runs(mask)]
-            return ranges_of(found)
+            found = repeats_among([r[5] for r in rows], [r[1] > 1 for r in rows], length, spill)
+            return ranges_of([(*rows[w][2:4], rows[w][4] + a, rows[w][4] + e - 1 + length) for w, a, e in found])
 
         size, last = 0, None
         for batch in batches:
