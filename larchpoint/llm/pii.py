@@ -265,9 +265,9 @@ def with_terms(docs: DataFrame, terms: DataFrame, fn, schema: str, limit: int =
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 2)], ["doc_id", "term"])
 
     # A document has as many rows here as it has terms; repeated ids share theirs, which only adds terms found anyway.
-    per_doc = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, "doc_id long, term long").join(terms, "term").groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
-    joined = docs.join(per_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    return map_batches(joined, lambda b: fn(b.drop_columns(["terms"]), [frozenset(x or ()) for x in column(b, "terms").to_pylist()], None), schema)
+    per_doc = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, "doc_id long, term long").join(terms, "term").groupBy("doc_id").agg(F.collect_set("term").alias("__terms"))
+    joined = docs.join(per_doc.withColumnRenamed("doc_id", "__id"), docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
+    return map_batches(joined, lambda b: fn(b.drop_columns(["__terms"]), [frozenset(x or ()) for x in column(b, "__terms").to_pylist()], None), schema)
 
 
 def digests(batch: pa.RecordBatch, terms: list, known: dict | None) -> pa.RecordBatch:

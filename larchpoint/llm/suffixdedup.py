@@ -375,10 +375,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
 
 
 def with_ranges(docs: DataFrame, length: int, gram: int, hot: int, spill: int) -> DataFrame:
-    """docs with a column of the ranges to remove."""
-    named = docs.withColumns({"id": F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"])), "nameless": docs["doc_id"].isNull()})
-    found = keep(repeats(named.select("id", "nameless", "text"), length, gram, hot, spill).groupBy("id", "nameless").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
-    return named.join(found.hint("merge"), ["id", "nameless"], "left").drop("id", "nameless")
+    """docs with a column __ranges of the ranges to remove."""
+    named = docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"])), "__nameless": docs["doc_id"].isNull()})
+    plain = named.select(F.col("__id").alias("id"), F.col("__nameless").alias("nameless"), "text")
+    found = keep(repeats(plain, length, gram, hot, spill).groupBy("id", "nameless").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))).toDF("__id", "__nameless", "__ranges")
+    return named.join(found.hint("merge"), ["__id", "__nameless"], "left").drop("__id", "__nameless")
 
 
 def remove(data: bytes, ranges: list[dict] | None) -> tuple[bytes, int]:
@@ -401,7 +402,7 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for text, ranges in zip(column(batch, "text").to_pylist(), column(batch, "ranges").to_pylist(), strict=True):
+        for text, ranges in zip(column(batch, "text").to_pylist(), column(batch, "__ranges").to_pylist(), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
             left, spans = remove(data, ranges)
             rows.append((len(data), len(data) - len(left), spans, hashlib.sha256(left).hexdigest()))
@@ -416,12 +417,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with repeated passages removed from `text`; a character that loses a byte goes as a whole; null stays null."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t if t is None or not r else remove(t.encode("utf-8", "surrogatepass"), r)[0].decode("utf-8", "ignore") for t, r in zip(column(batch, "text").to_pylist(), column(batch, "ranges").to_pylist(), strict=True)]
-        batch = batch.drop_columns(["ranges"])
+        texts = [t if t is None or not r else remove(t.encode("utf-8", "surrogatepass"), r)[0].decode("utf-8", "ignore") for t, r in zip(column(batch, "text").to_pylist(), column(batch, "__ranges").to_pylist(), strict=True)]
+        batch = batch.drop_columns(["__ranges"])
         return batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
     joined = with_ranges(docs, length, GRAM, HOT, SPILL_BYTES)
-    return map_batches(joined.select(*docs.columns, "ranges"), run, docs.schema)
+    return map_batches(joined.select(*docs.columns, "__ranges"), run, docs.schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
