@@ -29,11 +29,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies; of rows that repeat an id, one."""
+    """The document with the smallest id of every group of near copies; of rows that repeat an id and a text, one.
+
+    Rows without an id are no copies of others, as nothing could name the group; all of them stay.
+    """
     kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     named = docs.join(kept.hint("merge"), "doc_id").select(*docs.columns)
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return named.withColumn("_nth", nth).where("_nth = 1").drop("_nth").unionByName(docs.where("doc_id IS NULL"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy("doc_id"))
+    return named.withColumn("__nth", nth).where("__nth = 1").drop("__nth").unionByName(docs.where("doc_id IS NULL"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
