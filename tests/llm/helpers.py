@@ -26,7 +26,7 @@ def odd_rows() -> list[tuple]:
         (6, words(2, 20_000), "de", "a"),
         (7, words(3, 60) + " mail someone@example.org now " + words(1, 120), "en", "b"),
         (7, words(3, 60) + " mail someone@example.org now " + words(1, 120), "en", "b"),
-        (8, "12345 ... !!! 4111 1111 1111 1111 1.2.3.4 +49 (30) 1234-5678", "en", "b"),
+        (8, "12345 ... !!! 4111 1111 1111 1111 , 1.2.3.4 +49 (30) 1234-5678", "en", "b"),
         (9, "ß é 漢字 🙂   tab\tnew\nline", "fr", "b"),
         (10, "one", "en", "b"),
     ]
