@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larchpoint.functions import morton
+from larchpoint.functions.morton import Bounds
 from larchpoint.operators.radix import ancestors
 
 #: Half extents are this at least.
@@ -25,10 +27,24 @@ def leaf_boxes(bucketed: DataFrame, radius: str | None = None) -> DataFrame:
     return bucketed.groupBy("leaf").agg(*(F.min(F.col(a) - r).alias(f"{a}0") for a in "xyz"), *(F.max(F.col(a) + r).alias(f"{a}1") for a in "xyz"))
 
 
+def cell_boxes(leaf_rows: DataFrame, box: Bounds) -> DataFrame:
+    """leaf and x0..z1 of leaves that are Z-order cells (leaf, code, depth), empty ones included."""
+    depth = F.col("depth").cast("int")
+    cells = F.call_function("shiftleft", F.lit(1).cast("long"), depth).cast("double")
+    rows = leaf_rows.withColumns({f"j{a}": c for a, c in zip("xyz", morton.axes(F.call_function("shiftright", F.col("code"), (63 - 3 * F.col("depth")).cast("int"))), strict=True)})
+    sides = {f"{a}{k}": F.lit(low) + (F.col(f"j{a}") + k).cast("double") * (F.lit(span) / cells) for a, low, span in zip("xyz", box.low, box.span, strict=True) for k in (0, 1)}
+    return rows.select("leaf", *(c.alias(n) for n, c in sides.items()))
+
+
+def from_leaf_boxes(boxes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Geometry of every node from its leaves' boxes: only leaves are sent to their ancestors, never points."""
+    rows = ancestors(nodes).join(boxes, "leaf").groupBy("node_id")
+    return from_boxes(rows.agg(*(F.min(f"{a}0").alias(f"{a}0") for a in "xyz"), *(F.max(f"{a}1").alias(f"{a}1") for a in "xyz")))
+
+
 def geometry(bucketed: DataFrame, nodes: DataFrame, radius: str | None = None) -> DataFrame:
-    """Geometry of every node. Points are reduced to leaf boxes first, so only leaves are sent to their ancestors."""
-    boxes = ancestors(nodes).join(leaf_boxes(bucketed, radius), "leaf").groupBy("node_id")
-    return from_boxes(boxes.agg(*(F.min(f"{a}0").alias(f"{a}0") for a in "xyz"), *(F.max(f"{a}1").alias(f"{a}1") for a in "xyz")))
+    """Geometry of every node; points are reduced to leaf boxes first."""
+    return from_leaf_boxes(leaf_boxes(bucketed, radius), nodes)
 
 
 def level_major(geom: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -130,10 +130,10 @@ FAR = "SELECT a AS target, b AS source FROM pr WHERE ok UNION ALL SELECT b, a FR
 NEAR = "SELECT a AS target, b AS source FROM pr WHERE NOT ok AND NOT refined UNION ALL SELECT b, a FROM pr WHERE NOT ok AND NOT refined"
 
 
-def central(order: int) -> str:
-    """Moments about the centre of mass, straight from the points."""
+def central(order: int, digits: int = 5) -> str:
+    """Moments about the centre of mass, straight from the points, rounded."""
     term = lambda m: " * ".join(["mass", *("(x - comx)",) * m[0], *("(y - comy)",) * m[1], *("(z - comz)",) * m[2]])
-    sums = ", ".join(f"round(sum({term(m)}), 5) + 0 AS {name(m)}" for m in all_indices(order))
+    sums = ", ".join(f"round(sum({term(m)}), {digits}) + 0 AS {name(m)}" for m in all_indices(order))
     return f"""SELECT node_id, {sums} FROM (
   SELECT nd.node_id, x, y, z, mass, sum(mass * x) OVER w / sum(mass) OVER w AS comx, sum(mass * y) OVER w / sum(mass) OVER w AS comy, sum(mass * z) OVER w / sum(mass) OVER w AS comz
   FROM nd JOIN bk ON bk.pos BETWEEN nd.lo AND nd.hi WINDOW w AS (PARTITION BY nd.node_id)) GROUP BY node_id"""
@@ -186,6 +186,19 @@ ADAPTIVE_NEAR = """SELECT a.cell_id AS target, b.cell_id AS source FROM ad a JOI
   AND abs((a.jz >> CAST(greatest(a.level - b.level, 0) AS BIGINT)) - (b.jz >> CAST(greatest(b.level - a.level, 0) AS BIGINT))) <= 1"""
 
 
+#: Octree cells o(code, d, oct_id) over bk, and f: leaf, its first and last code, and the depth of its cell.
+OCTREE = """e AS (SELECT leaf, min(code) AS a, max(code) AS b FROM bk GROUP BY leaf),
+f AS (SELECT *, CASE WHEN a = b THEN 21 ELSE (63 - length(bin(xor(a, b)))) // 3 END AS d FROM e), g AS (SELECT leaf, (a >> (63 - 3 * d)) << (63 - 3 * d) AS code, d, lead((a >> (63 - 3 * d)) << (63 - 3 * d)) OVER (ORDER BY leaf) AS nxt, lead(d) OVER (ORDER BY leaf) AS nd FROM f),
+l AS (SELECT code, least(d, nd, CASE WHEN code = nxt THEN 21 ELSE (63 - length(bin(xor(code, nxt)))) // 3 END) AS d FROM g WHERE nxt IS NOT NULL),
+u AS (SELECT code, d FROM g UNION SELECT (code >> (63 - 3 * d)) << (63 - 3 * d), d FROM l),
+o AS (SELECT *, row_number() OVER (ORDER BY d, code) - 1 AS oct_id FROM u)"""
+
+#: mp(node_id, oct_id): the deepest cell around all of a node's leaves.
+TO_OCTREE = """,
+mp AS (SELECT node_id, max_by(o.oct_id, o.d) AS oct_id FROM (SELECT nd.node_id, min(e.a) AS a, max(e.b) AS b FROM nd JOIN e ON e.leaf BETWEEN nd.first AND nd.last GROUP BY nd.node_id) n
+  JOIN o ON (n.a >> (63 - 3 * o.d)) << (63 - 3 * o.d) = o.code AND (n.b >> (63 - 3 * o.d)) << (63 - 3 * o.d) = o.code GROUP BY node_id)"""
+
+
 def decomposed(cloud: str, n: int) -> str:
     return coded(cloud) + f""",
 so AS (SELECT id, x, y, z, mass, code, row_number() OVER (ORDER BY code, id) - 1 AS pos, count(*) OVER () AS total FROM cd),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from larchpoint.functions import morton
 from larchpoint.operators import cells, domains, geometry, knn, layout, moments, octree, radix, trees, walk
 from larchpoint.plans import oracle as sql
+from larchpoint.plans import prepared as prep
 from larchpoint.sources import points
 from larchpoint.storage import keep
 
@@ -198,6 +199,30 @@ def events_walk(s: SparkSession, d: str) -> DataFrame:
     return Prepared(points.events(s, d), EVENT_LEAF).walk().stats
 
 
+def prepared(s: SparkSession, d: str) -> DataFrame:
+    return prep.prepare(points.embeddings(s, d)).walk.stats
+
+
+def fixed_depth_walk(s: SparkSession, d: str) -> DataFrame:
+    return prep.prepare(points.embeddings(s, d), "radix", prep.Options(mode="fixed_depth", target_leaf_points=8)).walk.stats
+
+
+def fixed_depth_boxes(s: SparkSession, d: str) -> DataFrame:
+    t = prep.build(points.embeddings(s, d), "radix", prep.Options(mode="fixed_depth", target_leaf_points=8))
+    return rounded(geometry.cell_boxes(t.leaves, t.bounds), [f"{a}{k}" for k in "01" for a in "xyz"], 9)
+
+
+def event_cells(s: SparkSession, d: str) -> DataFrame:
+    """The batch form of the streamed counts."""
+    from larchpoint.streaming.points import cell_counts
+
+    rows = points.events(s, d)
+    box = points.infer_bounds(rows)
+    times = s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    out = cell_counts(rows.join(times, "id"), box, 2, window="1 day")
+    return out.select(F.unix_micros("start").alias("start"), "cell", "n", "mass")
+
+
 def neighbours(s: SparkSession, d: str, **options) -> DataFrame:
     v = points.vectors(s, d)
     own = options.get("exclude_self", False)
@@ -270,6 +295,10 @@ ALL: dict[str, Query] = {
     "halo_import": halo,
     "cross_owner": owned,
     "reverse_halo": returned,
+    "prepared": prepared,
+    "fixed_depth_walk": fixed_depth_walk,
+    "fixed_depth_boxes": fixed_depth_boxes,
+    "event_cells": event_cells,
 }
 
 _NODES = "SELECT node_id, parent, lft AS \"left\", rgt AS \"right\", is_leaf, level, lo, hi FROM nd"
@@ -352,11 +381,7 @@ FROM b LEFT JOIN b c ON c.parent = b.node_id JOIN lv u ON u.leaf = b.a JOIN lv v
 h AS (SELECT code >> CAST(63 - 3 * d AS BIGINT) AS leaf, count(*) AS n FROM cd, dp GROUP BY 1),
 c AS (SELECT r.leaf, coalesce(n, 0) AS n FROM (SELECT unnest(range(CAST(pow(8, d) AS BIGINT))) AS leaf FROM dp) r LEFT JOIN h USING (leaf))
 SELECT leaf, leaf << CAST(63 - 3 * d AS BIGINT) AS code, CAST(d AS BIGINT) AS depth, n, CAST(sum(n) OVER w - n AS BIGINT) AS lo, CAST(sum(n) OVER w - 1 AS BIGINT) AS hi FROM c, dp WINDOW w AS (ORDER BY leaf)""",
-    "octree_nodes": f"""WITH {sql.bucketed('emb', LEAF)}, e AS (SELECT leaf, min(code) AS a, max(code) AS b FROM bk GROUP BY leaf),
-f AS (SELECT *, CASE WHEN a = b THEN 21 ELSE (63 - length(bin(xor(a, b)))) // 3 END AS d FROM e), g AS (SELECT leaf, (a >> (63 - 3 * d)) << (63 - 3 * d) AS code, d, lead((a >> (63 - 3 * d)) << (63 - 3 * d)) OVER (ORDER BY leaf) AS nxt, lead(d) OVER (ORDER BY leaf) AS nd FROM f),
-l AS (SELECT code, least(d, nd, CASE WHEN code = nxt THEN 21 ELSE (63 - length(bin(xor(code, nxt)))) // 3 END) AS d FROM g WHERE nxt IS NOT NULL),
-u AS (SELECT code, d FROM g UNION SELECT (code >> (63 - 3 * d)) << (63 - 3 * d), d FROM l),
-o AS (SELECT *, row_number() OVER (ORDER BY d, code) - 1 AS oct_id FROM u),
+    "octree_nodes": f"""WITH {sql.bucketed('emb', LEAF)}, {sql.OCTREE},
 p AS (SELECT a.oct_id, max_by(b.oct_id, b.d) AS parent FROM o a JOIN o b ON b.d < a.d AND (a.code >> (63 - 3 * b.d)) << (63 - 3 * b.d) = b.code GROUP BY a.oct_id)
 SELECT code, CAST(d AS BIGINT) AS depth, oct_id, (SELECT min(pos) FROM bk WHERE bk.code >> (63 - 3 * d) = o.code >> (63 - 3 * d)) AS lo, (SELECT max(pos) FROM bk WHERE bk.code >> (63 - 3 * d) = o.code >> (63 - 3 * d)) AS hi,
   NOT EXISTS (SELECT 1 FROM p WHERE p.parent = o.oct_id) AS is_leaf, (SELECT count(*) FROM p WHERE p.parent = o.oct_id) AS n_children FROM o""",
@@ -380,6 +405,14 @@ SELECT code, CAST(d AS BIGINT) AS depth, oct_id, (SELECT min(pos) FROM bk WHERE
     "coarse_frontier": f"WITH {_DOMAINS}, g AS (SELECT *, local // {LEAF} AS leaf FROM dm), h AS (SELECT domain, leaf, count(*) AS n, min(local) AS lo, max(local) AS hi, sum(mass) AS mass, sum(mass * x) / sum(mass) AS comx, sum(mass * y) / sum(mass) AS comy, sum(mass * z) / sum(mass) AS comz FROM g GROUP BY domain, leaf), i AS (SELECT h.*, sqrt((SELECT max((x - comx) * (x - comx) + (y - comy) * (y - comy) + (z - comz) * (z - comz)) FROM g WHERE g.domain = h.domain AND g.leaf = h.leaf)) AS radius FROM h) SELECT domain, leaf, n, lo, hi, {_R6('mass', 'comx', 'comy', 'comz', 'radius')} FROM i",
     "cross_walk": _cross(),
     "cross_owner": f"WITH {_DOMAINS} SELECT a.local AS ai, b.local AS bi, CAST(CASE WHEN (a.local + b.local) % 2 = 0 THEN 0 ELSE 1 END AS BIGINT) AS owner FROM dm a JOIN dm b ON a.domain = 0 AND a.local < 50 AND b.domain = 1 AND a.local % 7 = b.local % 7",
+    "quadrupole_stf": f"WITH {_TREE}, cn AS ({sql.central(2, 15)}) SELECT node_id, " + ", ".join(f"round(3 * {m}{' - (m200 + m020 + m002)' if i == j else ''}, 5) + 0 AS q{i}{j}" for i, j, m in ((0, 0, "m200"), (0, 1, "m110"), (0, 2, "m101"), (1, 1, "m020"), (1, 2, "m011"), (2, 2, "m002"))) + " FROM cn",
+    "octree_boxes": f"""WITH {sql.bucketed('emb', LEAF)}, {sql.OCTREE}, oc AS (SELECT oct_id, pow(2.0::DOUBLE, d) AS k, code >> (63 - 3 * d) AS cell FROM o), {sql.deinterleave('oc', 'oj', 'cell')},
+ob AS (SELECT oct_id, {', '.join(f"{a}0 + (j{a} + 0.5::DOUBLE) * (({a}1 - {a}0) / k) AS c{a}, 0.5::DOUBLE * ({a}1 - {a}0) / k AS h{a}" for a in 'xyz')} FROM oj, box)
+SELECT oct_id, {', '.join(f"round({c}, 9) + 0 AS {n}" for c, n in [*((f"{k}{a}", f"{k}{a}") for k in 'ch' for a in 'xyz'), ('sqrt(hx * hx + hy * hy + hz * hz)', 'radius'), ('greatest(hx, hy, hz)', 'max_extent')])} FROM ob""",
+    "radix_to_oct": f"WITH {_TREE}, {sql.OCTREE}{sql.TO_OCTREE} SELECT node_id, oct_id FROM mp",
+    "octree_far": sql.recursive(_TREE + sql.walk("bh", THETA) + ", " + sql.OCTREE + sql.TO_OCTREE, f"SELECT t.oct_id AS oct_target, s.oct_id AS oct_source FROM ({sql.FAR}) x JOIN mp t ON t.node_id = x.target JOIN mp s ON s.node_id = x.source"),
+    "prepared": sql.recursive(sql.tree("emb", 16) + sql.walk("bh", THETA), _STATS),
+    "event_cells": f"WITH {sql.coded('events')} SELECT epoch_us(time_bucket(INTERVAL 1 DAY, CAST(ts AS TIMESTAMP), TIMESTAMP '1970-01-01')) AS start, code >> 57 AS cell, count(*) AS n, sum(mass) AS mass FROM cd JOIN events ON event_id = id GROUP BY 1, 2",
     "reverse_halo": f"WITH {_DOMAINS} SELECT domain, local, round(-x * 3, 6) + 0 AS fx, round(-y * 3, 6) + 0 AS fy, round(-z * 3, 6) + 0 AS fz FROM dm",
 }
 
