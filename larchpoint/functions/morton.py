@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 21
@@ -61,6 +61,12 @@ def encode(x: Column, y: Column, z: Column, box: Bounds) -> Column:
     return interleave(*(grid(p, a, b) for p, a, b in zip((x, y, z), box.low, box.high, strict=True)))
 
 
+def with_code(points: DataFrame, box: Bounds, name: str = "code") -> DataFrame:
+    """points with their code. Grid coordinates are columns of their own, as spreading bits repeats its argument 32 times."""
+    at = {f"__{a}": grid(F.col(a), low, high) for a, low, high in zip("xyz", box.low, box.high, strict=True)}
+    return points.withColumns(at).withColumn(name, interleave(*map(F.col, at))).drop(*at)
+
+
 def decode(code: Column, box: Bounds) -> list[Column]:
     """x, y, z of a code; coordinates pass through single precision."""
     # Spark divides in double precision; rounding the quotient of two floats to float gives float division.

@@ -23,8 +23,7 @@ CODE, INDEX = 63, 40
 def sort_points(points: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """Points with code and pos, their place by code, then id."""
     box = bounds or infer_bounds(points)
-    coded = points.withColumn("code", morton.encode(F.col("x"), F.col("y"), F.col("z"), box))
-    return with_rank(coded, ["code", "id"])
+    return with_rank(morton.with_code(points, box), ["code", "id"])
 
 
 def bucket(sorted_points: DataFrame, leaf_size: int) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +24,20 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Prepared:
-    """A cloud's tree and geometry."""
+    """A cloud's tree and geometry, made when asked for."""
 
     def __init__(self, cloud: DataFrame, leaf: int = LEAF):
         self.cloud = keep(cloud)
         self.box = points.infer_bounds(self.cloud)
         self.points = keep(radix.bucket(radix.sort_points(self.cloud, self.box), leaf))
-        self.nodes = keep(radix.hierarchy(radix.leaves(self.points)))
-        self.geom = keep(geometry.geometry(self.points, self.nodes))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return keep(radix.hierarchy(radix.leaves(self.points)))
+
+    @cached_property
+    def geom(self) -> DataFrame:
+        return keep(geometry.geometry(self.points, self.nodes))
 
     def walk(self, criterion: str = "bh", **more) -> walk.Walk:
         return walk.walk(self.nodes, self.geom, walk.Rules(THETA, criterion, **more))
@@ -53,13 +59,13 @@ def bounds_rows(s: SparkSession, d: str) -> DataFrame:
 
 def encode(s: SparkSession, d: str) -> DataFrame:
     cloud = points.events(s, d)
-    return cloud.select("id", morton.encode(F.col("x"), F.col("y"), F.col("z"), points.infer_bounds(cloud)).alias("code"))
+    return morton.with_code(cloud, points.infer_bounds(cloud)).select("id", "code")
 
 
 def decode(s: SparkSession, d: str) -> DataFrame:
     cloud = points.embeddings(s, d)
     box = points.infer_bounds(cloud)
-    rows = cloud.select("id", morton.encode(F.col("x"), F.col("y"), F.col("z"), box).alias("code"))
+    rows = morton.with_code(cloud, box).select("id", "code")
     return rows.select("id", *(c.alias(a) for a, c in zip("xyz", morton.decode(F.col("code"), box), strict=True)))
 
 

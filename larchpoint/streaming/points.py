@@ -20,7 +20,7 @@ def cell_counts(points: DataFrame, bounds: Bounds, depth: int, time: str = "ts",
     points(x, y, z, mass, time), streamed or not; partial counts are made before the shuffle, so a full cell is no hot key.
     """
     require_fields(points, ("x", "y", "z", "mass", time), "the stream")
-    coded = points.withColumn("code", morton.encode(F.col("x"), F.col("y"), F.col("z"), bounds))
+    coded = morton.with_code(points, bounds)
     rows = coded.withWatermark(time, late).groupBy(F.window(time, window), F.shiftright("code", 3 * (morton.BITS - depth)).alias("cell"))
     return rows.agg(F.count("*").alias("n"), F.sum("mass").alias("mass")).select(F.col("window.start").alias("start"), "cell", "n", "mass")
 
