@@ -109,7 +109,8 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, size: int = SEQUENCE, e
             arrays = [column(batch, x) for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(found[:, 3] + rank - found[:, 1]), pa.array(found[:, 4])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    ranked = cut.join(before, ["task", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("nth")).alias("rank"))
+    ranked = cut.join(before.hint("merge"), ["task", "length"])  # the counts grow with the tasks, so they aren't broadcast
+    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
