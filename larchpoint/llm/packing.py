@@ -1,7 +1,7 @@
 """Packing documents into training sequences: shortest pack first over the histogram of lengths.
 
 A document's ids, with an end id, are cut into whole sequences and one rest. Lengths are placed longest first, each
-into the open packs with the most room, or else into new packs. Only counts of packs with the same filling are
+into the open packs with the most room until none has room for it, then into new packs that are filled with it. Only counts of packs with the same filling are
 updated, so the work on the driver depends on the sequence length and not on the number of documents. Pieces find
 their place by their rank among the pieces of their length; ranks come from counts by task and length, so no length,
 however frequent, meets in one task.
@@ -44,7 +44,7 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int,
 
     for length in sorted((x for x in histogram if histogram[x]), reverse=True):
         left, rank = histogram[length], 0
-        for free in sorted((x for x in room if x >= length), reverse=True):
+        while left and room and (free := max(room)) >= length:
             groups = room.pop(free)
             while groups and left:
                 first, count = groups.pop()
@@ -55,11 +55,19 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int,
                 left, rank = left - used, rank + used
             if groups:
                 room[free] = groups + room.get(free, [])
-            if not left:
-                break
         if left:
-            place(length, rank, next_sequence, left, size)
-            next_sequence += left
+            # New packs take as many pieces as fit, one layer of pieces after the other; the last pack may get fewer.
+            each = size // length
+            packs, last = -(-left // each), (left - 1) % each + 1
+            for nth in range(each):
+                count = packs if nth < last else packs - 1
+                if count:
+                    entries.append((length, rank, rank + count - 1, next_sequence, nth * length))
+                    rank += count
+            for first, count, filled in ((next_sequence, packs - 1, each), (next_sequence + packs - 1, 1, last)):
+                if count and size > filled * length:
+                    room.setdefault(size - filled * length, []).append((first, count))
+            next_sequence += packs
     return entries
 
 

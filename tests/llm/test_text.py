@@ -110,6 +110,23 @@ def test_plan_places_every_piece_once():
             assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:], strict=False)) and sum(n for _, n in places) <= 10
 
 
+@pytest.mark.parametrize(
+    ("histogram", "sequences"),
+    [({1000: 1, 100: 10}, 1), ({150: 300}, 24), ({2000: 7, 48: 5, 20: 1000}, 17), ({2048: 3, 1500: 40, 700: 60, 30: 5000, 9: 100}, 127)],
+)
+def test_plan_fills_packs_with_a_hot_length(histogram, sequences):
+    """One short length holds a third of the rows or more."""
+    used = {}
+    for length, first, last, sequence, offset in packing.plan(histogram, 2048):
+        for rank in range(first, last + 1):
+            used.setdefault(sequence + rank - first, []).append((offset, length))
+    assert sum(map(len, used.values())) == sum(histogram.values()) and sorted(used) == list(range(len(used)))
+    for places in used.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:], strict=False)) and sum(places[-1]) <= 2048
+    assert len(used) == sequences
+
+
 def test_language_is_found_in_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = langid.op6_langid(spark, SF).where("held_out").join(docs.select("doc_id", "lang", "text"), "doc_id").where("lang IS NOT NULL AND lang_pred <> 'und'")
