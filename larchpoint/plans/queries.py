@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property, partial
+from functools import cached_property, partial, reduce
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,12 +161,28 @@ def frontier(s: SparkSession, d: str) -> DataFrame:
     return rounded(domains.frontier(split(s, d), LEAF), ["mass", "comx", "comy", "comz", "radius"])
 
 
+def crossed_all(s: SparkSession, d: str) -> DataFrame:
+    """The pairs of the walk of every domain against every other: target_domain, source_domain, target, source, kind."""
+    rows = split(s, d)
+    local = [domains.local_tree(rows, k, LEAF) for k in range(DOMAINS)]
+    parts = []
+    for a, b in permutations(range(DOMAINS), 2):
+        pairs = walk.walk(local[a].nodes, local[a].geom, walk.Rules(THETA), (local[b].nodes, local[b].geom)).pairs.where(F.col("action") != walk.REFINE)
+        parts.append(pairs.select(F.lit(a).cast("long").alias("target_domain"), F.lit(b).cast("long").alias("source_domain"), F.col("a").alias("target"), F.col("b").alias("source"), F.col("action").alias("kind")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def halo(s: SparkSession, d: str) -> DataFrame:
+    """The halo of every domain, the viewer."""
     rows = split(s, d)
     box = points.infer_bounds(rows)
-    local = domains.local_tree(rows, 0, LEAF)
-    remote = domains.remote_tree(keep(domains.frontier(rows, LEAF)), 0, box)
-    return domains.import_halo(domains.classify(local, remote, walk.Rules(THETA)).near, remote[0], remote[1], rows, LEAF)
+    front = keep(domains.frontier(rows, LEAF))
+    parts = []
+    for viewer in range(DOMAINS):
+        local, remote = domains.local_tree(rows, viewer, LEAF), domains.remote_tree(front, viewer, box)
+        near = domains.classify(local, remote, walk.Rules(THETA)).near
+        parts.append(domains.import_halo(near, remote[0], remote[1], rows, LEAF).withColumn("viewer", F.lit(viewer).cast("long")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def owned(s: SparkSession, d: str) -> DataFrame:
@@ -298,6 +315,7 @@ ALL: dict[str, Query] = {
     "domain_moments": lambda s, d: rounded(domains.top_moments(split(s, d)), ["mass", "comx", "comy", "comz"]),
     "coarse_frontier": frontier,
     "cross_walk": lambda s, d: crossed(s, d).pairs.where(F.col("action") != walk.REFINE).select(F.col("a").alias("target"), F.col("b").alias("source"), F.col("action").alias("kind")),
+    "cross_walk_all": crossed_all,
     "halo_import": halo,
     "cross_owner": owned,
     "reverse_halo": returned,
@@ -343,6 +361,14 @@ def _cross() -> str:
     return sql.recursive(f"{_DOMAINS}, {_LOCAL}, {trees_}, {sides}, {pairs}", f"SELECT w.a AS target, w.b AS source, CAST(CASE WHEN {ok} THEN 0 ELSE 1 END AS BIGINT) AS kind FROM w JOIN wn0 t ON t.node_id = w.a JOIN wn1 s ON s.node_id = w.b WHERE {ok} OR {leaf}")
 
 
+def _cross_all() -> str:
+    """_cross() for every ordered pair of domains."""
+    import re
+
+    one = lambda a, b: re.sub(r"\bWHERE domain = ([01])\b", lambda m: f"WHERE domain = {(a, b)[int(m[1])]}", _cross())
+    return " UNION ALL ".join(f"SELECT CAST({a} AS BIGINT) AS target_domain, CAST({b} AS BIGINT) AS source_domain, * FROM ({one(a, b)})" for a, b in permutations(range(DOMAINS), 2))
+
+
 _DEC = sql.deinterleave("cd", "dj")
 _F32 = lambda a: f"{a}0 + CAST(CAST(j{a} AS FLOAT) / CAST({morton.TOP} AS FLOAT) AS DOUBLE) * ({a}1 - {a}0) AS {a}"
 _SHARED = "CASE WHEN code = nxt THEN 64 ELSE 64 - length(bin(xor(code, nxt))) END"
@@ -410,6 +436,7 @@ SELECT code, CAST(d AS BIGINT) AS depth, oct_id, (SELECT min(pos) FROM bk WHERE
     "domain_moments": f"WITH {_DOMAINS}, g AS (SELECT domain, mass, x, y, z FROM dm UNION ALL SELECT -1, mass, x, y, z FROM dm), h AS (SELECT domain, sum(mass) AS mass, sum(mass * x) / sum(mass) AS comx, sum(mass * y) / sum(mass) AS comy, sum(mass * z) / sum(mass) AS comz FROM g GROUP BY domain) SELECT domain, {_R6('mass', 'comx', 'comy', 'comz')} FROM h",
     "coarse_frontier": f"WITH {_DOMAINS}, g AS (SELECT *, local // {LEAF} AS leaf FROM dm), h AS (SELECT domain, leaf, count(*) AS n, min(local) AS lo, max(local) AS hi, sum(mass) AS mass, sum(mass * x) / sum(mass) AS comx, sum(mass * y) / sum(mass) AS comy, sum(mass * z) / sum(mass) AS comz FROM g GROUP BY domain, leaf), i AS (SELECT h.*, sqrt((SELECT max((x - comx) * (x - comx) + (y - comy) * (y - comy) + (z - comz) * (z - comz)) FROM g WHERE g.domain = h.domain AND g.leaf = h.leaf)) AS radius FROM h) SELECT domain, leaf, n, lo, hi, {_R6('mass', 'comx', 'comy', 'comz', 'radius')} FROM i",
     "cross_walk": _cross(),
+    "cross_walk_all": _cross_all(),
     "cross_owner": f"WITH {_DOMAINS} SELECT a.local AS ai, b.local AS bi, CAST(CASE WHEN (a.local + b.local) % 2 = 0 THEN 0 ELSE 1 END AS BIGINT) AS owner FROM dm a JOIN dm b ON a.domain = 0 AND a.local < 50 AND b.domain = 1 AND a.local % 7 = b.local % 7",
     "quadrupole_stf": f"WITH {_TREE}, cn AS ({sql.central(2, 15)}) SELECT node_id, " + ", ".join(f"round(3 * {m}{' - (m200 + m020 + m002)' if i == j else ''}, 5) + 0 AS q{i}{j}" for i, j, m in ((0, 0, "m200"), (0, 1, "m110"), (0, 2, "m101"), (1, 1, "m020"), (1, 2, "m011"), (2, 2, "m002"))) + " FROM cn",
     "octree_boxes": f"""WITH {sql.bucketed('emb', LEAF)}, {sql.OCTREE}, oc AS (SELECT oct_id, pow(2.0::DOUBLE, d) AS k, code >> (63 - 3 * d) AS cell FROM o), {sql.deinterleave('oc', 'oj', 'cell')},

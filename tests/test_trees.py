@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larchpoint.functions import morton
 from larchpoint.operators import cells, domains, geometry, knn, layout, moments, radix, trees, walk
+from larchpoint.plans import queries
 from larchpoint.plans import prepared as prep
 from larchpoint.sources import points
 from larchpoint.storage import keep
@@ -208,6 +209,12 @@ def test_domains_cover_all_pairs_through_halos(spark):
         domains.decompose(df, 3, box, equalize=True, align_level=1)
 
 
+def test_halo_of_every_viewer(spark):
+    found = keep(queries.ALL["halo_import"](spark, "/root/testdata/sf0.001"))
+    assert {r["viewer"] for r in found.select("viewer").distinct().collect()} == set(range(queries.DOMAINS))
+    assert found.where("viewer = domain").isEmpty() and found.count() == found.select("viewer", "gid").distinct().count()
+
+
 def test_registry_options_and_lookups(spark):
     df = frame(spark, cloud("uniform", 100))
     with pytest.raises(ValueError):
