@@ -172,6 +172,11 @@ def crossed_all(s: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def owned_all(s: SparkSession, d: str) -> DataFrame:
+    """The pairs of crossed_all and the domain that handles each."""
+    return crossed_all(s, d).withColumn("owner", domains.owners("target_domain", "target", "source_domain", "source"))
+
+
 def halo(s: SparkSession, d: str) -> DataFrame:
     """The halo of every domain, the viewer."""
     rows = split(s, d)
@@ -318,6 +323,7 @@ ALL: dict[str, Query] = {
     "cross_walk_all": crossed_all,
     "halo_import": halo,
     "cross_owner": owned,
+    "cross_owner_all": owned_all,
     "reverse_halo": returned,
     "prepared": prepared,
     "fixed_depth_walk": fixed_depth_walk,
@@ -437,6 +443,7 @@ SELECT code, CAST(d AS BIGINT) AS depth, oct_id, (SELECT min(pos) FROM bk WHERE
     "coarse_frontier": f"WITH {_DOMAINS}, g AS (SELECT *, local // {LEAF} AS leaf FROM dm), h AS (SELECT domain, leaf, count(*) AS n, min(local) AS lo, max(local) AS hi, sum(mass) AS mass, sum(mass * x) / sum(mass) AS comx, sum(mass * y) / sum(mass) AS comy, sum(mass * z) / sum(mass) AS comz FROM g GROUP BY domain, leaf), i AS (SELECT h.*, sqrt((SELECT max((x - comx) * (x - comx) + (y - comy) * (y - comy) + (z - comz) * (z - comz)) FROM g WHERE g.domain = h.domain AND g.leaf = h.leaf)) AS radius FROM h) SELECT domain, leaf, n, lo, hi, {_R6('mass', 'comx', 'comy', 'comz', 'radius')} FROM i",
     "cross_walk": _cross(),
     "cross_walk_all": _cross_all(),
+    "cross_owner_all": f"SELECT *, CASE WHEN (target + source) % 2 = 0 THEN least(target_domain, source_domain) ELSE greatest(target_domain, source_domain) END AS owner FROM ({_cross_all()})",
     "cross_owner": f"WITH {_DOMAINS} SELECT a.local AS ai, b.local AS bi, CAST(CASE WHEN (a.local + b.local) % 2 = 0 THEN 0 ELSE 1 END AS BIGINT) AS owner FROM dm a JOIN dm b ON a.domain = 0 AND a.local < 50 AND b.domain = 1 AND a.local % 7 = b.local % 7",
     "quadrupole_stf": f"WITH {_TREE}, cn AS ({sql.central(2, 15)}) SELECT node_id, " + ", ".join(f"round(3 * {m}{' - (m200 + m020 + m002)' if i == j else ''}, 5) + 0 AS q{i}{j}" for i, j, m in ((0, 0, "m200"), (0, 1, "m110"), (0, 2, "m101"), (1, 1, "m020"), (1, 2, "m011"), (2, 2, "m002"))) + " FROM cn",
     "octree_boxes": f"""WITH {sql.bucketed('emb', LEAF)}, {sql.OCTREE}, oc AS (SELECT oct_id, pow(2.0::DOUBLE, d) AS k, code >> (63 - 3 * d) AS cell FROM o), {sql.deinterleave('oc', 'oj', 'cell')},

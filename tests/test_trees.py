@@ -209,6 +209,19 @@ def test_domains_cover_all_pairs_through_halos(spark):
         domains.decompose(df, 3, box, equalize=True, align_level=1)
 
 
+def test_queries_pair_and_own_all_domains(spark):
+    sf = "/root/testdata/sf0.001"
+    pairs = keep(queries.ALL["cross_owner_all"](spark, sf))
+    assert pairs.where("owner NOT IN (target_domain, source_domain)").isEmpty()
+    rows = queries.split(spark, sf)
+    nodes = [domains.local_tree(rows, k, queries.LEAF).nodes.select(F.lit(k).alias("domain"), "node_id", (F.col("hi") - F.col("lo") + 1).alias("n")) for k in range(queries.DOMAINS)]
+    nodes = nodes[0].union(nodes[1]).union(nodes[2]).union(nodes[3])
+    t, s = (nodes.select(F.col("domain").alias(f"{x}_domain"), F.col("node_id").alias(x), F.col("n").alias(f"n_{x}")) for x in ("target", "source"))
+    covered = pairs.join(t, ["target_domain", "target"]).join(s, ["source_domain", "source"]).groupBy("target_domain", "source_domain").agg(F.sum(F.col("n_target") * F.col("n_source")).alias("n"))
+    size = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
+    assert {(r[0], r[1]): r["n"] for r in covered.collect()} == {(a, b): size[a] * size[b] for a in size for b in size if a != b}
+
+
 def test_halo_of_every_viewer(spark):
     found = keep(queries.ALL["halo_import"](spark, "/root/testdata/sf0.001"))
     assert {r["viewer"] for r in found.select("viewer").distinct().collect()} == set(range(queries.DOMAINS))
