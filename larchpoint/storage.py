@@ -9,23 +9,35 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which gets a value here only if it has none."""
+    """A new folder below spark.checkpoint.dir; where that isn't set, a local session gets one on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             root = held.get()
-        else:
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
             root = "file:///tmp/checkpoints/larchpoint"
             spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """df, written once and read back."""
+    """df, written once and read back: this cuts the lineage and survives lost executors."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def forget(*kept: DataFrame) -> None:
+    """Delete the files of what keep() returned, once nothing reads them any more."""
+    for df in kept:
+        spark = df.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def with_rank(df: DataFrame, keys: list[str], name: str = "pos") -> DataFrame:
