@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from larchpoint.session import ship
+from larchpoint.storage import forget, keep, shared_folder
+
+__all__ = ["bound_batches", "column", "forget", "keep", "map_batches", "shared_folder", "table", "texts_of"]
 
 #: Rows and bytes of one Arrow batch sent to Python; together they bound a worker's memory.
 BATCH_ROWS = 512
@@ -39,41 +40,6 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; that setting gets a value only where it has none, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            root = held.get()
-        else:
-            root = "file:///tmp/checkpoints/larchpoint"
-            spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: this cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files below a DataFrame made by keep() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def crc_of_id(doc_id: int | None) -> int:
-    """crc32 of the id as text (null: empty)."""
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
-
-
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]

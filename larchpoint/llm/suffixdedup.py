@@ -6,50 +6,57 @@ Suffixes of the whole corpus needn't be sorted in one place, as only prefixes of
 LENGTH bytes belongs to its least gram of GRAM bytes (by hash). Neighbouring windows with the same least gram form a
 segment, so equal windows lie in segments of the same gram, wherever they start. Segments of one gram are a bucket:
 
-1. Equal segments are counted as one class (with partial aggregation, so a passage in a third of all rows is no hot
-   key). A gram seen once can't hold a repeat. All windows of a class with several members are repeats.
-2. Classes with one member are compared with the other classes of their bucket. Windows whose 64-bit hash occurs once
-   in the bucket can't repeat and are left out; what remains of the strings is cut into pieces of at most PIECE windows,
-   and equal pieces are one. The pieces' collection is built column by column from the right: each round inserts one
-   symbol of every piece, by LF mapping, into the Burrows-Wheeler transform, and updates the longest common prefixes
-   (up to LENGTH) from range minima of the last round. The transform is held as the sorted places of each of its
-   symbols, so an LF step is a binary search. Columns larger than SPILL_BYTES live in sequential files of the task.
-   Rounds are bounded by a piece's length. A window repeats if its suffix shares LENGTH symbols with a neighbour.
-3. A bucket with more than HOT classes would meet in one task; its windows are hashed (128 bits) and counted one by
-   one instead, which gives the same answer.
+1. Copies of one segment enter as one string that counts as often as it occurs (by a digest of 128 bits, with partial
+   aggregation, so a passage in a third of all rows is no hot key). All windows of a string that counts twice or more
+   are repeats. A gram seen once holds none.
+2. The strings of a bucket form a collection, several small buckets one together. Its transform is built column by
+   column from the right: each round inserts one symbol of every document, by LF mapping, into the Burrows-Wheeler
+   transform, and updates the longest common prefixes (up to LENGTH) from range minima of the last round. A symbol is a
+   word of WORD bytes, so a string is read as WORD documents, one for each place of the first word; a collection then
+   takes a WORD-th of the rounds. A window is a repeat if its suffix shares LENGTH bytes with a neighbour: nothing else
+   decides. Windows whose 64-bit hash occurs once in the collection can't be repeats and are left out beforehand.
+   Columns over SPILL_BYTES are written and read sequentially, as files in the shared folder.
+3. A bucket of more than HOT strings is split by a longer gram: the bytes that all windows have in common whose first
+   gram lies in the same range of places, 64 wide. Equal windows have equal places and equal such bytes. Parts are
+   strings of buckets of their own, which are counted and compared as above; those still larger are split again, by
+   ranges of 16, 4 and 1. No window is ever counted by itself before its bucket has been split four times.
 
 Joins with tables that grow with the corpus are sort-merge joins at every size; nothing but models of fixed size is
 broadcast.
 
 Null texts count as empty; texts shorter than LENGTH keep all bytes; very long texts are cut in segments like others.
-Repeated rows repeat each other's windows, so they lose them all. Rows without doc_id are handled by their text; if
-one doc_id stands for several texts, a row also loses the byte positions that the others lose. Order has no effect.
+Repeated rows repeat each other's windows, so they lose them all. Rows are told apart by doc_id and text, so rows that
+repeat a doc_id, or have none, but differ in their texts lose only what each of them repeats. Order has no effect.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larchpoint.llm.common import bound_batches, column, keep, map_batches, table
+from larchpoint.llm.common import bound_batches, column, forget, keep, map_batches, shared_folder, table
 
 LENGTH = 200
 GRAM = 24
+#: Bytes of a symbol at most.
+WORD = 8
 #: Windows of a segment at most.
-RUN = 512
-#: Windows of a piece at most.
-PIECE = 200
-#: Classes of a bucket that are compared in one task, bytes of the buckets compared at once, bytes of a column in memory.
+RUN = 256
+#: Strings of a bucket that meet in one task, and the places that further grams hold together when it has more.
 HOT = 1024
+PLACES = (64, 16, 4, 1)
+#: Bytes of the buckets compared at once, bytes of a column in memory.
 BATCH = 1 << 21
 SPILL_BYTES = 8 << 20
+#: Neighbours of which the least common prefix is kept.
+BLOCK = 64
 
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -89,10 +96,14 @@ def least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(h) - width + 1], m[width - size :]) if size < width else m
 
 
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def segments(data: bytes, length: int = LENGTH, gram: int = GRAM, run: int = RUN) -> tuple[np.ndarray, ...]:
-    """Least gram (long), class (long), start, windows, and whether the gram repeats in these data, of every segment."""
+    """Of every segment: least gram (long), digest (two longs), start, windows, whether the gram repeats in these data."""
     if len(data) < length:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool),)
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     b = np.frombuffer(data, np.uint8)
     h = rolling(b, gram)
     m = least(h, length - gram + 1)
@@ -106,126 +117,201 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM, run: int = RUN
     key = m[start]
     small = np.sort(h[h <= key.max()])
     tied = np.searchsorted(small, key, "right") - np.searchsorted(small, key, "left") > 1
-    kind = np.frombuffer(b"".join(hashlib.blake2b(data[a:e], digest_size=8).digest() for a, e in zip(start.tolist(), (start + windows + length - 1).tolist(), strict=True)), np.int64)
+    kind = np.frombuffer(b"".join(digest(data[a:e]) for a, e in zip(start.tolist(), (start + windows + length - 1).tolist(), strict=True)), np.int64).reshape(-1, 2)
     return key.view(np.int64), kind, start, windows, tied
 
 
+def parts_of(data: bytes, key: int, places: int, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, bytes]]:
+    """(first window, one past the last, longer gram) of the parts of a segment whose least gram is key.
+
+    A window's place is how far after its start its first such gram stands. Windows of a part have the same first gram
+    and places in one range; the longer gram is what all windows have in common whose place is in that range.
+    """
+    b = np.frombuffer(data, np.uint8)
+    found = np.flatnonzero(rolling(b, gram).view(np.int64) == key)
+    start = np.arange(len(b) - length + 1)
+    x = found[np.searchsorted(found, start)]
+    nth = (x - start) // places
+    edge = np.flatnonzero((x[1:] != x[:-1]) | (nth[1:] != nth[:-1])) + 1
+    first = [0, *edge.tolist()]
+    # A range reaches up to length - gram, so the last one may hold fewer places and have more in common.
+    out = []
+    for a, e in zip(first, [*edge.tolist(), len(start)], strict=True):
+        low = int(nth[a]) * places
+        high = min(low + places, length - gram + 1) - 1
+        common = int(x[a]) - low
+        out.append((a, e, digest(low.to_bytes(4, "little") + data[common : common + length - (high - low)])))
+    return out
+
+
 class Store:
-    """A column: in memory, or in a sequential file of the task when it is large."""
+    """A column: in memory, or in a sequential file of the shared folder when it is large."""
+
+    def __init__(self, spill: int, folder: str | None):
+        self.spill, self.folder, self.held, self.path = spill if folder else 1 << 62, folder, None, None
 
-    def __init__(self, spill: int, folder: str):
-        self.spill, self.folder, self.held, self.path = spill, folder, None, None
+    def files(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.folder)
 
     def write(self, x: np.ndarray) -> None:
-        if x.nbytes <= self.spill:
-            self.held = x
-            return
-        fd, path = tempfile.mkstemp(dir=self.folder)
-        os.close(fd)
-        x.tofile(path)
-        self.drop()
-        self.path, self.kind, self.held = path, x.dtype, None
+        old = self.path
+        self.held, self.path = x, None
+        if x.nbytes > self.spill:
+            system, root = self.files()
+            system.create_dir(root, recursive=True)
+            self.path, self.kind, self.held = f"{root}/{uuid.uuid4().hex}", x.dtype, None
+            with system.open_output_stream(self.path) as file:
+                file.write(memoryview(x).cast("B"))
+        if old:
+            self.files()[0].delete_file(old)
 
     def read(self) -> np.ndarray:
-        return self.held if self.held is not None else np.fromfile(self.path, self.kind)
+        if self.held is not None:
+            return self.held
+        with self.files()[0].open_input_stream(self.path) as file:
+            return np.frombuffer(file.read(), self.kind)
 
     def drop(self) -> None:
         if self.path:
-            os.remove(self.path)
+            self.files()[0].delete_file(self.path)
             self.path = None
 
 
-def transform(strings: list[bytes], cap: int, spill: int = SPILL_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The collection's BWT (0: a string's beginning; else symbol + 1), common prefixes with the suffix before (at most
-    cap), and the order of its symbols, from which LF steps follow."""
-    n = len(strings)
-    length = np.array([len(x) for x in strings])
-    text = np.frombuffer(b"".join(strings), np.uint8)
-    used = np.unique(text)
-    code = np.zeros(256, np.int64)
-    code[used] = np.arange(1, len(used) + 1)
+def range_minima(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """min(x[lo:hi]) of every range, none of them empty. x has one entry more than any range reaches."""
+    out = np.empty(len(lo), x.dtype)
+    far = hi - lo > 4 * BLOCK
+
+    def direct(a: np.ndarray, e: np.ndarray) -> np.ndarray:
+        by = np.argsort(a)
+        pairs = np.empty(2 * len(a), np.int64)
+        pairs[::2], pairs[1::2] = a[by], e[by]
+        found = np.empty(len(a), x.dtype)
+        found[by] = np.minimum.reduceat(x, pairs)[::2]
+        return found
+
+    if not far.all():
+        out[~far] = direct(lo[~far], hi[~far])
+    if far.any():
+        lo, hi = lo[far], hi[far]
+        whole = len(x) // BLOCK
+        table = [x[: whole * BLOCK].reshape(whole, BLOCK).min(axis=1)]
+        while 2 << (len(table) - 1) <= whole:
+            half = 1 << (len(table) - 1)
+            table.append(np.minimum(table[-1][:-half], table[-1][half:]))
+        a, e = -(-lo // BLOCK), hi // BLOCK
+        level = np.log2(e - a).astype(np.int64)
+        middle = np.empty(len(lo), x.dtype)
+        for n in np.unique(level).tolist():
+            at = level == n
+            middle[at] = np.minimum(table[n][a[at]], table[n][e[at] - (1 << n)])
+        ends = np.minimum(direct(lo, np.maximum(a * BLOCK, lo + 1)), direct(np.minimum(e * BLOCK, hi - 1), hi))
+        out[far] = np.minimum(middle, ends)
+    return out
+
+
+def transform(codes: np.ndarray, length: np.ndarray, cap: int, spill: int = SPILL_BYTES, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The BWT of a collection (0: a document's beginning), common prefixes with the suffix before (at most cap), and the
+    order of its symbols, from which LF steps follow.
+
+    codes: the symbols of all documents, from 1; length: symbols of each document.
+    """
+    n = len(length)
     end, kind = np.cumsum(length), np.uint8 if cap < 255 else np.uint16
     # A place in the BWT and its symbol, as one number: sorted, these are the symbols' places one symbol after the other.
-    bits = max(1, int(len(text) + n).bit_length())
-    wide = np.uint32 if bits + int(len(used)).bit_length() <= 32 else np.uint64
-    mask, bits = wide((1 << bits) - 1), wide(bits)
-    with tempfile.TemporaryDirectory() as folder:
-        places, lcp = Store(spill, folder), Store(spill, folder)
-        symbol = np.zeros(n, np.int64)
-        full = length > 0
-        symbol[full] = code[text[end[full] - 1]]
-        places.write(np.sort((symbol.astype(wide) << bits) | np.arange(n, dtype=wide)))
-        lcp.write(np.zeros(n + 1, kind))  # one more, so that ranges may end after the last
-        active = at = np.flatnonzero(full)
-        c, j = symbol[full], 0
-        while len(active):
-            j += 1
-            held, lc = places.read(), lcp.read()
-            finished = int(np.searchsorted(held, wide(1) << bits))
-            i = np.searchsorted(held, (c.astype(wide) << bits) | at.astype(wide))
-            new = n + i - finished
-            # Neighbours in the new order that start with the same symbol, and the range minima between their tails.
-            before, after = held[np.maximum(i - 1, 0)], held[np.minimum(i + 1, len(held) - 1)]
-            has_before = (i > 0) & (before >> bits == c)
-            has_after = (i + 1 < len(held)) & (after >> bits == c)
-            lo = np.concatenate(((before[has_before] & mask).astype(np.int64) + 1, at[has_after] + 1))
-            hi = np.concatenate((at[has_before] + 1, (after[has_after] & mask).astype(np.int64) + 1))
-            common = np.zeros(len(lo), kind)
-            if len(lo):
-                by = np.argsort(lo)
-                pairs = np.empty(2 * len(lo), np.int64)
-                pairs[::2], pairs[1::2] = lo[by], hi[by]
-                common[by] = np.minimum(np.minimum.reduceat(lc, pairs)[::2], cap - 1) + 1
-            k = int(has_before.sum())
-            left = length[active] > j
-            more = np.zeros(len(active), np.int64)
-            more[left] = code[text[end[active[left]] - j - 1]]
-            # Old places move behind the new ones before them; the new symbols join the places of their kind.
-            old = np.ones(len(held) + len(active), bool)
-            old[new] = False
-            moved = (held & ~mask) | np.flatnonzero(old).astype(wide)[held & mask]
-            fresh = np.sort((more.astype(wide) << bits) | new.astype(wide))
-            held = np.empty(len(old), wide)
-            behind = np.ones(len(old), bool)
-            put = np.searchsorted(moved, fresh) + np.arange(len(fresh))
-            behind[put] = False
-            held[behind], held[put] = moved, fresh
-            l2 = np.zeros(len(old) + 1, kind)
-            l2[:-1][old] = lc[:-1]
-            l2[new] = 0
-            l2[new[has_before]] = common[:k]
-            l2[new[has_after] + 1] = common[k:]
-            places.write(held)
-            lcp.write(l2)
-            active, at, c = active[left], new[left], more[left]
-        held, lc = places.read().copy(), lcp.read().copy()
-        places.drop()
-        lcp.drop()
-    order = (held & mask).astype(np.int64)
-    b = np.empty(len(held), np.uint16)
+    bits = max(1, int(len(codes) + n).bit_length())
+    mask = np.int64((1 << bits) - 1)
+    places, lcp = Store(spill, folder), Store(spill, folder)
+    symbol = np.zeros(n, np.int64)
+    full = length > 0
+    symbol[full] = codes[end[full] - 1]
+    places.write(np.sort((symbol << bits) | np.arange(n)))
+    lcp.write(np.zeros(n + 1, kind))  # one more, so that ranges may end after the last
+    active = at = np.flatnonzero(full)
+    c, j = symbol[full], 0
+    while len(active):
+        j += 1
+        held, lc = places.read(), lcp.read()
+        finished = int(np.searchsorted(held, np.int64(1) << bits))
+        mine = (c << bits) | at
+        by = np.argsort(mine)
+        i = np.empty(len(by), np.int64)
+        i[by] = np.searchsorted(held, mine[by])
+        new = n + i - finished
+        # Neighbours in the new order that start with the same symbol, and the range minima between their tails.
+        before, after = held[np.maximum(i - 1, 0)], held[np.minimum(i + 1, len(held) - 1)]
+        has_before = (i > 0) & (before >> bits == c)
+        has_after = (i + 1 < len(held)) & (after >> bits == c)
+        lo = np.concatenate(((before[has_before] & mask) + 1, at[has_after] + 1))
+        hi = np.concatenate((at[has_before] + 1, (after[has_after] & mask) + 1))
+        common = np.minimum(range_minima(lc, lo, hi), cap - 1) + 1 if len(lo) else np.zeros(0, kind)
+        k = int(has_before.sum())
+        left = length[active] > j
+        more = np.zeros(len(active), np.int64)
+        more[left] = codes[end[active[left]] - j - 1]
+        # Old places move behind the new ones before them; the new symbols join the places of their kind.
+        size = len(held) + len(active)
+        old = np.ones(size, bool)
+        old[new] = False
+        moved = (held & ~mask) | np.flatnonzero(old)[held & mask]
+        fresh = np.sort((more << bits) | new)
+        put = np.searchsorted(moved, fresh) + np.arange(len(fresh))
+        behind = np.ones(size, bool)
+        behind[put] = False
+        held = np.empty(size, np.int64)
+        held[behind], held[put] = moved, fresh
+        l2 = np.zeros(size + 1, kind)
+        l2[:-1][old] = lc[:-1]
+        l2[new] = 0
+        l2[new[has_before]] = common[:k]
+        l2[new[has_after] + 1] = common[k:]
+        places.write(held)
+        lcp.write(l2)
+        active, at, c = active[left], new[left], more[left]
+    held, lc = places.read(), lcp.read()
+    places.drop()
+    lcp.drop()
+    order = held & mask
+    b = np.empty(len(held), np.int64)
     b[order] = held >> bits
     return b, lc, order
 
 
-def repeated(strings: list[bytes], length: int = LENGTH, spill: int = SPILL_BYTES) -> list[np.ndarray]:
+def repeated(strings: list[bytes], length: int = LENGTH, spill: int = SPILL_BYTES, folder: str | None = None) -> list[np.ndarray]:
     """For each string, which of its windows of `length` bytes also start elsewhere in the collection."""
-    out = [np.zeros(max(0, len(x) - length + 1), bool) for x in strings]
-    if not strings:
-        return out
-    b, lcp, order = transform(strings, length, spill)
+    size = np.array([len(x) for x in strings], np.int64)
+    windows = np.maximum(0, size - length + 1)
+    ends = np.cumsum(np.concatenate(([0], windows)))
+    flat = np.zeros(ends[-1], bool)
+    word = next(w for w in (8, 4, 2, 1) if w <= WORD and length % w == 0)
+    # Document f of a string holds its words from byte f on, one after the other.
+    shift = np.tile(np.arange(word), len(strings))
+    which = np.repeat(np.arange(len(strings)), word)
+    n = np.where(windows[which] > shift, (size[which] - shift) // word, 0)
+    which, shift, n = which[n > 0], shift[n > 0], n[n > 0]
+    if not len(n):
+        return [flat[a:e] for a, e in zip(ends, ends[1:], strict=False)]
+    data = b"".join(strings)
+    first = (np.cumsum(size) - size)[which] + shift
+    offset = np.repeat(first, n) + word * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    views = [np.frombuffer(data, f"<u{word}", (len(data) - f) // word, f) for f in range(word)] if len(data) >= word else []
+    every = np.zeros(len(data), f"<u{word}")
+    for f, view in enumerate(views):
+        every[f::word][: len(view)] = view
+    used, codes = np.unique(every[offset], return_inverse=True)
+    b, lcp, order = transform(codes.astype(np.int64) + 1, n, length // word, spill, folder)
     place = np.empty(len(b), np.int64)
     place[order] = np.arange(len(b))
-    step = len(strings) + place - int(np.count_nonzero(b == 0))
-    again = np.maximum(lcp[:-1], lcp[1:]) >= length
-    at, size = np.arange(len(strings)), np.array([len(x) for x in strings])
-    which = np.arange(len(strings))
-    ends = np.cumsum([0, *map(len, out)])
-    flat = np.zeros(ends[-1], bool)
-    for done in range(int(size.max()) + 1):
-        if done >= length:
-            flat[ends[which] + size[which] - done] = again[at]
-        go = size[which] > done
-        at, which = step[at[go]], which[go]
+    step = len(n) + place - int(np.count_nonzero(b == 0))
+    again = np.maximum(lcp[:-1], lcp[1:]) >= length // word
+    at, doc = np.arange(len(n)), np.arange(len(n))
+    for done in range(int(n.max()) + 1):
+        if done >= length // word:
+            flat[ends[which[doc]] + shift[doc] + word * (n[doc] - done)] = again[at]
+        go = n[doc] > done
+        at, doc = step[at[go]], doc[go]
     return [flat[a:e] for a, e in zip(ends, ends[1:], strict=False)]
 
 
@@ -238,9 +324,8 @@ def seen_twice(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeats_among(strings: list[bytes], several: list[bool], length: int = LENGTH, spill: int = SPILL_BYTES, piece: int = PIECE) -> list[tuple[int, int, int]]:
-    """(string, first, one past the last) of runs of windows that also start elsewhere; several: strings that occur more
-    than once anyway, for which nothing is returned. Runs may touch."""
+def pieces_of(strings: list[bytes], length: int = LENGTH) -> list[tuple[int, int, bytes]]:
+    """(string, first window, bytes) of the runs of windows that may repeat, as their hashes occur more than once."""
     size = np.array([len(x) for x in strings])
     data = b"".join(strings)
     windows = size - length + 1
@@ -248,33 +333,11 @@ def repeats_among(strings: list[bytes], several: list[bool], length: int = LENGT
     nth = np.arange(windows.sum()) - np.repeat(first, windows)
     who = np.repeat(np.arange(len(strings)), windows)
     begin = np.repeat(np.cumsum(size) - size, windows) + nth
-    h = rolling(np.frombuffer(data, np.uint8), length)[begin]
-    maybe = seen_twice(h)
-    # Pieces: neighbouring windows of one string that may repeat.
+    maybe = seen_twice(rolling(np.frombuffer(data, np.uint8), length)[begin])
     edge = np.flatnonzero((maybe[1:] != maybe[:-1]) | (who[1:] != who[:-1])) + 1
     a, e = np.concatenate(([0], edge)), np.concatenate((edge, [len(maybe)]))
     a, e = a[maybe[a]], e[maybe[a]]
-    parts = -(-(e - a) // piece)
-    k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    a, e = np.repeat(a, parts) + k * piece, np.minimum(np.repeat(e, parts), np.repeat(a, parts) + (k + 1) * piece)
-    number: dict[bytes, int] = {}
-    kind = np.array([number.setdefault(data[x:y], len(number)) for x, y in zip(begin[a].tolist(), (begin[e - 1] + length).tolist(), strict=True)], np.int64)
-    if not len(kind):
-        return []
-    often = np.bincount(kind, 1 + np.array(several)[who[a]]) > 1
-    # Pieces that occur once need the others that may hold one of their windows.
-    lone = ~often[kind]
-    at = np.repeat(np.arange(len(a)), e - a)
-    inside = np.repeat(a, e - a) + np.arange(len(at)) - np.repeat(np.cumsum(e - a) - (e - a), e - a)
-    asked = np.isin(h[inside], h[inside[lone[at]]])
-    needed = np.unique(kind[at[asked]])
-    every = list(number)
-    masks = dict(zip(needed.tolist(), repeated([every[x] for x in needed], length, spill), strict=True)) if lone.any() else {}
-    out = []
-    for x, (w, lo, hi) in zip(kind.tolist(), zip(who[a].tolist(), nth[a].tolist(), (nth[e - 1] + 1).tolist(), strict=True), strict=True):
-        if not several[w]:
-            out += [(w, lo, hi)] if often[x] else [(w, lo + p, lo + q) for p, q in runs(masks[x])]
-    return out
+    return [(w, lo, data[x : y + length]) for w, lo, x, y in zip(who[a].tolist(), nth[a].tolist(), begin[a].tolist(), begin[e - 1].tolist(), strict=True)]
 
 
 def runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -283,103 +346,147 @@ def runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-RANGES = "id long, nameless boolean, lo long, hi long"
+class Collection:
+    """Strings of several buckets whose windows are decided together."""
+
+    def __init__(self, length: int = LENGTH, batch: int = BATCH, spill: int = SPILL_BYTES, folder: str | None = None):
+        self.length, self.batch, self.spill, self.folder = length, batch, spill, folder
+        self.held: list[tuple] = []
+        self.bytes = 0
+
+    def add(self, rows: list[tuple[tuple | None, bytes]]) -> Iterator[tuple]:
+        """A whole bucket: (what to return with a repeat; None for strings that count twice anyway, bytes)."""
+        for w, lo, data in pieces_of([data for _, data in rows], self.length):
+            self.held.append((rows[w][0], lo, data))
+            self.bytes += len(data)
+        if self.bytes >= self.batch:
+            yield from self.result()
 
+    def result(self) -> Iterator[tuple]:
+        """(row, first window, one past the last) of runs of repeats."""
+        if any(row is not None for row, *_ in self.held):
+            for (row, lo, _), mask in zip(self.held, repeated([data for *_, data in self.held], self.length, self.spill, self.folder), strict=True):
+                if row is not None:
+                    yield from ((row, lo + a, lo + e) for a, e in runs(mask))
+        self.held, self.bytes = [], 0
 
-def ranges_of(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], ["id", "nameless", "lo", "hi"])
 
+NAME = ["id", "mark"]
+RANGES = "id long, mark long, lo long, hi long"
+STRING = "gram long, key long, n long, id long, mark long, start long, data binary"
 
-def compare(strings: DataFrame, length: int, spill: int) -> DataFrame:
-    """Repeats in classes with one member, bucket by bucket. strings: gram, n, id, nameless, start, data."""
+
+def compare(strings: DataFrame, length: int, batch: int, spill: int) -> DataFrame:
+    """Repeats among the strings of each bucket. strings: as STRING; those with n > 1 are known to be repeats."""
+    folder = shared_folder(strings.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            found = repeats_among([r[5] for r in rows], [r[1] > 1 for r in rows], length, spill)
-            return ranges_of([(*rows[w][2:4], rows[w][4] + a, rows[w][4] + e - 1 + length) for w, a, e in found])
-
-        size, last = 0, None
-        for batch in batches:
-            for r in zip(*(column(batch, c).to_pylist() for c in ("gram", "n", "id", "nameless", "start", "data")), strict=True):
-                if r[0] != last and size >= BATCH:
-                    yield out(held)
-                    held, size = [], 0
-                last = r[0]
-                held.append(r)
-                size += len(r[5])
-        if held:
-            yield out(held)
+        work = Collection(length, batch, spill, folder)
+        bucket: list[tuple] = []
+        last = None
+
+        def out(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            rows = [(*row[:2], row[2] + a, row[2] + e - 1 + length) for row, a, e in found]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["id", "mark", "lo", "hi"])
+
+        for b in batches:
+            for key, n, *row, data in zip(*(column(b, c).to_pylist() for c in ("key", "n", "id", "mark", "start", "data")), strict=True):
+                if key != last and bucket:
+                    yield from out(work.add(bucket))
+                    bucket = []
+                last = key
+                bucket.append((row if n == 1 else None, data))
+        if bucket:
+            yield from out(work.add(bucket))
+        yield from out(work.result())
 
     bound_batches(strings.sparkSession)
-    near = strings.repartition("gram").sortWithinPartitions("gram")
-    return near.select("gram", "n", "id", "nameless", "start", "data").mapInArrow(run, RANGES)
+    near = strings.repartition("key").sortWithinPartitions("key")
+    return near.select("key", "n", "id", "mark", "start", "data").mapInArrow(run, RANGES)
 
 
-def count_windows(strings: DataFrame, length: int) -> DataFrame:
-    """The same for large buckets: windows are hashed and counted."""
+def split(strings: DataFrame, places: int, length: int, gram: int) -> DataFrame:
+    """The parts of strings by a longer gram: as STRING, with the digest (one, two) of the part."""
 
-    def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts = []
-        for n, id_, nameless, start, data in zip(*(column(batch, c).to_pylist() for c in ("n", "id", "nameless", "start", "data")), strict=True):
-            b = np.frombuffer(data, np.uint8)
-            one, two = rolling(b, length), rolling(b, length, 0xC2B2AE3D27D4EB4F)
-            k = len(one)
-            parts.append((one.view(np.int64), two.view(np.int64), np.full(k, n), np.full(k, id_), np.full(k, nameless), start + np.arange(k)))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["one", "two", "n", "id", "nameless", "lo"])
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for g, n, id_, mark, start, data in zip(*(column(batch, c).to_pylist() for c in ("gram", "n", "id", "mark", "start", "data")), strict=True):
+            for a, e, longer in parts_of(data, g, places, length, gram):
+                part = data[a : e - 1 + length]
+                one, two = np.frombuffer(digest(longer + part), np.int64).tolist()
+                rows.append((g, int.from_bytes(longer[:8], "little", signed=True), n, id_, mark, start + a, part, one, two))
+        kinds = [pa.int64()] * 6 + [pa.binary()] + [pa.int64()] * 2
+        names = ["gram", "key", "n", "id", "mark", "start", "data", "one", "two"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)], names)
 
-    rows = map_batches(strings.select("n", "id", "nameless", "start", "data"), hashes, "one long, two long, n long, id long, nameless boolean, lo long")
-    several = rows.groupBy("one", "two").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
-    return rows.where("n = 1").join(several, ["one", "two"]).select("id", "nameless", "lo", (F.col("lo") + length).alias("hi"))
+    return map_batches(strings, cut, f"{STRING}, one long, two long")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, spill: int = SPILL_BYTES) -> DataFrame:
-    """Byte ranges to remove, [lo, hi), which may overlap. docs: id, nameless, text."""
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, batch: int = BATCH, spill: int = SPILL_BYTES) -> list[DataFrame]:
+    """Byte ranges to remove, [lo, hi), which may overlap, as kept tables. docs: id, mark, text; rows equal in id and mark are equal."""
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch | None:
         parts = []
-        for id_, nameless, text in zip(*(column(batch, c).to_pylist() for c in ("id", "nameless", "text")), strict=True):
+        for id_, mark, text in zip(*(column(b, c).to_pylist() for c in ("id", "mark", "text")), strict=True):
             key, kind, start, windows, tied = segments((text or "").encode("utf-8", "surrogatepass"), length, gram)
             if len(key):
-                parts.append((key, kind, np.full(len(key), id_), np.full(len(key), nameless), start, windows.astype(np.int32), tied))
+                parts.append((key, kind[:, 0], kind[:, 1], np.full(len(key), id_), np.full(len(key), mark), start, windows.astype(np.int32), tied))
         if not parts:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["gram", "kind", "id", "nameless", "start", "windows", "tied"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["gram", "one", "two", "id", "mark", "start", "windows", "tied"])
 
-    every = keep(map_batches(docs, cut, "gram long, kind long, id long, nameless boolean, start long, windows int, tied boolean"))
-    classes = every.groupBy("gram", "kind").agg(F.count("*").alias("n"), F.max(F.col("tied").cast("int")).alias("tied"), F.first("id").alias("id"), F.first("nameless").alias("nameless"), F.first("start").alias("start"), F.first("windows").alias("windows"))
-    classes = keep(classes.where("n > 0"))
-    grams = classes.groupBy("gram").agg(F.sum("n").alias("total"), F.max("tied").alias("any_tied"), F.count("*").alias("classes"), F.min("n").alias("least_n")).where("total > 1 OR any_tied = 1")
+    every = keep(map_batches(docs, cut, "gram long, one long, two long, id long, mark long, start long, windows int, tied boolean"))
+    kind = ["gram", "one", "two"]
+    classes = keep(every.groupBy(*kind).agg(F.count("*").alias("n"), F.max(F.col("tied").cast("int")).alias("tied"), *(F.first(c).alias(c) for c in ("id", "mark", "start", "windows"))))
+    grams = classes.groupBy("gram").agg(F.sum("n").alias("total"), F.max("tied").alias("any_tied"), F.count("*").alias("strings"), F.min("n").alias("least_n")).where("total > 1 OR any_tied = 1")
     known = keep(classes.drop("tied").join(grams.hint("merge"), "gram"))
-    # Classes with several members: every occurrence is a repeat as a whole.
-    whole = every.join(known.where("n > 1").select("gram", "kind").hint("merge"), ["gram", "kind"]).select("id", "nameless", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + length - 1).alias("hi"))
+    forget(classes)
+    # Strings that count twice or more: every occurrence is a repeat as a whole.
+    found = [keep(every.join(known.where("n > 1").select(*kind).hint("merge"), kind).select(*NAME, F.col("start").alias("lo"), (F.col("start") + F.col("windows") + length - 1).alias("hi")).distinct())]
+    forget(every)
     # The others need their bytes, and so do those that they may share windows with.
-    asked = known.where("least_n = 1 AND (classes > 1 OR any_tied = 1)")
-    places = asked.groupBy("id", "nameless").agg(F.collect_list(F.struct("gram", "n", "start", "windows", (F.col("classes") > hot).alias("hot"))).alias("places"))
+    asked = known.where("least_n = 1 AND (strings > 1 OR any_tied = 1)")
+    places = asked.groupBy(*NAME).agg(F.collect_set(F.struct("gram", "n", "start", "windows", (F.col("strings") > hot).alias("hot"))).alias("places"))
 
-    def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def fetch(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for id_, nameless, text, places in zip(*(column(batch, c).to_pylist() for c in ("id", "nameless", "text", "places")), strict=True):
+        for id_, mark, text, places in zip(*(column(b, c).to_pylist() for c in ("id", "mark", "text", "places")), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
             for p in places:
-                piece = data[p["start"] : p["start"] + p["windows"] + length - 1]
-                if len(piece) >= length:
-                    rows.append((p["gram"], p["n"], id_, nameless, p["start"], p["hot"], piece))
-        kinds = [pa.int64()] * 3 + [pa.bool_(), pa.int64(), pa.bool_(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], ["gram", "n", "id", "nameless", "start", "hot", "data"])
-
-    strings = keep(map_batches(docs.join(places.hint("merge"), ["id", "nameless"]), fetch, "gram long, n long, id long, nameless boolean, start long, hot boolean, data binary"))
-    return whole.unionByName(compare(strings.where("NOT hot"), length, spill)).unionByName(count_windows(strings.where("hot"), length))
-
-
-def with_ranges(docs: DataFrame, length: int, gram: int, hot: int, spill: int) -> DataFrame:
+                rows.append((p["gram"], p["gram"], p["n"], id_, mark, p["start"], data[p["start"] : p["start"] + p["windows"] + length - 1], p["hot"]))
+        kinds = [pa.int64()] * 6 + [pa.binary(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], ["gram", "key", "n", "id", "mark", "start", "data", "hot"])
+
+    texts = docs.dropDuplicates(NAME).join(places.hint("merge"), NAME)
+    strings = keep(map_batches(texts, fetch, f"{STRING}, hot boolean"))
+    forget(known)
+    found.append(keep(compare(strings.where("NOT hot").drop("hot"), length, batch, spill)))
+    done, strings = [strings], strings.where("hot").drop("hot")
+    for width in PLACES:
+        if strings.isEmpty():
+            break
+        parts = keep(split(strings, width, length, gram))
+        kind = ["key", "one", "two"]
+        classes = keep(parts.groupBy(*kind).agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("gram", *NAME, "start", "data"))))
+        found.append(keep(parts.where("n = 1").join(classes.where("n > 1").select(*kind).hint("merge"), kind).select(*NAME, F.col("start").alias("lo"), (F.col("start") + F.length("data")).alias("hi"))))
+        buckets = classes.groupBy("key").agg(F.count("*").alias("strings"), F.min("n").alias("least_n")).where("strings > 1 AND least_n = 1")
+        strings = keep(classes.join(buckets.hint("merge"), "key").select(*(x.split()[0] for x in STRING.split(", ")), (F.col("strings") > hot).alias("hot")))
+        found.append(keep(compare(strings.where("NOT hot").drop("hot"), length, batch, spill)))
+        done += [parts, classes, strings]
+        strings = strings.where("hot").drop("hot")
+    forget(*done)
+    return found
+
+
+def with_ranges(docs: DataFrame, length: int, gram: int, hot: int, batch: int, spill: int) -> DataFrame:
     """docs with a column __ranges of the ranges to remove."""
-    named = docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"])), "__nameless": docs["doc_id"].isNull()})
-    plain = named.select(F.col("__id").alias("id"), F.col("__nameless").alias("nameless"), "text")
-    found = keep(repeats(plain, length, gram, hot, spill).groupBy("id", "nameless").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))).toDF("__id", "__nameless", "__ranges")
-    return named.join(found.hint("merge"), ["__id", "__nameless"], "left").drop("__id", "__nameless")
+    named = docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("long"), F.lit(0)), "__mark": F.xxhash64(docs["doc_id"].isNull(), docs["text"])})
+    plain = named.select(F.col("__id").alias("id"), F.col("__mark").alias("mark"), "text")
+    parts = repeats(plain, length, gram, hot, batch, spill)
+    found = keep(reduce(DataFrame.unionByName, parts).groupBy(*NAME).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))).toDF("__id", "__mark", "__ranges")
+    forget(*parts)
+    return named.join(found.hint("merge"), ["__id", "__mark"], "left").drop("__id", "__mark")
 
 
 def remove(data: bytes, ranges: list[dict] | None) -> tuple[bytes, int]:
@@ -397,7 +504,7 @@ def remove(data: bytes, ranges: list[dict] | None) -> tuple[bytes, int]:
     return b"".join([*out, data[at:]]), spans
 
 
-def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, spill: int = SPILL_BYTES) -> DataFrame:
+def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, batch: int = BATCH, spill: int = SPILL_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -410,7 +517,7 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         return pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return map_batches(with_ranges(plain, length, gram, hot, spill), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_batches(with_ranges(plain, length, gram, hot, batch, spill), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -421,7 +528,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         batch = batch.drop_columns(["__ranges"])
         return batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
-    joined = with_ranges(docs, length, GRAM, HOT, SPILL_BYTES)
+    joined = with_ranges(docs, length, GRAM, HOT, BATCH, SPILL_BYTES)
     return map_batches(joined.select(*docs.columns, "__ranges"), run, docs.schema)
 
 

@@ -65,28 +65,59 @@ def brute_repeats(strings: list[bytes], length: int) -> list[np.ndarray]:
     return [np.array([every.count(s[i : i + length]) > 1 for i in range(len(s) - length + 1)], bool) for s in strings]
 
 
-def test_transform_finds_every_repeated_window():
+def test_transform_finds_every_repeated_window(tmp_path):
     r = random.Random(3)
-    for trial in range(60):
-        length = r.choice([1, 2, 3, 5, 8])
+    for trial in range(80):
+        length = r.choice([1, 2, 3, 5, 8, 12, 16, 40])  # symbols of 1, 2, 4 and 8 bytes
         letters = b"ab" if trial % 3 else bytes(range(256))
-        strings = [bytes(r.choice(letters) for _ in range(r.randint(length, 30))) for _ in range(r.randint(1, 8))]
+        strings = [bytes(r.choice(letters) for _ in range(r.randint(length, 30 + 2 * length))) for _ in range(r.randint(1, 8))]
         if trial % 2:
             strings += [s[2:] for s in strings if len(s) > length + 2]
         want = brute_repeats(strings, length)
-        got = suffixdedup.repeated(strings, length, r.choice([0, 1 << 20]))  # 0: every column in a file
+        got = suffixdedup.repeated(strings, length, r.choice([0, 1 << 20]), f"file://{tmp_path}/columns")  # 0: every column in a file
         assert all((x == y).all() for x, y in zip(want, got, strict=True))
         marks = [np.zeros(len(w), bool) for w in want]
-        for w, a, e in suffixdedup.repeats_among(strings, [False] * len(strings), length, piece=r.choice([1, 3, 200])):
+        work = suffixdedup.Collection(length, r.choice([1, 1 << 20]))
+        for w, a, e in [*work.add(list(enumerate(strings))), *work.result()]:
             marks[w][a:e] = True
         assert all((x == y).all() for x, y in zip(want, marks, strict=True))
-
-
-@pytest.mark.parametrize("hot", [0, 1024])
+    assert not list((tmp_path / "columns").iterdir())  # columns are deleted
+
+
+def test_range_minima_over_short_and_long_ranges():
+    x = np.random.default_rng(1).integers(0, 200, 5000).astype(np.uint8)
+    lo, hi = np.sort(np.random.default_rng(2).choice(4999, (2, 400)), axis=0)
+    hi = np.maximum(hi, lo + 1)
+    assert suffixdedup.range_minima(x, lo, hi).tolist() == [int(x[a:e].min()) for a, e in zip(lo, hi, strict=True)]
+
+
+@pytest.mark.parametrize("places", suffixdedup.PLACES)
+def test_equal_windows_fall_into_parts_of_one_longer_gram(places):
+    r, length, gram = random.Random(places), 40, 8
+    core = bytes(r.choice(b"abcd") for _ in range(60))
+    seen: dict[bytes, set[bytes]] = {}
+    for _ in range(40):
+        data = bytes(r.choice(b"abcd") for _ in range(30)) + core + bytes(r.choice(b"abcd") for _ in range(30))
+        key, _, start, windows, _ = suffixdedup.segments(data, length, gram)
+        for k, a, n in zip(key.tolist(), start.tolist(), windows.tolist(), strict=True):
+            string, done = data[a : a + n + length - 1], 0
+            for first, last, longer in suffixdedup.parts_of(string, k, places, length, gram):
+                assert first == done
+                done = last
+                for i in range(first, last):
+                    seen.setdefault(string[i : i + length], set()).add(longer)
+            assert done == n
+    assert all(len(x) == 1 for x in seen.values()) and len(seen) < 40 * 81
+
+
+@pytest.mark.parametrize("hot", [0, 3, 1024])
 def test_repeats_equal_brute_force(spark, hot):
+    """Also with buckets that are hot at every split: one line in 60 contexts, one passage in 60."""
     texts = [t for _, t in near_copies()] + [t for i, t, *_ in odd_rows() if i != 6] + ["ab" * 300, "a" * 500, "é漢" * 60]
+    line, passage = words(70, 6)[:30], words(71, 40)
+    texts += [f"{words(500 + i, 9)} {line} {words(600 + i, 9)}" for i in range(60)] + [f"{words(700 + i, 9)} {passage} {words(800 + i // 2, 9)}" for i in range(60)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in suffixdedup.digests(docs, 40, 8, hot, 1 << 10).collect()}
+    got = {r["doc_id"]: r for r in suffixdedup.digests(docs, 40, 8, hot, 1 << 12, 1 << 10).collect()}
     for i, (left, spans) in enumerate(removed(texts, 40)):
         r = got[i]
         size = len((texts[i] or "").encode())
@@ -100,6 +131,14 @@ def test_repeats_of_a_table(spark):
         assert (got[r["doc_id"]]["n_spans"], got[r["doc_id"]]["kept_sha256"]) == (spans, hashlib.sha256(left).hexdigest())
 
 
+def test_rows_that_share_an_id_keep_what_only_another_repeats(spark):
+    x, y = words(31, 60)[:300], words(32, 60)[:300]
+    rows = [(3, x), (7, x), (7, y), (None, y + "!"), (None, words(33, 60)), (None, None), (8, words(34, 60))] + [(9, words(35, 60))] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((str(i), hashlib.sha256(left).hexdigest(), n) for (i, _), (left, n) in zip(rows, removed([t for _, t in rows], 200), strict=True))
+    assert sorted((str(r["doc_id"]), r["kept_sha256"], r["n_spans"]) for r in suffixdedup.digests(docs).collect()) == want
+
+
 def test_repeats_with_nulls_clashes_and_no_rows(spark):
     docs = clashing(spark.createDataFrame(odd_rows(), DOCS))
     out = suffixdedup.without_repeats(docs)
