@@ -1,8 +1,8 @@
 """Packing documents into training sequences: shortest pack first over the histogram of lengths.
 
-A document's ids, with an end id, are cut into whole sequences and one rest. Lengths are placed longest first, each
-into the open packs with the most room until none has room for it, then into new packs that are filled with it. Only counts of packs with the same filling are
-updated, so the work on the driver depends on the sequence length and not on the number of documents. Pieces find
+A document's ids, by the tokenizers library and with an end id, are cut into whole sequences and one rest. Lengths are
+placed longest first, each into the open packs with the most room until none has room for it, then into new packs that
+are filled with it. Only counts of packs with the same filling are updated, so the work on the driver depends on the sequence length and not on the number of documents. Pieces find
 their place by their rank among the pieces of their length; ranks come from counts by task and length, so no length,
 however frequent, meets in one task.
 
@@ -13,8 +13,10 @@ order of the input.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,39 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larchpoint.llm.bpe import codec
+from larchpoint.llm.bpe import held_by_tokenizers, own_pattern, ranks_from_json
 from larchpoint.llm.common import bound_batches, column, keep, table, texts_of
 
 SEQUENCE = 2048
 END_ID = 1
 
 
+class Library:
+    """Ids as the tokenizers library gives them. The merges run in a faster engine, with the vocabulary of the file and
+    the character classes of that library; special strings in a text stand for their ids."""
+
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
+
+        ranks, _, self.special = ranks_from_json(path)
+        tokens = sorted(ranks, key=ranks.get)
+        self.id_of = np.array([ranks[x] for x in tokens], "<u4")
+        self.engine = tiktoken.Encoding("own", pat_str=own_pattern(pattern, held_by_tokenizers), mergeable_ranks={x: n for n, x in enumerate(tokens)}, special_tokens={})
+        self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if self.at_special is None or not self.at_special.search(text):
+            return self.id_of[np.array(self.engine.encode_ordinary(text), np.int64)].tobytes()
+        return b"".join(np.array(self.special[x], "<u4").tobytes() if x in self.special else self.encode(x) for x in self.at_special.split(text))
+
+
+@lru_cache(maxsize=2)
+def library(path: str, pattern: str) -> Library:
+    """A worker's tokenizer, made once."""
+    return Library(path, pattern)
+
+
 def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, last rank, first sequence, offset): where the pieces of each length go.
 
@@ -76,7 +104,7 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, size: int = SEQUENCE,
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, task, seen = codec(vocabulary, pattern), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        c, task, seen = library(vocabulary, pattern), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         end = np.uint32(end_id).tobytes()
         for batch in batches:
             rows: list[tuple] = []

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import re
 import zlib
 
@@ -37,7 +38,63 @@ def test_bpe_equals_tiktoken(spark):
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("leaf", [2, 3, 8])
+def strange(seed: int) -> str:
+    """A text with characters of all planes, many of them blanks, digits and letters that libraries classify differently."""
+    r, out = random.Random(seed), []
+    for _ in range(r.randint(1, 24)):
+        x = r.random()
+        if x < 0.2:
+            out.append(r.choice(" \t\n\r\x0b\x0c\x1c\x85\xa0\u1680\u180e\u2003\u2028\u3000"))
+        elif x < 0.4:
+            out.append(chr(r.randrange(33, 127)))
+        else:
+            c = r.randrange(0x80, 0x800) if x < 0.5 else r.randrange(0x110000) if x < 0.8 else r.randrange(0x10000)
+            out.append(chr(c) if not 0xD800 <= c < 0xE000 else "\ufffd")
+    return "".join(out)
+
+
+PLANES = "\U00018f9a\u9d15\U00011ee8\U0001c9a7\u4cb1\U0001ce9c\uc95d\u307d\u690d\U00013a5d"
+
+
+@pytest.mark.parametrize("leaf", [1, 4])
+def test_strange_texts_get_the_ids_of_the_libraries(leaf):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    ranks, merges, special = bpe.ranks_from_json(JSON)
+    one, two = bpe.Codec(bpe.ranks_from_tiktoken(RANKS), public_tokenizers.PATTERN, leaf_bytes=leaf), bpe.Codec(ranks, public_tokenizers.PATTERN, merges, special, leaf)
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks_from_tiktoken(RANKS), special_tokens={})
+    third, packer = Tokenizer.from_file(JSON), packing.Library(JSON, public_tokenizers.PATTERN)
+    assert len(one.encode(PLANES)) == 4 * len(other.encode_ordinary(PLANES)) == 4 * 34
+    for seed in range(50_000):
+        text = strange(seed) + ("<|endoftext|>" + strange(-seed) if seed % 9 == 0 else "")
+        assert list(memoryview(one.encode(text)).cast("I")) == other.encode_ordinary(text)
+        want = third.encode(text, add_special_tokens=False).ids
+        assert list(memoryview(two.encode(text)).cast("I")) == want == list(memoryview(packer.encode(text)).cast("I"))
+        assert one.decode(other.encode_ordinary(text)) == text.encode()
+
+
+def test_every_token_is_the_encoding_of_its_bytes():
+    """What makes stable pairs a proof; the tree joins parts for every pre-token of more than one byte."""
+    c = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    assert all(c.piece(token) == (n,) for token, n in c.ranks.items()) and c.joins > 10_000
+    ranks, merges, special = bpe.ranks_from_json(JSON)
+    c = bpe.Codec(ranks, public_tokenizers.PATTERN, merges, special)
+    assert all(c.piece(token) == (n,) for token, n in c.ranks.items())
+
+
+def test_memories_are_emptied_when_full(monkeypatch):
+    import tiktoken
+
+    for name, value in (("MEMORY", 20), ("GROUP_CHARS", 50), ("LONG", 3)):
+        monkeypatch.setattr(bpe, name, value)
+    ranks = bpe.ranks_from_tiktoken(RANKS)
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    c, texts = bpe.Codec(ranks, public_tokenizers.PATTERN), [words(i, 40) for i in range(20)] + HARD[:6]
+    assert [list(memoryview(x).cast("I")) for x in c.encode_many(texts)] == [other.encode_ordinary(x) for x in texts]
+
+
+@pytest.mark.parametrize("leaf", [1, 2, 3, 8])
 def test_small_leaves_join_to_the_same_tokens(leaf):
     import tiktoken
 
