@@ -7,17 +7,19 @@ all ROWS x BANDS coordinates. Equal sets are one node. Nodes that share a band a
 1. In every band's group the smallest node is compared with all others (a star, linear in the group).
 2. Connected components of the confirmed links are found.
 3. Stars that still hold nodes of several components are compared in full: two nodes that share a band share its
-   smallest node, so they are in its star. A star is cut into blocks of about STAR_BLOCK nodes, a task counts the
-   common shingles of two blocks by matrix products, and only links that join components are emitted, at most one for
-   each node. No pair is cut off.
+   smallest node, so they are in its star. First by signatures, in blocks of about SIGNATURE_BLOCK nodes: only nodes
+   go on whose signature is close to one of another component. Their sets are compared in blocks of about STAR_BLOCK
+   nodes: a task counts the common shingles of two blocks by matrix products, and only links that join components are
+   emitted, at most one for each node. No pair is cut off.
 
 Links are confirmed on whole sets, computed from whole texts. Verification deals the members of a hub over salted
-groups of at most SALT members, each with a copy of the hub's text, so no task holds a large group.
+groups, each with a copy of the hub's text, so no task holds a large group.
 
 Null texts and texts without words have an empty set and are linked with nothing. With fewer words than a shingle has,
 the sequence of words is one shingle. Rows without doc_id take no part and are their own component (null). Rows that
-repeat a doc_id count as one document with several texts. The component's id is its smallest doc_id, so ties can't
-arise. A banding miss has probability below 1e-7 for a link at the threshold (32 bands of 4 rows).
+repeat a doc_id count as one document with several texts: what one of them is linked with, all are, empty texts
+included. The component's id is its smallest doc_id, so ties can't arise. A banding miss has probability below 1e-7 for
+a link at the threshold (32 bands of 4 rows).
 """
 
 from __future__ import annotations
@@ -30,12 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larchpoint.llm.common import bound_batches, column, keep, map_batches, table
+from larchpoint.llm.common import bound_batches, column, forget, keep, map_batches, table
 
 BANDS, ROWS = 32, 4
-#: Members of a hub verified together, nodes of a star compared together, shingles of one matrix.
-SALT = 128
+#: Rows of a hub's bands for which there is one group of members, tasks that a star's rows are dealt over.
+SALT = 1024
+STAR_SALTS = 64
+#: Nodes of a star compared together, by signatures and by sets; shingles of one matrix.
+SIGNATURE_BLOCK = 1024
 STAR_BLOCK = 256
+#: How far below the similarity the share of equal coordinates of a link may lie.
+MARGIN = 0.25
 FEATURES = 4096
 SHINGLE_WORDS = 5
 #: Similarity as a fraction of integers.
@@ -109,12 +116,26 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
     return map_batches(docs, run, "doc_id long, n_shingles long, print binary, sig array<int>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, n: int, similar: tuple[int, int]) -> DataFrame:
-    """The pairs (hub, id) whose sets are similar enough. texts: id, text."""
-    members = pairs.join(texts.hint("merge"), "id").select("hub", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("salt"), "id", "text")
-    groups = pairs.groupBy("hub").agg(F.count("*").alias("n")).select("hub", F.ceil(F.col("n") / SALT).cast("long").alias("salts"))
-    hubs = groups.join(texts.withColumnRenamed("id", "hub").hint("merge"), "hub").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("id"), "text")
-    members = members.join(groups, "hub").select("hub", F.pmod("salt", "salts").alias("salt"), "id", "text")
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stars of nodes that share a band: (hub, id, salt) of their members, and (hub, salt) of all groups of members.
+
+    A hub's groups follow from the rows of its bands, at most BANDS for each hub, so members never meet by hub.
+    """
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * ROWS + 1, ROWS)))
+    bands = nodes.select("id", F.explode(keys).alias("band"))
+    shared = keep(bands.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("n")).where("hub < last").drop("last"))
+    groups = keep(shared.groupBy("hub").agg(F.ceil(F.sum("n") / SALT).cast("long").alias("salts")))
+    at = shared.select("band", "hub").join(groups.hint("merge"), "hub")
+    members = bands.join(at.hint("merge"), "band").where("id <> hub")
+    members = keep(members.select("hub", "id", F.pmod(F.xxhash64("id"), "salts").alias("salt")).distinct())
+    return members, groups.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+
+
+def verify(pairs: DataFrame, groups: DataFrame, texts: DataFrame, n: int, similar: tuple[int, int]) -> DataFrame:
+    """The pairs (hub, id) whose sets are similar enough. pairs and groups: from candidates(); texts: id, text."""
+    members = pairs.join(texts.hint("merge"), "id").select("hub", "salt", "id", "text")
+    there = groups.join(pairs.select("hub", "salt").distinct().hint("merge"), ["hub", "salt"])
+    hubs = there.join(texts.withColumnRenamed("id", "hub").hint("merge"), "hub").select("hub", "salt", F.lit(None).cast("long").alias("id"), "text")
     both = hubs.unionByName(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("id").asc_nulls_first())
     bound_batches(texts.sparkSession)
 
@@ -143,36 +164,72 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, similar: tuple[int, int])
 
 
 def open_stars(tested: DataFrame, labels: DataFrame) -> DataFrame:
-    """hub, id, label of all nodes of the stars that hold nodes of several components, the hubs among them."""
+    """hub, id, label, n of all nodes of the stars that hold nodes of several components, the hubs among them."""
+    tested = tested.select("hub", "id")
     rows = keep(labelled(tested.unionByName(tested.select("hub", F.col("hub").alias("id")).distinct()), labels))
     several = rows.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    return rows.join(several.select("hub", "n"), "hub")
+    # A hub's rows are dealt over STAR_SALTS tasks.
+    salted = several.select("hub", "n", F.explode(F.sequence(F.lit(0), F.lit(STAR_SALTS - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(STAR_SALTS)).cast("int")).join(salted, ["hub", "salt"]).drop("salt")
 
 
-def compare_stars(stars: DataFrame, texts: DataFrame, n: int, similar: tuple[int, int]) -> DataFrame:
-    """Links between components within a star. A star is cut into blocks; a task compares two blocks, or one in itself."""
-    blocks = F.ceil(F.col("n") / STAR_BLOCK).cast("int")
+def in_blocks(stars: DataFrame, size: int) -> DataFrame:
+    """Each row of a star for every pair of blocks it is in: own block, and the blocks i <= j that a task compares."""
+    blocks = F.ceil(F.col("n") / size).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = stars.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))}).select("hub", "id", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    both = rows.join(texts.hint("merge"), "id").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    bound_batches(texts.sparkSession)
+    rows = stars.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    return rows.select("hub", "id", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def by_blocks(both: DataFrame, value: str, compare) -> DataFrame:
+    """hub, id from compare(rows of two blocks: id, label, whether in the first, value; whether it is one block)."""
+    both = both.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    bound_batches(both.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def out() -> list[pa.RecordBatch]:
-            found = between(held, key[1] == key[2], similar) if held else []
+            found = [x if len(x) == 2 else (key[0], *x) for x in compare(held, key[1] == key[2])] if held else []
             return [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["hub", "id"])] if found else []
 
         for batch in batches:
-            for *at, id_, label, own, text in zip(*(column(batch, c).to_pylist() for c in ("hub", "i", "j", "id", "label", "own", "text")), strict=True):
+            for *at, id_, label, own, x in zip(*(column(batch, c).to_pylist() for c in ("hub", "i", "j", "id", "label", "own", value)), strict=True):
                 if at != key:
                     yield from out()
                     key, held = at, []
-                held.append((id_, label, own == key[1], shingles(text, n)))
+                held.append((id_, label, own == key[1], x))
         yield from out()
 
-    return both.select("hub", "i", "j", "id", "label", "own", "text").mapInArrow(run, "hub long, id long")
+    return both.select("hub", "i", "j", "id", "label", "own", value).mapInArrow(run, "hub long, id long")
+
+
+def promising(stars: DataFrame, nodes: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """The rows of stars with a node of another component in their star whose signature is close enough: MARGIN below
+    the share of equal coordinates that a link has on average, so that no link in 10^9 is lost."""
+    least = BANDS * ROWS * (similar[0] / similar[1] - MARGIN)
+
+    def compare(rows: list[tuple], inside: bool) -> list[tuple[int]]:
+        sig, label = np.array([r[3] for r in rows], np.int32), np.array([r[1] for r in rows])
+        first = np.array([r[2] for r in rows])
+        a, b = (np.flatnonzero(first), np.flatnonzero(first if inside else ~first))
+        same = np.zeros((len(a), len(b)), np.uint8 if sig.shape[1] < 256 else np.uint16)
+        for c in range(sig.shape[1]):
+            same += sig[a, c][:, None] == sig[b, c]
+        close = (same >= least) & (label[a][:, None] != label[b])
+        return [(rows[x][0],) for x in {*a[close.any(axis=1)].tolist(), *b[close.any(axis=0)].tolist()}]
+
+    rows = in_blocks(stars, SIGNATURE_BLOCK).join(nodes.select("id", "sig").hint("merge"), "id")
+    return by_blocks(rows, "sig", compare).distinct()
+
+
+def compare_stars(stars: DataFrame, texts: DataFrame, n: int, similar: tuple[int, int]) -> DataFrame:
+    """Links between components within a star. A star is cut into blocks; a task compares two blocks, or one in itself."""
+
+    def compare(rows: list[tuple], inside: bool) -> list[tuple[int, int]]:
+        return between([(*r[:3], shingles(r[3], n)) for r in rows], inside, similar)
+
+    return by_blocks(in_blocks(stars, STAR_BLOCK).join(texts.hint("merge"), "id"), "text", compare)
 
 
 def between(rows: list[tuple], inside: bool, similar: tuple[int, int]) -> list[tuple[int, int]]:
@@ -248,22 +305,30 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, similar: tuple[int,
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     every = keep(sets(docs, n))
     nodes = keep(every.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * ROWS + 1, ROWS)))
-    bands = nodes.select("id", F.explode(keys).alias("band"))
-    shared = bands.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").drop("last")
-    tested = keep(bands.join(shared, "band").where("id <> hub").select("hub", "id").distinct())
+    rows = keep(every.select("doc_id", "n_shingles", "print").join(nodes.select("print", "id").hint("merge"), "print", "left").drop("print"))
+    forget(every)
+    # Texts of one doc_id belong together: all its nodes are linked with the least, and its empty texts go with them.
+    several = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(F.col("id").isNull()).alias("empty")).where("lo < hi OR empty AND lo IS NOT NULL")
+    several = keep(several.select("doc_id", "lo"))
+    own = rows.where("id IS NOT NULL").join(several.hint("merge"), "doc_id").where("id <> lo").select(F.col("lo").alias("hub"), "id").distinct()
+    tested, groups = candidates(nodes)
     # Texts of all candidates, once; by sorting at every size, as the candidates grow with the corpus.
     ids = tested.select(F.explode(F.array("hub", "id")).alias("doc_id")).distinct()
-    texts = keep(docs.join(ids.hint("merge"), "doc_id").select(F.col("doc_id").alias("id"), "text"))
-    links = keep(verify(tested, texts, n, similar))
+    texts = keep(docs.join(ids.hint("merge"), "doc_id").select(F.col("doc_id").alias("id"), "text").distinct())
+    links = keep(verify(tested, groups, texts, n, similar).unionByName(own))
     labels = components(links)
-    more = keep(compare_stars(open_stars(tested, labels), texts, n, similar))
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    out = every.select("doc_id", "n_shingles", "print").join(nodes.select("print", "id"), "print", "left")
-    out = labelled(out, labels)
+    stars = keep(open_stars(tested, labels))
+    near = keep(promising(stars, nodes, similar))
+    if not near.isEmpty():
+        some = near.groupBy("hub").agg(F.count("*").alias("n"))
+        chosen = stars.drop("n").join(near.hint("merge"), ["hub", "id"]).join(some, "hub")
+        more = keep(compare_stars(chosen, texts, n, similar))
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
+    forget(tested, texts, stars, near, nodes)
+    rows = rows.join(several.hint("merge"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("id", "lo").alias("id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return labelled(rows, labels).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,8 +52,17 @@ def test_minhash_nulls_repeats_clashes_and_no_rows(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_texts_of_one_document_share_a_component(spark):
+    a, b, c, d = (words(40 + i, 60) for i in range(4))
+    rows = [(3, a), (7, a), (7, b), (9, c), (9, d), (11, d), (12, b + " more"), (13, c), (7, ""), (20, ""), (20, None), (9, c), (None, b)]
+    got = sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect())
+    want = {3: 3, 7: 3, 12: 3, 9: 9, 11: 9, 13: 9, 20: 20, None: None}
+    assert got == sorted((str(i), want[i], i in (3, 9, 20, None)) for i, _ in rows)
+
+
 def test_stars_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "STAR_BLOCK", 4)
+    monkeypatch.setattr(minhash, "SIGNATURE_BLOCK", 5)
     monkeypatch.setattr(minhash, "SALT", 3)
     rows = near_copies()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
