@@ -20,8 +20,10 @@ from larchpoint.llm.common import table
 
 #: Queries of one tile.
 TILE = 512
-#: Room for rounding in the float32 tiles and the bounds, relative to the norms' product.
-SLACK = 1e-5
+#: Components of which a tile's products are exact in float32.
+DIMENSIONS = 1024
+#: Room for rounding in the scaling and the bounds, which are doubles, relative to the norms' product and components.
+SLACK = 1e-12
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -33,6 +35,14 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return q, scale, np.sqrt((back**2).sum(axis=1)), np.sqrt(((x - back) ** 2).sum(axis=1))
 
 
+def integer_products(q: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Products of int8 rows, exact: float32 holds 1040 products of 127 * 127, and doubles the sum of such blocks."""
+    total = np.zeros((len(q), columns.shape[1]))
+    for d in range(0, len(columns), DIMENSIONS):
+        total += q[:, d : d + DIMENSIONS].astype(np.float32) @ columns[d : d + DIMENSIONS]
+    return total
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise inner products, added component by component in order."""
     total = np.zeros(len(a))
@@ -52,12 +62,12 @@ class Tiles:
     def add(self, ids: np.ndarray, data: np.ndarray) -> None:
         q, scale, back, rest = quantise(data)
         norm = np.sqrt((data**2).sum(axis=1))
-        columns = q.T.astype(np.float32)  # products of int8 rows stay exact integers in float32 up to 1040 components
+        columns = q.T.astype(np.float32)
         for i in range(0, len(self.ids), TILE):
             rows = slice(i, i + TILE)
-            close = (self.q[rows].astype(np.float32) @ columns) * self.scale[rows, None].astype(np.float64) * scale
+            close = integer_products(self.q[rows], columns) * self.scale[rows, None] * scale
             # <x,y> - <x',y'> = <x, y - y'> + <x - x', y'>
-            error = self.norm[rows, None] * rest + self.rest[rows, None] * back + SLACK * self.norm[rows, None] * norm
+            error = self.norm[rows, None] * rest + self.rest[rows, None] * back + SLACK * (1 + self.q.shape[1]) * self.norm[rows, None] * norm
             own = self.ids[rows, None] == ids
             low = np.where(own, -np.inf, close - error)
             least = self.best.floor()[rows]

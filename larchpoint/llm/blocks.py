@@ -1,7 +1,7 @@
 """Vectors in blocks: the plan that both vector searches share.
 
 Valid vectors are packed into matrices of at most BLOCK_ROWS rows. Queries form H groups of at most GROUP_QUERIES
-vectors, candidates G groups; a task holds one query group with its best candidates so far and reads one candidate
+vectors and GROUP_BYTES bytes, candidates G groups; a task holds one query group with its best candidates so far and reads one candidate
 group block by block. Its memory is bounded whatever the table's size, and each of the G results per query has at most
 k rows; these are merged by rank. G and H follow from a count of the rows.
 """
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from larchpoint.llm.common import bound_batches, column
 
 BLOCK_ROWS = 4096
+#: Queries, and bytes of queries, of one task.
 GROUP_QUERIES = 65_536
+GROUP_BYTES = 64 << 20
 #: Candidates of one task.
 GROUP_ROWS = 16_384
 
@@ -60,20 +62,28 @@ def search(vectors: DataFrame, every: int, valid, engine: Callable, k: int, scor
     engine(dim, ids, data) makes an object for a query group with add(ids, data) for each block of candidates and
     result() -> query ids, candidate ids, scores. Vectors are compared with those of their own length.
     """
-    rows = vectors.count()
-    h = max(1, -(-rows // every // GROUP_QUERIES))
+    rows, size = vectors.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("vec_id") % every == 0, F.size("embedding"))), F.lit(0))).head()
+    h = max(1, -(-rows // every // GROUP_QUERIES), -(-8 * size // GROUP_BYTES))
     g = max(1, -(-rows // GROUP_ROWS))
     plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), (F.col("vec_id") % every == 0).alias("query"))
     # Queries of a group must meet every candidate group, and candidates every query group.
-    put = F.when(F.col("query"), F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(h))).otherwise(0).cast("int")
+    put = F.when(F.col("query"), F.pmod(F.xxhash64(F.lit(1), "vec_id", "embedding"), F.lit(h))).otherwise(0).cast("int")
     as_queries = pack(plain.where("query").select("vec_id", "embedding", "query", put.alias("part")), valid)
-    as_candidates = pack(plain.select("vec_id", "embedding", F.lit(False).alias("query"), F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(g)).cast("int").alias("part")), valid)
+    as_candidates = pack(plain.select("vec_id", "embedding", F.lit(False).alias("query"), F.pmod(F.xxhash64(F.lit(2), "vec_id", "embedding"), F.lit(g)).cast("int").alias("part")), valid)
     left = as_queries.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(g - 1)))).select("dim", "query", F.col("part").alias("h"), F.col("other").alias("g"), "ids", "data")
     right = as_candidates.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).select("dim", "query", F.col("other").alias("h"), F.col("part").alias("g"), "ids", "data")
     both = left.unionByName(right).repartition(max(1, g * h), "h", "g", "dim").sortWithinPartitions("h", "g", "dim", F.desc("query"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, ids_held, work = None, [], [], None
+        block: list[tuple] = []  # candidates not yet compared
+
+        def flush():
+            if block:
+                ids, data = (np.concatenate(x) for x in zip(*block, strict=True))
+                for i in range(0, len(ids), BLOCK_ROWS):
+                    work.add(ids[i : i + BLOCK_ROWS], data[i : i + BLOCK_ROWS])
+                block.clear()
 
         def start():
             if held:
@@ -83,6 +93,7 @@ def search(vectors: DataFrame, every: int, valid, engine: Callable, k: int, scor
         def out(work):
             if work is None:
                 return []
+            flush()
             q, v, s = work.result()
             if not len(q):
                 return []
@@ -99,8 +110,9 @@ def search(vectors: DataFrame, every: int, valid, engine: Callable, k: int, scor
                     ids_held.append(ids)
                 elif held:
                     work = work or start()
-                    for i in range(0, len(ids), BLOCK_ROWS):
-                        work.add(ids[i : i + BLOCK_ROWS], data[i : i + BLOCK_ROWS])
+                    block.append((ids, data))
+                    if sum(len(x) for x, _ in block) >= BLOCK_ROWS or sum(x.nbytes for _, x in block) >= GROUP_BYTES // 4:
+                        flush()
         yield from out(work)
 
     found = both.mapInArrow(run, f"query_id long, vec_id long, score {score_type}")

@@ -39,7 +39,7 @@ BANDS, ROWS = 32, 4
 SALT = 1024
 STAR_SALTS = 64
 #: Nodes of a star compared together, by signatures and by sets; shingles of one matrix.
-SIGNATURE_BLOCK = 1024
+SIGNATURE_BLOCK = 384
 STAR_BLOCK = 256
 #: How far below the similarity the share of equal coordinates of a link may lie.
 MARGIN = 0.25

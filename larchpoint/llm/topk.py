@@ -1,13 +1,15 @@
 """Exact top-k search: columnar branch and bound over integer vectors.
 
-A block of candidates is held column by column. Inner products are accumulated one block of dimensions at a time;
-after each, the norms of the dimensions still to come bound what a candidate can add, and candidates that can't reach
-the query's k-th best score are dropped. Those left are compacted when they have become few.
-
-Components are floor(256 x), x as double. Scores are exact integers: where products could pass 2^53, Python integers
-are used, and scores beyond 64 bits are clamped to them. Vectors that are null, empty or hold null or non-finite
-components, or have no id, take no part; zero vectors do. Ties go to the smaller vec_id; with fewer than k candidates
-all are returned; repeated rows count as often as they occur, but a query never finds its own id.
+A block of candidates is held column by column. A query takes the columns in the order of its own largest components,
+a block of dimensions at a time, and accumulates inner products and the candidates' remaining mass, the squares of the
+components still to come. After each block, the remaining masses of query and candidate bound what a candidate can add;
+candidates that can't reach the query's k-th best score are dropped, and those left are compacted.
+
+Components are floor(256 x), x as double. Scores are exact integers: a pair whose products could pass 2^52 is computed
+with Python integers, all others with doubles that hold them exactly. The result's type has 64 bits: larger scores are
+clamped to it and then are ties. Vectors that are null, empty or hold null or non-finite components, or have no id,
+take no part; zero vectors do. Ties go to the smaller vec_id; with fewer than k candidates all are returned; repeated
+rows count as often as they occur, but a query never finds its own id.
 """
 
 from __future__ import annotations
@@ -18,70 +20,66 @@ from pyspark.sql import DataFrame, SparkSession
 from larchpoint.llm.blocks import Best, search
 from larchpoint.llm.common import table
 
-DIMENSIONS = 16
-TILE = 256
+#: Dimensions accumulated between two bounds.
+DIMENSIONS = 8
 EXACT = 2.0**52
 
 
 class Columns:
+    """Queries with their best candidates so far; touched of pairs * dim components have been read."""
+
     def __init__(self, dim: int, ids: np.ndarray, data: np.ndarray, k: int, block: int = DIMENSIONS):
-        self.ids, self.k, self.dim = ids, k, dim
+        self.ids, self.k, self.dim, self.block = ids, k, dim, block
         self.v = np.floor(256 * data)
-        self.cuts = [*range(0, dim, block), dim]
-        self.rest = self.norms(self.v)
+        self.norm = self.norms(self.v)
         self.best = Best(len(ids), k, np.int64)
         self.touched = self.pairs = 0
 
     def norms(self, v: np.ndarray) -> np.ndarray:
-        """Norm of the dimensions from each cut on, rounded up."""
+        """Norms, rounded up."""
         with np.errstate(over="ignore"):
-            return np.stack([np.sqrt((v[:, c:] ** 2).sum(axis=1)) * (1 + 1e-9) for c in self.cuts])
+            return np.sqrt((v**2).sum(axis=1)) * (1 + 1e-9)
 
     def add(self, ids: np.ndarray, data: np.ndarray) -> None:
         v = np.floor(256 * data)
-        rest = self.norms(v)
-        with np.errstate(over="ignore"):
-            huge = not self.rest[0].max() * rest[0].max() < EXACT
+        norm = self.norms(v)
         columns = np.ascontiguousarray(v.T)
-        for i in range(0, len(self.ids), TILE):
-            rows = slice(i, i + TILE)
-            if huge:
-                self.exactly(i, ids, v)
-                continue
-            total = np.zeros((len(self.ids[rows]), len(ids)))
-            alive, cols = np.ones(len(ids), bool), np.arange(len(ids))
-            part = columns
-            own = self.ids[rows, None] == ids
-            self.pairs += total.size
-            for n, (lo, hi) in enumerate(zip(self.cuts, self.cuts[1:], strict=False), 1):
-                total += self.v[rows, lo:hi] @ part[lo:hi]
-                self.touched += total.size * (hi - lo)
-                if hi == self.dim:
-                    break
-                least = self.best.floor()[rows].astype(np.float64)
-                reach = self.rest[n][rows, None] * rest[n][cols]
-                if len(cols) >= self.k:  # the k-th best lower bound within the block
-                    low = np.where(own[:, cols], -np.inf, total - reach)
-                    least = np.maximum(least, np.partition(low, len(cols) - self.k, axis=1)[:, len(cols) - self.k])
-                alive = (total + reach >= least[:, None]).any(axis=0)
-                if alive.mean() < 0.75:
-                    total, cols, part = np.ascontiguousarray(total[:, alive]), cols[alive], np.ascontiguousarray(part[:, alive])
-            least = self.best.floor()[rows].astype(np.float64)
-            shown = np.where(own[:, cols], -np.inf, total)
-            if len(cols) >= self.k:
-                least = np.maximum(least, np.partition(shown, len(cols) - self.k, axis=1)[:, len(cols) - self.k])
-            a, b = np.nonzero((shown >= least[:, None]) & ~own[:, cols])
-            for j in range(0, len(a), 1 << 18):
-                x, y = a[j : j + (1 << 18)], b[j : j + (1 << 18)]
-                self.best.merge(x + i, ids[cols[y]], total[x, y].astype(np.int64))
-
-    def exactly(self, i: int, ids: np.ndarray, v: np.ndarray) -> None:
-        whole = [[int(c) for c in row] for row in v]
-        for x in range(i, min(i + TILE, len(self.ids))):
-            mine = [int(c) for c in self.v[x]]
-            y = np.flatnonzero(ids != self.ids[x])
-            score = [max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(mine, whole[j], strict=True)))) for j in y]
-            self.best.merge(np.full(len(y), x), ids[y], np.array(score, np.int64))
+        with np.errstate(over="ignore", invalid="ignore"):
+            for x in range(len(self.ids)):
+                other = ids != self.ids[x]
+                plain = self.norm[x] * norm < EXACT
+                self.pairs += len(ids)
+                self.bounded(x, np.flatnonzero(other & plain), ids, columns, norm)
+                if not plain.all():
+                    self.exactly(x, np.flatnonzero(other & ~plain), ids, v)
+
+    def bounded(self, x: int, alive: np.ndarray, ids: np.ndarray, columns: np.ndarray, norm: np.ndarray) -> None:
+        q = self.v[x]
+        order = np.argsort(-np.abs(q), kind="stable")
+        # What the query's components from each block on can give, rounded up.
+        mass = np.sqrt(np.append(np.cumsum((q[order] ** 2)[::-1])[::-1], 0.0)) * (1 + 1e-9)
+        total, left = np.zeros(len(alive)), norm[alive] ** 2
+        full = self.best.vec[x, -1] != np.iinfo(np.int64).max
+        for lo in [*range(0, self.dim, self.block), self.dim]:  # at last with no block
+            reach = mass[lo] * np.sqrt(np.maximum(left, 0))  # nothing after the last block
+            least = float(self.best.floor()[x])
+            if not full and len(alive) >= self.k:  # the k-th best lower bound among those left
+                least = max(least, np.partition(total - reach, len(alive) - self.k)[len(alive) - self.k])
+            good = total + reach >= least
+            if not good.all():
+                alive, total, left = alive[good], total[good], left[good]
+            some = order[lo : lo + self.block]
+            self.touched += len(some) * len(alive)
+            whole = len(alive) == columns.shape[1]
+            part = columns[some] if whole else columns[some].take(alive, axis=1)
+            total += q[some] @ part
+            left -= np.einsum("ij,ij->j", part, part)
+        self.best.merge(np.full(len(alive), x), ids[alive], total.astype(np.int64))
+
+    def exactly(self, x: int, y: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+        mine = [int(c) for c in self.v[x]]
+        score = [max(-(2**63) + 1, min(2**63 - 1, sum(a * int(b) for a, b in zip(mine, v[j], strict=True)))) for j in y]
+        self.best.merge(np.full(len(y), x), ids[y], np.array(score, np.int64))
 
     def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return self.best.result(self.ids)

@@ -40,6 +40,7 @@ def once(rows):  # a query that occurs several times is asked several times
 def test_nearest_equals_brute_force(spark, monkeypatch, group):
     monkeypatch.setattr(blocks, "GROUP_ROWS", group)
     monkeypatch.setattr(blocks, "GROUP_QUERIES", group)
+    monkeypatch.setattr(blocks, "GROUP_BYTES", 10 * group)
     df = spark.createDataFrame(once(ROWS), "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
     assert sorted(map(tuple, ann.nearest(df, 20, 20).collect())) == brute(once(ROWS), 20, 20, in_order, False)
 
@@ -68,7 +69,42 @@ def test_pruning_skips_work():
     assert t.survivors < 0.1 * t.pairs
     c = topk.Columns(64, np.arange(5), x[:5], 5)
     c.add(np.arange(2000), x)
-    assert c.touched < 64 * c.pairs
+    assert c.touched < 0.5 * 64 * c.pairs
+
+
+def test_pruning_skips_work_on_the_table(spark):
+    """Vectors of the table have equal energy in all dimensions; a query's own largest components come first."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    asked = ids % 50 == 0
+    c = topk.Columns(64, ids[asked], x[asked], 5)
+    for i in range(0, len(ids), 500):
+        c.add(ids[i : i + 500], x[i : i + 500])
+    assert c.touched < 0.5 * 64 * c.pairs
+    q, v, s = c.result()
+    want = np.floor(256 * x[asked]) @ np.floor(256 * x).T
+    want[ids[asked][:, None] == ids] = -np.inf
+    assert s.tolist() == np.sort(want, axis=1)[:, ::-1][:, :5].ravel().tolist()
+
+
+def test_wide_vectors_and_many_copies_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "GROUP_BYTES", 100_000)
+    rng = np.random.default_rng(3)
+    wide = [(i, rng.normal(size=3000).tolist()) for i in range(60)]
+    df = spark.createDataFrame(wide, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top(df, 3, 20).collect())) == brute(wide, 20, 3, whole, True)
+    got = sorted(map(tuple, ann.nearest(df, 3, 20).collect()))
+    assert [r[:3] for r in got] == [r[:3] for r in brute(wide, 20, 3, in_order, False)]
+    copies = [(1, [1.0, 2.0])] * 500 + [(40, [2.0, 1.0]), (60, [1.0, 1.0])]
+    df = spark.createDataFrame(copies, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top(df, 5, 20).collect())) == brute(copies, 20, 5, whole, True)
+    assert sorted(map(tuple, ann.nearest(df, 5, 20).collect())) == brute(copies, 20, 5, in_order, False)
+
+
+def test_only_huge_pairs_are_computed_apart(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(0, 40)] + [(50, [1e9, -1e9]), (51, [-3e8, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top(df, 5, 10).collect())) == brute(rows, 10, 5, whole, True)
 
 
 def turns(spark, rows):
