@@ -1,11 +1,12 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Letters are lower-cased, runs of other characters count as one space. The matrix of log probabilities has a row per
-hash bucket and a column per language; it is broadcast (its size is fixed by BUCKETS and MAX_LANGUAGES) and batches of
-texts are scored in numpy as sparse rows.
+hash bucket and a column per language, and a prior that follows the languages' shares; it is broadcast (its size is fixed
+by BUCKETS and MAX_LANGUAGES) and batches of texts are scored in numpy as sparse rows.
 
-The model is fitted on a bounded sample, TRAIN_DOCS documents of each language; every text is scored whole. Null texts
-and texts without a letter are `und` with score 0, as is every text if nothing can be learned. Ties go to the first
+The model is fitted on a bounded sample, TRAIN_DOCS documents of each language; every text is scored whole. Every value
+of lang is learned; more than MAX_LANGUAGES are an error, as none may be left out. Null texts and texts without a
+letter are `und` with score 0, as is every text if nothing can be learned. Ties go to the first
 language in alphabetical order. Repeated rows count and return as often as they occur.
 """
 
@@ -25,9 +26,10 @@ from larchpoint.llm.common import column, map_batches, table
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
-#: Bound of the training sample: documents of each language. Languages beyond the most frequent aren't learned.
+#: Bound of the training sample: documents of each language.
 TRAIN_DOCS = 1500
-MAX_LANGUAGES = 256
+#: Bound of the matrix: languages that can be learned (128 MB of float32).
+MAX_LANGUAGES = 512
 #: n-grams scored at once.
 BLOCK = 1 << 18
 
@@ -68,13 +70,16 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod == rest
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages and the matrix of log probabilities, from rows of text and lang."""
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, the matrix of log probabilities and the log priors, from rows of text and lang."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
     if not counts:
-        return [], np.zeros((BUCKETS, 0), np.float32)
+        return [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0)
     langs = sorted(counts)
+    prior = np.log(np.array([counts[x] for x in langs]) / sum(counts.values()))
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, train_docs / counts[lang]))])
     # Equal texts get equal numbers, so a large group of copies is in the sample as a whole or not at all: the id takes part.
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
@@ -92,10 +97,10 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.nd
     at = {x: i for i, x in enumerate(langs)}
     n[found["bucket"].to_numpy(), [at[x] for x in found["lang"].to_pylist()]] = found["n"].to_numpy()
     n += SMOOTHING
-    return langs, np.log(n / n.sum(axis=0)).astype(np.float32)
+    return langs, np.log(n / n.sum(axis=0)).astype(np.float32), prior
 
 
-def score_texts(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple[list[str], list[float]]:
+def score_texts(texts: list[str | None], langs: list[str], logp: np.ndarray, prior: np.ndarray) -> tuple[list[str], list[float]]:
     names, scores = [], []
     for text in texts:
         g = grams(text) if text and langs else ()
@@ -103,7 +108,7 @@ def score_texts(texts: list[str | None], langs: list[str], logp: np.ndarray) ->
             names.append("und")
             scores.append(0.0)
             continue
-        total = np.zeros(len(langs))
+        total = prior.copy()
         for i in range(0, len(g), BLOCK):
             total += logp[g[i : i + BLOCK]].sum(axis=0, dtype=np.float64)
         best = int(total.argmax())
@@ -112,13 +117,12 @@ def score_texts(texts: list[str | None], langs: list[str], logp: np.ndarray) ->
     return names, scores
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
     """docs with columns lang_pred and score added; all columns of docs are kept."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, logp = sent.value
-        names, scores = score_texts(column(batch, "text").to_pylist(), langs, logp)
+        names, scores = score_texts(column(batch, "text").to_pylist(), *sent.value)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     plain = docs.drop("lang_pred", "score")

@@ -9,7 +9,7 @@ entities by their kind (generalisation) and removes disclosing terms.
 Two passes over all texts count: the first gathers (term, entity, context) where entities stand, the second counts in
 how many documents the candidate terms occur. Candidates and disclosing terms reach the second pass as a bitmap of
 fixed size (BITMAP buckets), which only saves work: exact joins decide. Disclosing terms are broadcast up to
-BROADCAST_TERMS; beyond, they are joined to the documents that hold them.
+BROADCAST_TERMS; beyond, they are joined to the texts that hold them.
 
 Null and empty texts have no spans. Very long texts are handled in time linear in their length. Exact copies of a
 context count once. Repeated rows are handled each for itself, and rows without doc_id too.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from larchpoint.llm.common import bound_batches, column, keep, map_batches, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: A term's characters on either side of an entity, within its line.
+#: A term's characters on either side of an entity, line breaks included.
 CONTEXT = 80
 #: Disclosure from which a term is a span, and the different contexts that must support it.
 THRESHOLD = 0.95
@@ -44,7 +44,7 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[0-9]++")
-_TERM = re.compile(r"[^\W\d_]{4,40}+")
+_TERM = re.compile(r"(?=[0-9]*+[^\W\d_])[^\W_]{3,40}+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -124,8 +124,7 @@ def meets(start: int, end: int, starts: list[int], ends: list[int]) -> bool:
 
 def near(text: str, start: int, end: int, covered: tuple[list[int], list[int]]) -> tuple[set[str], str]:
     """Terms near an entity, those in spans left out, and the context itself."""
-    lo, hi = max(0, start - CONTEXT, text.rfind("\n", 0, start) + 1), min(len(text), end + CONTEXT)
-    hi = hi if (cut := text.find("\n", end, hi)) < 0 else cut
+    lo, hi = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
     terms = set()
     for m in _TERM.finditer(text, lo, hi):
         if (m.start() == lo and lo and text[lo - 1].isalnum()) or (m.end() == hi and hi < len(text) and text[hi].isalnum()):
@@ -261,12 +260,14 @@ def with_terms(docs: DataFrame, terms: DataFrame, fn, schema: str, limit: int =
     seen = docs.sparkSession.sparkContext.broadcast(bitmap(terms))
 
     def words(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(i, h) for i, text in zip(column(batch, "doc_id").to_pylist(), texts_of(batch), strict=True) for h in map(hash64, {m.lower() for m in _TERM.findall(text)}) if seen.value[h % BITMAP]]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 2)], ["doc_id", "term"])
-
-    # A document has as many rows here as it has terms; repeated ids share theirs, which only adds terms found anyway.
-    per_doc = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, "doc_id long, term long").join(terms, "term").groupBy("doc_id").agg(F.collect_set("term").alias("__terms"))
-    joined = docs.join(per_doc.withColumnRenamed("doc_id", "__id"), docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
+        rows = {(i, h) for i, text in zip(column(batch, "name").to_pylist(), texts_of(batch), strict=True) for h in map(hash64, {m.lower() for m in _TERM.findall(text)}) if seen.value[h % BITMAP]}
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 2)], ["name", "term"])
+
+    # A text, named by its hash, has as many rows here as it has terms, and copies share theirs. Texts of one hash would
+    # share them too, but only terms that stand in a text are looked for.
+    name = F.xxhash64(docs["text"])
+    per_text = map_batches(docs.select(name.alias("name"), "text"), words, "name long, term long").distinct().join(terms.hint("merge"), "term").groupBy("name").agg(F.collect_set("term").alias("__terms"))
+    joined = docs.withColumn("__name", name).join(per_text.withColumnRenamed("name", "__name").hint("merge"), "__name", "left").drop("__name")
     return map_batches(joined, lambda b: fn(b.drop_columns(["__terms"]), [frozenset(x or ()) for x in column(b, "__terms").to_pylist()], None), schema)
 
 

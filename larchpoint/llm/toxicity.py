@@ -2,8 +2,8 @@
 
 Features are the distinct words, neighbouring words and words one apart of a text, hashed to HASH_BITS bits. Every
 coordinate has its own learning rate, and L1 keeps most weights at zero, so the model is a short sorted list that is
-broadcast. Training runs in one task over a bounded sample, TRAIN_ROWS labelled documents chosen by a hash of their
-id; scoring covers every whole text.
+broadcast. Training runs in one task over a bounded sample, TRAIN_ROWS labelled documents and TRAIN_BYTES bytes of
+their grams, chosen by a hash of their id; scoring covers every whole text.
 
 Null and empty texts get the score of the intercept; documents without a label can be scored but aren't learned from;
 with labels of one class only, or none, the score is the smoothed share of toxic rows. Repeated rows are scored each
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from larchpoint.llm.common import column, map_batches, table, texts_of
 from larchpoint.llm.langid import held_out
 
-#: Bound of the training sample.
+#: Bounds of the training sample.
 TRAIN_ROWS = 16_000
+TRAIN_BYTES = 192 << 20
 HASH_BITS = 40
 #: Features of fewer training documents are left at zero.
 MIN_DOCS = 5
@@ -93,7 +94,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys[used], w[used], float(bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> tuple[np.ndarray, np.ndarray, float]:
     """docs: doc_id, text; labels: doc_id, toxic. Returns what train() does."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     n = known.count()
@@ -106,11 +107,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
         return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "toxic"), pa.array(data, pa.binary())], ["doc_id", "toxic", "grams"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sorted((d, t, g) for b in batches for d, t, g in zip(*(column(b, c).to_pylist() for c in ("doc_id", "toxic", "grams")), strict=True))
+        held, size = [], 0
+        for b in batches:  # in the order of the draw; what doesn't fit the bound is passed over
+            for d, t, g in zip(*(column(b, c).to_pylist() for c in ("doc_id", "toxic", "grams")), strict=True):
+                if size + len(g) <= train_bytes:
+                    held.append((d, t, g))
+                    size += len(g)
+        held.sort()
         keys, w, bias = train([np.frombuffer(g, np.uint64) for *_, g in held], np.array([t for _, t, _ in held], float))
         yield pa.RecordBatch.from_arrays([pa.array([*keys.astype(np.int64), -1]), pa.array([*w, bias])], ["key", "weight"])
 
-    out = map_batches(sample, grams, "doc_id long, toxic int, grams binary").repartition(1).mapInArrow(learn, "key long, weight double").toArrow()
+    out = map_batches(sample, grams, "doc_id long, toxic int, grams binary").repartition(1).sortWithinPartitions(draw, "doc_id", "toxic").mapInArrow(learn, "key long, weight double").toArrow()
     keys, w = out["key"].to_numpy(), out["weight"].to_numpy()
     bias = float(w[keys == -1][0]) if (keys == -1).any() else 0.0
     order = np.argsort(keys[keys != -1])

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from larchpoint.llm import langid, minhash, pii, suffixdedup
 
-from .helpers import DOCS, clashing, linked_components, odd_rows, removed
+from .helpers import DOCS, clashing, linked_components, odd_rows, removed, words
 from .test_text import check_packing
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +18,7 @@ def test_stages_one_by_one(spark):
     model = langid.fit(docs.where(~langid.fold_of_language(docs)))
     rows = docs.collect()
     found = dict(zip([r["doc_id"] for r in rows], zip(*langid.score_texts([r["text"] for r in rows], *model)), strict=True))
-    assert {r["doc_id"] for r in known.collect()} == {i for i, (lang, p) in found.items() if lang != "und" and p >= corpus_pipeline.LEAST_SCORE}
+    assert {r["doc_id"] for r in known.collect()} == {i for i, (lang, _) in found.items() if lang != "und"}
     single = names["near_duplicates"](spark, known, SF)
     texts = {r["doc_id"]: r["text"] for r in known.collect()}
     assert {r["doc_id"] for r in single.collect()} == {i for i, (_, c) in linked_components(texts, minhash.SHINGLE_WORDS).items() if i == c}
@@ -34,6 +34,12 @@ def test_stages_one_by_one(spark):
     check_packing(names["packing"](spark, clean, SF).collect(), {r["doc_id"]: r["text"] for r in clean.collect()}, 2048)
 
 
+def test_rows_that_share_an_id_leave_as_one(spark):
+    rows = [(3, words(1, 50), "en", "a", 1), (7, words(1, 50), "en", "a", 1), (7, words(2, 50), "en", "a", 1), (9, words(3, 50), "en", "a", 1)]
+    out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, spark.createDataFrame(rows, DOCS), SF)
+    assert sorted(r["doc_id"] for r in out.collect()) == [3, 9]
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_stages_take_odd_rows(spark, empty):
     docs = clashing(spark.createDataFrame(odd_rows(), DOCS)).where(F.lit(not empty))

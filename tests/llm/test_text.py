@@ -1,9 +1,11 @@
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -203,6 +205,39 @@ def test_language_with_nulls_clashes_and_no_rows(spark):
     assert langid.predict(empty, langid.fit(empty)).count() == 0
 
 
+def test_language_equals_plain_naive_bayes(spark):
+    """The same model in plain Python: counts in dictionaries, a prior, no sample, no matrix."""
+    r = random.Random(4)
+    tongues = {"aa": "abc de", "bb": "bcd ef", "cc": "cé漢 ab"}
+    rows = [(i, "".join(r.choice(tongues[lang]) for _ in range(r.randint(1, 30))), lang) for i, lang in enumerate(["aa"] * 30 + ["bb"] * 10 + ["cc"] * 5 + ["dd"] * 0)]
+    rows += [(100, "same", "aa"), (101, "same", "bb"), (102, None, "zz"), (103, "xyz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = [(t, lang) for _, t, lang in rows if t is not None and lang is not None]
+    counts = {lang: {} for _, lang in known}
+    for text, lang in known:
+        for g in langid.grams(text).tolist():
+            counts[lang][g] = counts[lang].get(g, 0) + 1
+    total = {lang: sum(c.values()) + langid.SMOOTHING * langid.BUCKETS for lang, c in counts.items()}
+    share = {lang: sum(x == lang for _, x in known) / len(known) for lang in counts}
+    for row in langid.predict(docs, langid.fit(docs)).collect():
+        gs = langid.grams(row["text"] or "").tolist()
+        if not gs:
+            assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+            continue
+        logs = {lang: math.log(share[lang]) + sum(math.log((counts[lang].get(g, 0) + langid.SMOOTHING) / total[lang]) for g in gs) for lang in counts}
+        best = max(logs.values())
+        assert logs[row["lang_pred"]] > best - 1e-3
+        assert abs(row["score"] - 1 / sum(math.exp(x - best) for x in logs.values())) < 1e-3
+
+
+def test_more_languages_than_fit_are_an_error_and_ties_go_by_name(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "same text", x) for i, x in enumerate("dcba")], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(docs)).collect()} == {"a"}
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        langid.fit(docs)
+
+
 def auc(rows) -> float:
     good, bad = [s for s, t in rows if t], [s for s, t in rows if not t]
     return sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad))
@@ -226,6 +261,58 @@ def test_toxicity_with_nulls_and_no_rows(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
+def plain_ftrl(rows: list[set[int]], labels: list[int]) -> tuple[dict[int, float], float]:
+    """The model of toxicity.train() with one dictionary for each coordinate's state."""
+    share = (sum(labels) + 0.5) / (len(labels) + 1)
+    bias, bias_n = math.log(share / (1 - share)), 1.0
+    seen: dict[int, int] = {}
+    for x in rows:
+        for g in x:
+            seen[g] = seen.get(g, 0) + 1
+    used = {g for g, n in seen.items() if n >= min(toxicity.MIN_DOCS, max(1, len(rows) // 50))}
+    z, n = dict.fromkeys(used, 0.0), dict.fromkeys(used, 0.0)
+
+    def weight(g: int) -> float:
+        if abs(z[g]) <= toxicity.L1:
+            return 0.0
+        return (math.copysign(toxicity.L1, z[g]) - z[g]) / ((toxicity.BETA + math.sqrt(n[g])) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(toxicity.EPOCHS):
+        for d in order.permutation(len(rows)):
+            mine = rows[d] & used
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, bias + sum(weight(g) for g in mine)))))
+            slope = p - labels[d]
+            for g in mine:
+                w = weight(g)
+                z[g] += slope - (math.sqrt(n[g] + slope * slope) - math.sqrt(n[g])) / toxicity.ALPHA * w
+                n[g] += slope * slope
+            bias_n += slope * slope
+            bias -= toxicity.ALPHA / (toxicity.BETA + math.sqrt(bias_n)) * slope
+    return {g: w for g in used if (w := weight(g))}, bias
+
+
+def test_toxicity_equals_plain_ftrl(spark):
+    bad = words(77, 4)
+    texts = [words(i, 20) + (f" {bad} " if i % 3 == 0 else " ") + words(i + 500, 5) for i in range(150)]
+    labels = [int(i % 3 == 0 or i % 31 == 0) for i in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", F.lit(False))
+    known = clashing(spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"))
+    weights, bias = plain_ftrl([set(toxicity.features(t).tolist()) for t in texts], labels)
+    assert weights
+    for r in toxicity.score(docs, toxicity.fit(docs, known)).collect():
+        total = bias + sum(weights.get(g, 0.0) for g in set(toxicity.features(texts[r["doc_id"]]).tolist()))
+        assert abs(r["score"] - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_toxicity_training_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, words(i, 20 if i else 30_000)) for i in range(60)], "doc_id long, text string").withColumn("held_out", F.lit(False))
+    known = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0), (1, 1)], "doc_id long, toxic int")
+    assert toxicity.score(docs, toxicity.fit(docs, known, train_bytes=20_000)).count() == 60
+    keys, w, bias = toxicity.fit(docs, known, train_bytes=0)
+    assert not len(keys) and abs(bias) < 1e-9
+
+
 def luhn(digits: str) -> bool:
     return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(int(c) for c in reversed(digits))) % 10 == 0
 
@@ -261,10 +348,19 @@ def test_terms_near_one_entity_are_spans(spark):
     assert got[0]["n_email"] == 1 and got[100]["n_term"] == 0
     joined = {r["doc_id"]: r for r in pii.find(docs, limit=0).collect()}  # the same through a join
     assert joined == got
+    nameless = docs.unionByName(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"))
+    assert sorted(r["spans"] for r in pii.find(nameless, limit=0).collect()) == sorted(2 * [r["spans"] for r in got.values()])
     text = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert text[200] == "the  alone" and "[EMAIL]" in text[0] and "corp" not in text[0]
 
 
+def test_terms_on_other_lines_short_and_with_digits_are_spans(spark):
+    rows = [(i, f"{words(i, 5)}\nBob r2d2x9\n{words(i + 50, 2)}\nboss@corp.example\n{words(i + 90, 6)}") for i in range(20)]
+    rows += [(100 + i, words(i, 30)) for i in range(60)] + [(200, "bob and R2D2X9 alone, 12345")]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[200]["spans"] == "term:0:3,term:8:14"
+
+
 def test_pii_with_nulls_clashes_and_no_rows(spark):
     docs = odd(spark)
     found = pii.find(docs).collect()
