@@ -13,19 +13,16 @@ from pyspark.sql import functions as F
 from larchpoint.llm import langid, minhash, packing, pii, suffixdedup
 from larchpoint.llm.common import shared_folder, table
 
-#: Documents whose language has a smaller posterior probability are rejected, like those without letters.
-LEAST_SCORE = 0.5
-
 
 def _with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned from the corpus."""
+    """Documents with a language, among those learned from the corpus; a text that fits several of them stays."""
     model = langid.fit(docs.where(~langid.fold_of_language(docs)).select("doc_id", "text", "lang"))
     found = langid.predict(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
