@@ -114,7 +114,7 @@ def owners(a_domain: str, a_index: str, b_domain: str, b_index: str):
 
 def single_owner(nodes: DataFrame, leaf_domains: DataFrame) -> DataFrame:
     """node_id, domain: the domain that owns all leaves below a node, or -1. leaf_domains: leaf, domain."""
-    rows = radix.ancestors(nodes).join(leaf_domains, "leaf").groupBy("node_id").agg(F.min("domain").alias("a"), F.max("domain").alias("b"))
+    rows = radix.over_leaves(nodes, leaf_domains.select("leaf", F.col("domain").alias("a"), F.col("domain").alias("b")), {"a": F.min, "b": F.max})
     return rows.select("node_id", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(-1).alias("domain"))
 
 

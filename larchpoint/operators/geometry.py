@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larchpoint.functions import morton
 from larchpoint.functions.morton import Bounds
-from larchpoint.operators.radix import ancestors
+from larchpoint.operators.radix import over_leaves, with_slot
 
 #: Half extents are this at least.
 LEAST = 1e-6
@@ -37,9 +37,9 @@ def cell_boxes(leaf_rows: DataFrame, box: Bounds) -> DataFrame:
 
 
 def from_leaf_boxes(boxes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Geometry of every node from its leaves' boxes: only leaves are sent to their ancestors, never points."""
-    rows = ancestors(nodes).join(boxes, "leaf").groupBy("node_id")
-    return from_boxes(rows.agg(*(F.min(f"{a}0").alias(f"{a}0") for a in "xyz"), *(F.max(f"{a}1").alias(f"{a}1") for a in "xyz")))
+    """Geometry of every node from its leaves' boxes: only leaves are merged, never points."""
+    merge = {f"{a}{k}": f for a in "xyz" for k, f in enumerate((F.min, F.max))}
+    return from_boxes(over_leaves(nodes, boxes, merge))
 
 
 def geometry(bucketed: DataFrame, nodes: DataFrame, radius: str | None = None) -> DataFrame:
@@ -49,5 +49,4 @@ def geometry(bucketed: DataFrame, nodes: DataFrame, radius: str | None = None) -
 
 def level_major(geom: DataFrame, nodes: DataFrame) -> DataFrame:
     """Geometry with each node's level and its slot among the nodes of that level."""
-    slot = F.row_number().over(Window.partitionBy("level").orderBy("node_id")) - 1
-    return geom.join(nodes.select("node_id", "level"), "node_id").withColumn("slot", slot)
+    return geom.join(with_slot(nodes.select("node_id", "level")), "node_id")

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larchpoint.functions.morton import Bounds
+from larchpoint.operators.radix import with_slot
 
 
 def dense(far: DataFrame, nodes: DataFrame, geom: DataFrame) -> DataFrame:
     """target, source, level, slot of the target in its level, k-th source of the target, displacement."""
-    slots = nodes.select(F.col("node_id").alias("target"), "level", (F.row_number().over(Window.partitionBy("level").orderBy("node_id")) - 1).alias("slot"))
+    slots = with_slot(nodes.select("node_id", "level")).withColumnRenamed("node_id", "target")
     t = geom.select(F.col("node_id").alias("target"), *(F.col(f"c{a}").alias(f"t{a}") for a in "xyz"))
     s = geom.select(F.col("node_id").alias("source"), *(F.col(f"c{a}").alias(f"s{a}") for a in "xyz"))
     k = F.row_number().over(Window.partitionBy("target").orderBy("source")) - 1

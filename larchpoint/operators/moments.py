@@ -7,7 +7,7 @@ from math import comb, factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larchpoint.operators.radix import ancestors
+from larchpoint.operators.radix import over_leaves
 
 
 def multi_indices(order: int) -> list[tuple[int, int, int]]:
@@ -65,7 +65,7 @@ def unpack(packed: Column, order: int) -> dict[str, Column]:
 def mass_moments(bucketed: DataFrame, nodes: DataFrame) -> DataFrame:
     """node_id, mass, comx, comy, comz; without mass the centre is 0."""
     sums = bucketed.groupBy("leaf").agg(F.sum("mass").alias("mass"), *(F.sum(F.col("mass") * F.col(a)).alias(f"s{a}") for a in "xyz"))
-    total = ancestors(nodes).join(sums, "leaf").groupBy("node_id").agg(F.sum("mass").alias("mass"), *(F.sum(f"s{a}").alias(f"s{a}") for a in "xyz"))
+    total = over_leaves(nodes, sums, dict.fromkeys(("mass", "sx", "sy", "sz"), F.sum))
     return total.select("node_id", "mass", *(F.when(F.col("mass") != 0, F.col(f"s{a}") / F.col("mass")).otherwise(0.0).alias(f"com{a}") for a in "xyz"))
 
 
@@ -75,7 +75,7 @@ def raw_moments(bucketed: DataFrame, nodes: DataFrame, order: int) -> DataFrame:
     term = lambda m: F.col("mass") if power(v, m) is None else F.col("mass") * power(v, m)
     names = [name(m) for m in all_indices(order)]
     sums = bucketed.groupBy("leaf").agg(*(F.sum(term(m)).alias(name(m)) for m in all_indices(order)))
-    return ancestors(nodes).join(sums, "leaf").groupBy("node_id").agg(*(F.sum(n).alias(n) for n in names))
+    return over_leaves(nodes, sums, dict.fromkeys(names, F.sum))
 
 
 def translated(order: int, delta: tuple[Column, Column, Column], source: str = "") -> dict[str, Column]:

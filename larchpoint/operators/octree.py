@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from larchpoint.functions import morton
 from larchpoint.functions.morton import Bounds
+from larchpoint.operators.walk import Rules, Walk
+from larchpoint.operators.walk import walk as dual_walk
 
 
 def leaf_cells(bucketed: DataFrame) -> DataFrame:
@@ -32,10 +34,15 @@ def cells(bucketed: DataFrame) -> DataFrame:
     above = above.withColumn("prefix", morton.prefix(F.col("code"), F.col("d")))
     held = own.select(F.col("oct_id").alias("parent"), F.col("code").alias("prefix"), F.col("depth").alias("d"))
     parents = above.join(held, ["prefix", "d"]).groupBy("oct_id").agg(F.max_by("parent", "d").alias("parent"), F.max("d").alias("parent_depth"))
-    # Points meet their cells at the depths that occur, by equality.
-    depths = own.select("depth").distinct()
-    places = bucketed.select("code", "pos").crossJoin(F.broadcast(depths))  # 22 depths at most
-    span = places.withColumn("code", morton.prefix(F.col("code"), F.col("depth"))).join(own.select("code", "depth", "oct_id"), ["code", "depth"]).groupBy("oct_id").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    # A leaf lies in its cell and in all cells around it. In deeper cells lie some of its points only, and only if a
+    # neighbouring leaf's cell is deeper.
+    ends = bucketed.groupBy("leaf").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    whole = leaf.join(ends, "leaf").select("code", "lo", "hi", F.explode(F.sequence(F.lit(0).cast(leaf.schema["depth"].dataType), F.col("depth"))).alias("depth"))
+    beside = leaf.select(F.explode(F.array(F.col("leaf") - 1, F.col("leaf") + 1)).alias("leaf"), F.col("depth").alias("reach")).groupBy("leaf").agg(F.max("reach").alias("reach"))
+    cut = leaf.select("leaf", "depth").join(beside, "leaf").where("reach > depth")
+    some = bucketed.select("leaf", "code", "pos").join(cut, "leaf").select("code", F.col("pos").alias("lo"), F.col("pos").alias("hi"), F.explode(F.sequence(F.col("depth") + 1, F.col("reach"))).alias("depth"))
+    places = whole.unionByName(some).withColumn("code", morton.prefix(F.col("code"), F.col("depth"))).groupBy("code", "depth").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    span = places.join(own.select("code", "depth", "oct_id"), ["code", "depth"]).select("oct_id", "lo", "hi")
     rows = own.join(parents, "oct_id", "left").join(span, "oct_id")
     kids = parents.groupBy("parent").agg(F.count("*").alias("n_children")).withColumnRenamed("parent", "oct_id")
     rows = rows.join(kids, "oct_id", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
@@ -62,13 +69,16 @@ def radix_to_octree(nodes: DataFrame, bucketed: DataFrame, octree: DataFrame) ->
     return keyed.join(octree.select("oct_id", "code", "depth"), ["code", "depth"]).select("node_id", "oct_id")
 
 
-def octree_to_radix(mapping: DataFrame) -> DataFrame:
-    """(oct_id, node_id): the smallest node id of every cell."""
-    return mapping.groupBy("oct_id").agg(F.min("node_id").alias("node_id"))
-
-
 def far_pairs(far: DataFrame, mapping: DataFrame) -> DataFrame:
     """Far pairs of the binary walk between cells."""
     t = mapping.select(F.col("node_id").alias("target"), F.col("oct_id").alias("oct_target"))
     s = mapping.select(F.col("node_id").alias("source"), F.col("oct_id").alias("oct_source"))
     return far.join(t, "target").join(s, "source").select("oct_target", "oct_source", "target", "source")
+
+
+def walk(octree: DataFrame, box: Bounds, rules: Rules | None = None) -> Walk:
+    """The dual-tree walk over the cells themselves: a pair that isn't accepted is refined into the children of its
+    larger cell, a cell with itself into all pairs of its children. Boxes are the cells', not those of their points."""
+    kids = octree.where("parent >= 0").groupBy(F.col("parent").alias("node_id")).agg(F.sort_array(F.collect_list("oct_id")).alias("kids"))  # 8 at most
+    nodes = octree.select(F.col("oct_id").alias("node_id")).join(kids, "node_id", "left").withColumn("kids", F.coalesce("kids", F.array().cast("array<bigint>")))
+    return dual_walk(nodes, boxes(octree, box).withColumnRenamed("oct_id", "node_id"), rules)

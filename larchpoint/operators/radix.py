@@ -8,7 +8,9 @@ prefixes, so levels and parents are one equi-join and one aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larchpoint.functions import morton
@@ -82,6 +84,39 @@ def hierarchy(leaf_rows: DataFrame) -> DataFrame:
     return rows.select("node_id", F.coalesce("parent", F.lit(-1).cast("long")).alias("parent"), "left", "right", "is_leaf", "level", "first", "last", "lo", "hi")
 
 
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """(leaf, node_id): all nodes over every leaf; as many rows as there are leaves times their level."""
-    return nodes.select(F.explode(F.sequence("first", "last")).alias("leaf"), "node_id")
+#: Leaves are summed up in blocks of FAN, FAN * FAN and so on.
+FAN = 8
+
+
+def over_leaves(nodes: DataFrame, values: DataFrame, merge: dict[str, Callable[[str], Column]], key: str = "node_id") -> DataFrame:
+    """For every node, merge[c](c) of the columns c of its leaves' values (leaf, ...), which must merge in any order.
+
+    Values are merged in blocks of FAN ** j leaves; a node takes the few blocks that make up its range. So there are
+    rows for leaves times their depth in blocks, reduced before any shuffle, and no row or key holds a node's leaves.
+    """
+    top = nodes.agg(F.max("last")).head()[0]
+    levels = [j for j in range(64) if FAN**j <= max(1, top or 0) + 1]
+    level = F.explode(F.array(*map(F.lit, levels)))
+    size = F.pow(F.lit(float(FAN)), F.col("j")).cast("long")
+    blocks = values.withColumn("j", level).withColumn("block", F.floor(F.col("leaf") / size).cast("long"))
+    blocks = blocks.groupBy("j", "block").agg(*(f(c).alias(c) for c, f in merge.items()))
+    # Whole blocks of level j within the range are a to b - 1, whole blocks of the next level up to; what they cover
+    # is left to that level.
+    wide = nodes.select(key, "first", "last").withColumn("j", level)
+    whole = lambda x: {"a": F.ceil(F.col("first") / x).cast("long"), "b": F.floor((F.col("last") + 1) / x).cast("long")}
+    wide = wide.withColumns(whole(size)).where("a < b").withColumns({"up_" + n: c for n, c in whole(size * FAN).items()})
+    some = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<bigint>"))
+    a, b, x, y = F.col("a"), F.col("b"), F.col("up_a") * FAN, F.col("up_b") * FAN
+    parts = F.when(F.col("up_a") < F.col("up_b"), F.concat(some(a, x), some(y, b))).otherwise(some(a, b))
+    taken = wide.select(key, "j", F.explode(parts).alias("block"))
+    return taken.join(blocks, ["j", "block"]).groupBy(key).agg(*(f(c).alias(c) for c, f in merge.items()))
+
+
+def with_slot(nodes: DataFrame) -> DataFrame:
+    """Adds slot: the place of a node among those of its level, by node_id. Ranks are over all nodes, so that half the
+    nodes in one level don't meet in one task."""
+    from pyspark.sql import Window
+
+    counts = nodes.groupBy("level").agg(F.count("*").alias("n"))
+    start = counts.select("level", (F.sum("n").over(Window.orderBy("level")) - F.col("n")).alias("start"))  # a row a level
+    return with_rank(nodes, ["level", "node_id"], "slot").join(start, "level").withColumn("slot", F.col("slot") - F.col("start")).drop("start")

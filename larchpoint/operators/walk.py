@@ -28,6 +28,8 @@ from larchpoint.storage import keep
 ACCEPT, NEAR, REFINE = 0, 1, 2
 NODES = 500_000
 FRONTIER = 20_000
+#: Pairs of the frontier that a task gets, and pairs judged at once.
+SHARE, CHUNK = 1_000, 1 << 16
 CRITERIA = ("bh", "dehnen", "engblom")
 
 
@@ -71,11 +73,12 @@ def default_policy(p: Pair) -> tuple:
 
 
 def mac_nodes(nodes: DataFrame, geom: DataFrame, rules: Rules) -> DataFrame:
-    """node_id, left, right, ext, cx, cy, cz."""
+    """node_id, kids, ext, cx, cy, cz. Nodes have left and right, or the sorted ids of all their children in kids."""
     ext = F.col("max_extent") if rules.criterion == "bh" else F.col("radius")
     if rules.criterion == "dehnen":
         ext = ext * F.lit(float(rules.radius_scale))
-    return nodes.join(geom, "node_id").select("node_id", "left", "right", ext.alias("ext"), "cx", "cy", "cz")
+    kids = F.col("kids") if "kids" in nodes.columns else F.filter(F.array("left", "right"), lambda x: x >= 0)
+    return nodes.join(geom, "node_id").select("node_id", kids.alias("kids"), ext.alias("ext"), "cx", "cy", "cz")
 
 
 def accepted(rules: Rules, d2, a, b, larger, smaller):
@@ -94,8 +97,7 @@ def accepted(rules: Rules, d2, a, b, larger, smaller):
 
 @dataclass
 class Nodes:
-    left: np.ndarray
-    right: np.ndarray
+    kids: np.ndarray  # a row of children for each node, -1 where there is none
     ext: np.ndarray
     centre: np.ndarray
 
@@ -104,7 +106,14 @@ class Nodes:
         t = rows.toArrow().sort_by("node_id")
         if t.num_rows and t["node_id"][-1].as_py() != t.num_rows - 1:
             raise ValueError("node ids must run from 0")
-        return cls(*(t[c].to_numpy() for c in ("left", "right", "ext")), np.stack([t[c].to_numpy() for c in ("cx", "cy", "cz")], 1))
+        held = t["kids"].combine_chunks()
+        many = held.value_lengths().to_numpy()
+        kids = np.full((len(many), max(1, int(many.max(initial=0)))), -1, np.int64)
+        kids[np.repeat(np.arange(len(many)), many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)] = held.flatten().to_numpy()
+        return cls(kids, t["ext"].to_numpy(), np.stack([t[c].to_numpy() for c in ("cx", "cy", "cz")], 1))
+
+    def root(self) -> int:
+        return int(np.setdiff1d(np.arange(len(self.kids)), self.kids.ravel())[0])
 
 
 def step(t: Nodes, s: Nodes, a: np.ndarray, b: np.ndarray, rules: Rules, cross: bool) -> tuple[np.ndarray, ...]:
@@ -114,7 +123,7 @@ def step(t: Nodes, s: Nodes, a: np.ndarray, b: np.ndarray, rules: Rules, cross:
     ea, eb = t.ext[a], s.ext[b]
     different = np.ones(len(a), bool) if cross else a != b
     ok = different & (d2 > 0) & accepted(rules, d2, ea, eb, np.maximum, np.minimum)
-    leaf_a, leaf_b = t.left[a] < 0, s.left[b] < 0
+    leaf_a, leaf_b = t.kids[a, 0] < 0, s.kids[b, 0] < 0
     pair = Pair(a, b, d2, ea, eb, leaf_a, leaf_b, ok, different, np.where)
     policy = rules.policy or default_policy
     action, tag = policy(pair)
@@ -134,12 +143,13 @@ def step(t: Nodes, s: Nodes, a: np.ndarray, b: np.ndarray, rules: Rules, cross:
     split_a = ~both & ~leaf_a & ~same & (leaf_b | (ea >= eb))
     split_b = ~both & ~leaf_b & ~same & ~split_a
     parts = []
-    for x, y in ((t.left, t.left), (t.left, t.right), (t.right, t.right)):
-        parts.append((x[a[both]], y[a[both]]))
-    for side in ("left", "right"):
-        parts.append((getattr(t, side)[a[split_a]], b[split_a]))
-        parts.append((a[split_b], getattr(s, side)[b[split_b]]))
+    for i in range(t.kids.shape[1]):
+        parts += [(t.kids[a[both], i], t.kids[a[both], j]) for j in range(i, t.kids.shape[1])]
+        parts.append((t.kids[a[split_a], i], b[split_a]))
+    parts += [(a[split_b], s.kids[b[split_b], i]) for i in range(s.kids.shape[1])]
     na, nb = (np.concatenate(x) for x in zip(*parts, strict=True))
+    there = (na >= 0) & (nb >= 0)
+    na, nb = na[there], nb[there]
     if not cross:
         na, nb = np.minimum(na, nb), np.maximum(na, nb)
     return action, np.broadcast_to(tag, action.shape), np.broadcast_to(back_tag, action.shape), na, nb
@@ -165,8 +175,7 @@ def in_tasks(targets: DataFrame, sources: DataFrame | None, rules: Rules) -> Dat
     t = Nodes.collect(targets)
     s = Nodes.collect(sources) if cross else t
     done, number = [], 0
-    root = lambda x: int(np.setdiff1d(np.arange(len(x.left)), np.concatenate((x.left, x.right)))[0])
-    a, b = np.array([root(t)]), np.array([root(s)])
+    a, b = np.array([t.root()]), np.array([s.root()])
     while len(a) and len(a) < FRONTIER and sum(x.num_rows for x in done) < 4 * FRONTIER:
         action, tag, back, na, nb = step(t, s, a, b, rules, cross)
         done.append(_rows(a, b, action, tag, back, number))
@@ -179,14 +188,19 @@ def in_tasks(targets: DataFrame, sources: DataFrame | None, rules: Rules) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, s = sent.value
         for batch in batches:
-            a, b = (batch.column(i).to_numpy() for i in range(2))
-            at = number
-            while len(a):
+            # Depth first, CHUNK pairs at a time: what waits is bounded by CHUNK, a step's pairs and the walk's depth.
+            waiting = [(*(batch.column(i).to_numpy() for i in range(2)), number)]
+            while waiting:
+                a, b, at = waiting.pop()
+                if len(a) > CHUNK:
+                    waiting.append((a[CHUNK:], b[CHUNK:], at))
+                    a, b = a[:CHUNK], b[:CHUNK]
                 action, tag, back, na, nb = step(t, s, a, b, rules, cross)
                 yield _rows(a, b, action, tag, back, at)
-                a, b, at = na, nb, at + 1
+                if len(na):
+                    waiting.append((na, nb, at + 1))
 
-    frontier = spark.createDataFrame(pa.table({"a": a, "b": b}), "a long, b long").repartition(spark.sparkContext.defaultParallelism)
+    frontier = spark.createDataFrame(pa.table({"a": a, "b": b}), "a long, b long").repartition(max(spark.sparkContext.defaultParallelism, len(a) // SHARE))
     return first.unionByName(frontier.mapInArrow(run, SCHEMA))
 
 
@@ -196,11 +210,11 @@ def in_tasks(targets: DataFrame, sources: DataFrame | None, rules: Rules) -> Dat
 def by_rounds(targets: DataFrame, sources: DataFrame | None, rules: Rules) -> DataFrame:
     """The same as in_tasks, one join round after the other."""
     cross = sources is not None
-    side = lambda df, x: df.select(*(F.col(c).alias(f"{x}_{c}") for c in ("node_id", "left", "right", "ext", "cx", "cy", "cz")))
+    side = lambda df, x: df.select(*(F.col(c).alias(f"{x}_{c}") for c in ("node_id", "kids", "ext", "cx", "cy", "cz")))
     targets = keep(targets)
     sources = keep(sources) if cross else targets
     t, s = side(targets, "a"), side(sources, "b")
-    kids = lambda df: df.select(F.explode(F.array("left", "right")).alias("node_id"))
+    kids = lambda df: df.select(F.explode("kids").alias("node_id"))
     root = lambda df: df.select("node_id").join(kids(df), "node_id", "left_anti")
     frontier = root(targets).select(F.col("node_id").alias("a")).crossJoin(root(sources).select(F.col("node_id").alias("b")))  # one row each
     out, number = None, 0
@@ -212,7 +226,7 @@ def by_rounds(targets: DataFrame, sources: DataFrame | None, rules: Rules) -> Da
         ea, eb = F.col("a_ext"), F.col("b_ext")
         different = F.lit(True) if cross else F.col("a") != F.col("b")
         ok = different & (F.col("d2") > 0) & accepted(rules, F.col("d2"), ea, eb, F.greatest, F.least)
-        leaf_a, leaf_b = F.col("a_left") < 0, F.col("b_left") < 0
+        leaf_a, leaf_b = F.size("a_kids") == 0, F.size("b_kids") == 0
         pair = Pair(F.col("a"), F.col("b"), F.col("d2"), ea, eb, leaf_a, leaf_b, ok, different, select)
         policy = rules.policy or default_policy
         action, tag = policy(pair)
@@ -233,8 +247,11 @@ def by_rounds(targets: DataFrame, sources: DataFrame | None, rules: Rules) -> Da
         both = same & ~leaf_a
         split_a = ~same & ~leaf_a & (leaf_b | (ea >= eb))
         split_b = ~same & ~leaf_b & ~split_a
-        pairs = lambda *x: F.array(*(F.struct(F.col(p).alias("a"), F.col(q).alias("b")) for p, q in x))
-        nxt = F.when(both, pairs(("a_left", "a_left"), ("a_left", "a_right"), ("a_right", "a_right"))).when(split_a, pairs(("a_left", "b"), ("a_right", "b"))).when(split_b, pairs(("a", "b_left"), ("a", "b_right")))
+        pair_of = lambda p, q: F.struct(p.alias("a"), q.alias("b"))
+        inner = F.flatten(F.transform("a_kids", lambda p: F.transform(F.filter("a_kids", lambda q: q >= p), lambda q: pair_of(p, q))))
+        down_a = F.transform("a_kids", lambda p: pair_of(p, F.col("b")))
+        down_b = F.transform("b_kids", lambda q: pair_of(F.col("a"), q))
+        nxt = F.when(both, inner).when(split_a, down_a).when(split_b, down_b)
         new = going.select(F.explode(nxt).alias("n")).select("n.a", "n.b")
         frontier = keep(new if cross else new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         if frontier.isEmpty():

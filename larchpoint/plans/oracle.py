@@ -122,6 +122,28 @@ w AS (
 pr AS (SELECT w.a, w.b, w.round, {good} AS ok, NOT {good} AND NOT {leaf} AS refined, t.ext AS text, s.ext AS sext FROM w JOIN wn t ON t.node_id = w.a JOIN wn s ON s.node_id = w.b)"""
 
 
+def cell_walk(kind: str, theta: float) -> str:
+    """pr(a, b, ok, refined): all pairs of the walk over cells with up to 8 children, from op (parents) and ob (boxes)."""
+    ext, ok = criterion(kind, theta)
+    ok = ok.replace("d2", f"({D2})")
+    good = f"(t.node_id <> s.node_id AND ({D2}) > 0 AND {ok})"
+    leaf = "(len(t.kids) = 0 AND len(s.kids) = 0 AND t.node_id <> s.node_id)"
+    size = "greatest(hx, hy, hz)" if ext == "max_extent" else "sqrt(hx * hx + hy * hy + hz * hz)"
+    return f""",
+wn AS (SELECT oct_id AS node_id, coalesce(kids, []) AS kids, {size} AS ext, cx, cy, cz FROM ob LEFT JOIN (SELECT parent AS oct_id, list(oct_id ORDER BY oct_id) AS kids FROM op GROUP BY parent) USING (oct_id)),
+w AS (
+  SELECT (SELECT min(oct_id) FROM ob) AS a, (SELECT min(oct_id) FROM ob) AS b, 0 AS round
+  UNION ALL
+  SELECT least(k.p, k.q), greatest(k.p, k.q), round + 1 FROM (
+    SELECT w.round, unnest(CASE
+      WHEN t.node_id = s.node_id THEN flatten(list_transform(t.kids, lambda x: list_transform(list_filter(t.kids, lambda y: y >= x), lambda y: {{'p': x, 'q': y}})))
+      WHEN len(t.kids) > 0 AND (len(s.kids) = 0 OR t.ext >= s.ext) THEN list_transform(t.kids, lambda x: {{'p': x, 'q': s.node_id}})
+      ELSE list_transform(s.kids, lambda y: {{'p': t.node_id, 'q': y}}) END) AS k
+    FROM w JOIN wn t ON t.node_id = w.a JOIN wn s ON s.node_id = w.b WHERE NOT {good} AND NOT {leaf})
+),
+pr AS (SELECT w.a, w.b, w.round, {good} AS ok, NOT {good} AND NOT {leaf} AS refined, t.ext AS text, s.ext AS sext FROM w JOIN wn t ON t.node_id = w.a JOIN wn s ON s.node_id = w.b)"""
+
+
 def recursive(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{select}"
 

@@ -132,6 +132,11 @@ def octree_far(s: SparkSession, d: str) -> DataFrame:
     return octree.far_pairs(p.walk().far, octree.radix_to_octree(p.nodes, p.points, o)).select("oct_target", "oct_source")
 
 
+def octree_walk(s: SparkSession, d: str) -> walk.Walk:
+    p, o = octrees(s, d)
+    return octree.walk(o, p.box, walk.Rules(THETA))
+
+
 def placed(s: SparkSession, d: str) -> DataFrame:
     cloud = points.embeddings(s, d)
     return keep(cells.place(cloud, cells.grid_of(cloud, DEPTH)))
@@ -275,7 +280,7 @@ ALL: dict[str, Query] = {
     "leaf_geometry": leaf_geometry,
     "radix_nodes": lambda s, d: node_columns(emb(s, d).nodes),
     "node_geometry": lambda s, d: emb(s, d).geom,
-    "level_major_geometry": lambda s, d: (lambda p: geometry.level_major(p.geom, p.nodes).select("node_id", "level", "slot", "cx", "cy", "cz"))(emb(s, d)),
+    "level_major_geometry": lambda s, d: (lambda p: geometry.level_major(p.geom, p.nodes).select("node_id", "level", F.col("slot").cast("int").alias("slot"), "cx", "cy", "cz"))(emb(s, d)),
     "mass_moments": lambda s, d: (lambda p: rounded(moments.mass_moments(p.points, p.nodes), ["mass", "comx", "comy", "comz"]))(emb(s, d)),
     "multipole_o2": partial(multipole, order=2),
     "multipole_o4": partial(multipole, order=4),
@@ -290,7 +295,7 @@ ALL: dict[str, Query] = {
     "walk_stats": lambda s, d: emb(s, d).walk().stats,
     "walk_stats_events": events_walk,
     "grouped_classes": classes,
-    "dense_slots": lambda s, d: (lambda p: rounded(layout.dense(p.walk().far, p.nodes, p.geom), ["dx", "dy", "dz"], 12))(emb(s, d)),
+    "dense_slots": lambda s, d: (lambda p: rounded(layout.dense(p.walk().far, p.nodes, p.geom).withColumn("slot", F.col("slot").cast("int")), ["dx", "dy", "dz"], 12))(emb(s, d)),
     "neighbor_growth_topk": grown,
     "fixed_depth_leaves": fixed_cells,
     "static_radix_nodes": lambda s, d: node_columns(trees.static_radix(emb(s, d).points)),
@@ -301,6 +306,10 @@ ALL: dict[str, Query] = {
     "octree_boxes": lambda s, d: (lambda po: rounded(octree.boxes(po[1], po[0].box), ["cx", "cy", "cz", "hx", "hy", "hz", "radius", "max_extent"], 9))(octrees(s, d)),
     "radix_to_oct": lambda s, d: (lambda po: octree.radix_to_octree(po[0].nodes, po[0].points, po[1]))(octrees(s, d)),
     "octree_far": octree_far,
+    "octree_walk_far": lambda s, d: octree_walk(s, d).far.select("target", "source"),
+    "octree_walk_near": lambda s, d: octree_walk(s, d).near,
+    "octree_walk_stats": lambda s, d: octree_walk(s, d).stats,
+    "octree_parents": lambda s, d: octrees(s, d)[1].select("oct_id", "parent", "octant"),
     "uniform_cells": lambda s, d: cell_columns(cells.uniform_cells(placed(s, d), DEPTH)),
     "uniform_u": lambda s, d: cells.u_list(keep(cells.uniform_cells(placed(s, d), DEPTH)), DEPTH),
     "uniform_v": lambda s, d: cells.v_list(keep(cells.uniform_cells(placed(s, d), DEPTH))),
@@ -375,6 +384,13 @@ def _cross_all() -> str:
     return " UNION ALL ".join(f"SELECT CAST({a} AS BIGINT) AS target_domain, CAST({b} AS BIGINT) AS source_domain, * FROM ({one(a, b)})" for a, b in permutations(range(DOMAINS), 2))
 
 
+def _octree_walk(select: str) -> str:
+    return sql.recursive(f"{sql.bucketed('emb', LEAF)}, {sql.OCTREE}, {_OCT_PARENTS}, {_OCT_BOXES}{sql.cell_walk('bh', THETA)}", select)
+
+
+_OCT_PARENTS = "op AS (SELECT a.oct_id, max_by(b.oct_id, b.d) AS parent, max(b.d) AS pd FROM o a JOIN o b ON b.d < a.d AND (a.code >> (63 - 3 * b.d)) << (63 - 3 * b.d) = b.code GROUP BY a.oct_id)"
+_OCT_BOXES = f"""oc AS (SELECT oct_id, pow(2.0::DOUBLE, d) AS k, code >> (63 - 3 * d) AS cell FROM o), {sql.deinterleave('oc', 'oj', 'cell')},
+ob AS (SELECT oct_id, {', '.join(f"{a}0 + (j{a} + 0.5::DOUBLE) * (({a}1 - {a}0) / k) AS c{a}, 0.5::DOUBLE * ({a}1 - {a}0) / k AS h{a}" for a in 'xyz')} FROM oj, box)"""
 _DEC = sql.deinterleave("cd", "dj")
 _F32 = lambda a: f"{a}0 + CAST(CAST(j{a} AS FLOAT) / CAST({morton.TOP} AS FLOAT) AS DOUBLE) * ({a}1 - {a}0) AS {a}"
 _SHARED = "CASE WHEN code = nxt THEN 64 ELSE 64 - length(bin(xor(code, nxt))) END"
@@ -451,6 +467,10 @@ ob AS (SELECT oct_id, {', '.join(f"{a}0 + (j{a} + 0.5::DOUBLE) * (({a}1 - {a}0)
 SELECT oct_id, {', '.join(f"round({c}, 9) + 0 AS {n}" for c, n in [*((f"{k}{a}", f"{k}{a}") for k in 'ch' for a in 'xyz'), ('sqrt(hx * hx + hy * hy + hz * hz)', 'radius'), ('greatest(hx, hy, hz)', 'max_extent')])} FROM ob""",
     "radix_to_oct": f"WITH {_TREE}, {sql.OCTREE}{sql.TO_OCTREE} SELECT node_id, oct_id FROM mp",
     "octree_far": sql.recursive(_TREE + sql.walk("bh", THETA) + ", " + sql.OCTREE + sql.TO_OCTREE, f"SELECT t.oct_id AS oct_target, s.oct_id AS oct_source FROM ({sql.FAR}) x JOIN mp t ON t.node_id = x.target JOIN mp s ON s.node_id = x.source"),
+    "octree_walk_far": _octree_walk(sql.FAR),
+    "octree_walk_near": _octree_walk(sql.NEAR),
+    "octree_walk_stats": _octree_walk(_STATS),
+    "octree_parents": f"WITH {sql.bucketed('emb', LEAF)}, {sql.OCTREE}, {_OCT_PARENTS} SELECT o.oct_id, coalesce(parent, -1) AS parent, CAST(CASE WHEN parent IS NULL THEN -1 ELSE (code >> (60 - 3 * pd)) & 7 END AS INTEGER) AS octant FROM o LEFT JOIN op USING (oct_id)",
     "prepared": sql.recursive(sql.tree("emb", 16) + sql.walk("bh", THETA), _STATS),
     "event_cells": f"WITH {sql.coded('events')} SELECT epoch_us(time_bucket(INTERVAL 1 DAY, CAST(ts AS TIMESTAMP), TIMESTAMP '1970-01-01')) AS start, code >> 57 AS cell, count(*) AS n, sum(mass) AS mass FROM cd JOIN events ON event_id = id GROUP BY 1, 2",
     "reverse_halo": f"WITH {_DOMAINS} SELECT domain, local, round(-x * 3, 6) + 0 AS fx, round(-y * 3, 6) + 0 AS fy, round(-z * 3, 6) + 0 AS fz FROM dm",

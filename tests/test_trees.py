@@ -197,7 +197,7 @@ def test_domains_cover_all_pairs_through_halos(spark):
     found = domains.classify(local, remote)
     pairs = found.far.select("target", "source").unionByName(found.near.select("target", "source"))
     ends = local.nodes.select(F.col("node_id").alias("target"), (F.col("hi") - F.col("lo") + 1).alias("n"))
-    leaf = radix.ancestors(remote[1]).withColumnRenamed("node_id", "source").join(remote[0].select("leaf", "domain", "own_leaf"), "leaf").join(front.select("domain", F.col("leaf").alias("own_leaf"), F.col("n").alias("m")), ["domain", "own_leaf"])
+    leaf = remote[1].select(F.explode(F.sequence("first", "last")).alias("leaf"), "node_id").withColumnRenamed("node_id", "source").join(remote[0].select("leaf", "domain", "own_leaf"), "leaf").join(front.select("domain", F.col("leaf").alias("own_leaf"), F.col("n").alias("m")), ["domain", "own_leaf"])
     assert pairs.join(ends, "target").join(leaf, "source").agg(F.sum(F.col("n") * F.col("m"))).head()[0] == 80 * 160
     halo = domains.import_halo(found.near, remote[0], remote[1], split, 8)
     wanted = found.near.select("source").distinct().join(leaf, "source").select("domain", "own_leaf").distinct()
