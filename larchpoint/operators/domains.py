@@ -112,6 +112,12 @@ def owners(a_domain: str, a_index: str, b_domain: str, b_index: str):
     return F.when((F.col(a_index) + F.col(b_index)) % 2 == 0, low).otherwise(high)
 
 
+def handled(pairs: DataFrame) -> DataFrame:
+    """The pairs (target_domain, source_domain, target, source, ...) that the target's domain handles: over both
+    directions of a walk, every pair once."""
+    return pairs.where(owners("target_domain", "target", "source_domain", "source") == F.col("target_domain"))
+
+
 def single_owner(nodes: DataFrame, leaf_domains: DataFrame) -> DataFrame:
     """node_id, domain: the domain that owns all leaves below a node, or -1. leaf_domains: leaf, domain."""
     rows = radix.over_leaves(nodes, leaf_domains.select("leaf", F.col("domain").alias("a"), F.col("domain").alias("b")), {"a": F.min, "b": F.max})

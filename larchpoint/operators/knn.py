@@ -1,7 +1,9 @@
 """Nearest neighbours and radius counts over vectors of any dimension, exact, in blocks.
 
-Queries form groups of GROUP rows and points form groups of GROUP rows; a task compares one group of each, so it holds
-two bounded blocks. The best k of each task are merged by rank. Rows are (id, p array<double>).
+Points and queries are put in Z-order of their first three components and cut into groups of GROUP rows; a task compares
+one group of each, so it holds two bounded blocks. Only groups are compared whose boxes are close enough: for a radius,
+closer than it; for nearest neighbours, closer than what each query's k-th neighbour within the closest group allows.
+The best k of each task are merged by rank. Rows are (id, p array<double>).
 """
 
 from __future__ import annotations
@@ -10,10 +12,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larchpoint.functions import morton
+from larchpoint.functions.morton import Bounds
 from larchpoint.session import ship
+from larchpoint.sources.points import infer_bounds
+from larchpoint.storage import keep, with_rank
 
 GROUP = 8192
 #: Numbers of one block of distances.
@@ -33,16 +39,57 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _compare(queries: DataFrame, points: DataFrame, fn: Callable, schema: str, extra: list[str] = []) -> DataFrame:  # noqa: B006
-    """fn(query ids, query vectors, point ids, point vectors, columns of extra) for every pair of blocks."""
+def grouped(rows: DataFrame, box: Bounds) -> DataFrame:
+    """Rows with g, their group along the curve."""
+    at = {a: F.coalesce(F.try_element_at("p", F.lit(i)), F.lit(0.0)) for i, a in enumerate("xyz", 1)}
+    placed = with_rank(morton.with_code(rows.withColumns(at), box), ["code", "id"])
+    return keep(placed.withColumn("g", F.floor(F.col("pos") / GROUP).cast("int")).drop("pos", "code", *"xyz"))
+
+
+def boxes(rows: DataFrame) -> DataFrame:
+    """g, lo, hi: a row for GROUP rows."""
+    dims = rows.select(F.size("p")).head()[0]
+    side = lambda f: F.array(*(f(F.col("p")[i]) for i in range(dims)))
+    return keep(rows.groupBy("g").agg(side(F.min).alias("lo"), side(F.max).alias("hi")))
+
+
+def apart(points: DataFrame, queries: DataFrame) -> DataFrame:
+    """g, h, d2: squared distances between the boxes of groups, one row for GROUP * GROUP pairs of rows."""
+    right = queries.select(F.col("g").alias("h"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"))
+    gap = F.zip_with(F.zip_with("lo", "qhi", lambda a, b: a - b), F.zip_with("qlo", "hi", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
+    return points.crossJoin(right).select("g", "h", F.aggregate(gap, F.lit(0.0), lambda total, x: total + x * x).alias("d2"))
+
+
+#: Room for rounding in distances to boxes.
+SLACK = 1 + 1e-9
+
+
+def close(queries: DataFrame, pairs: DataFrame, points: DataFrame, limit: Column) -> DataFrame:
+    """Queries with every group g of the pairs (g, h) of their group h whose box (from points) is within a squared limit."""
+    rows = queries.withColumnRenamed("g", "h").join(pairs, "h").join(points, "g")
+    gap = F.zip_with(F.zip_with("lo", "p", lambda a, x: a - x), F.zip_with("p", "hi", lambda x, b: x - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
+    d2 = F.aggregate(gap, F.lit(0.0), lambda total, x: total + x * x)
+    return keep(rows.where(d2 <= limit * SLACK).drop("lo", "hi"))
+
+
+def _compare(queries: DataFrame, points: DataFrame, fn: Callable, schema: str, extra: list[str] = [], in_groups: bool = False) -> DataFrame:  # noqa: B006
+    """fn(query ids, query vectors, point ids, point vectors, columns of extra) for all queries and points of a group
+    in turn. in_groups: points are in groups g, and queries have a row for every group g they need, by their own group
+    h; else groups are made by hash, and every pair of groups is compared."""
     ship(points.sparkSession)
-    n, m = points.count(), queries.count()
-    g, h = max(1, -(-n // GROUP)), max(1, -(-m // GROUP))
-    if n <= GROUP and m > 256:  # few points: more, smaller groups of queries
-        h = max(h, min(8, m // 256))
-    right = points.select(F.lit(False).alias("q"), F.pmod(F.xxhash64("id"), F.lit(g)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("h"), "id", "p", *(F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in extra))
-    left = queries.select(F.lit(True).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("g"), F.pmod(F.xxhash64("id"), F.lit(h)).cast("int").alias("h"), "id", "p", *extra)
-    both = left.unionByName(right.select(left.columns)).repartition(g * h, "g", "h").sortWithinPartitions("g", "h", F.desc("q"))
+    none = [F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in extra]
+    if in_groups:
+        left = queries.select(F.lit(True).alias("q"), "g", "h", "id", "p", *extra)
+        right = points.join(queries.select("g", "h").distinct(), "g").select(F.lit(False).alias("q"), "g", "h", "id", "p", *none)
+        both = left.unionByName(right).repartition("g", "h").sortWithinPartitions("g", "h", F.desc("q"))
+    else:
+        n, m = points.count(), queries.count()
+        g, h = max(1, -(-n // GROUP)), max(1, -(-m // GROUP))
+        if n <= GROUP and m > 256:  # few points: more, smaller groups of queries
+            h = max(h, min(8, m // 256))
+        right = points.select(F.lit(False).alias("q"), F.pmod(F.xxhash64("id"), F.lit(g)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("h"), "id", "p", *none)
+        left = queries.select(F.lit(True).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("g"), F.pmod(F.xxhash64("id"), F.lit(h)).cast("int").alias("h"), "id", "p", *extra)
+        both = left.unionByName(right.select(left.columns)).repartition(g * h, "g", "h").sortWithinPartitions("g", "h", F.desc("q"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -90,21 +137,45 @@ def nearest(points: DataFrame, queries: DataFrame | None = None, k: int = 8, exc
         raise ValueError("k must be between 1 and the number of points")
     drop = exclude_self and own
 
-    def best(qi: np.ndarray, q: np.ndarray, pi: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+    def best(qi: np.ndarray, q: np.ndarray, pi: np.ndarray, p: np.ndarray, bound: np.ndarray | None = None) -> pa.RecordBatch:
         d = distances(q, p)
         if drop:
             d[qi[:, None] == pi] = np.inf
+        if bound is not None:
+            d[d > bound[:, None]] = np.inf
         order = np.lexsort((np.broadcast_to(pi, d.shape), d), axis=1)[:, :k]
         found = np.take_along_axis(d, order, 1)
-        keep = np.isfinite(found)
-        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qi[:, None], found.shape)[keep]), pa.array(pi[order][keep]), pa.array(found[keep])], ["query_id", "id", "d2"])
+        there = np.isfinite(found)
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qi[:, None], found.shape)[there]), pa.array(pi[order][there]), pa.array(found[there])], ["query_id", "id", "d2"])
 
-    rows = _compare(points if own else queries, points, best, "query_id long, id long, d2 double")
+    schema = "query_id long, id long, d2 double"
+    if n <= GROUP:
+        rows = _compare(points if own else queries, points, best, schema)
+    else:
+        placed, asked, box, far = _placed(points, None if own else queries)
+        first = keep(far.groupBy("h").agg(F.min_by("g", F.struct("d2", F.abs(F.col("g") - F.col("h")))).alias("g")))
+        near = keep(_compare(asked.withColumnRenamed("g", "h").join(first, "h"), placed, best, schema, [], True))
+        bound = near.groupBy("query_id").agg(F.max("d2").alias("bound"), F.count("*").alias("n"))
+        bound = bound.select(F.col("query_id").alias("id"), F.when(F.col("n") == k, F.col("bound")).alias("bound"))
+        asked = keep(asked.join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))))
+        widest = asked.groupBy(F.col("g").alias("h")).agg(F.max("bound").alias("bound"))
+        others = far.join(widest, "h").where(F.col("d2") <= F.col("bound") * SLACK).join(first, ["g", "h"], "left_anti").select("g", "h")
+        rows = near.unionByName(_compare(close(asked, others, box, F.col("bound")), placed, best, schema, ["bound"], True))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "id"))
     out = rows.withColumn("rank", rank).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "id", (F.col("d2") if squared else F.sqrt("d2")).alias("distance"))
 
 
+def _placed(points: DataFrame, queries: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Points and queries in groups along the curve, the points' boxes, and the distances between the groups' boxes."""
+    at = {a: F.coalesce(F.try_element_at("p", F.lit(i)), F.lit(0.0)) for i, a in enumerate("xyz", 1)}
+    box = infer_bounds(points.withColumns(at))
+    placed = grouped(points, box)
+    asked = placed if queries is None else grouped(queries, box)
+    own = boxes(placed)
+    return placed, asked, own, keep(apart(own, own if queries is None else boxes(asked)))
+
+
 def build_and_query(points: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
     return nearest(points, queries, k)
 
@@ -129,4 +200,15 @@ def count_within(points: DataFrame, radius: float | list[float] | None = None, q
         n = np.stack([(d <= (r * r)[:, None]).sum(axis=1) for r in radii.T], 1)
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, radii.shape[1])), pa.array(radii.ravel()), pa.array(n.ravel())], ["query_id", "radius", "n"])
 
-    return _compare(asked, points, count, "query_id long, radius double, n long", ["radii"]).groupBy("query_id", "radius").agg(F.sum("n").alias("n"))
+    schema = "query_id long, radius double, n long"
+    if points.count() <= GROUP:
+        found = _compare(asked, points, count, schema, ["radii"])
+    else:
+        placed, asked, box, far = _placed(points, asked)
+        r = F.array_max("radii")
+        widest = asked.groupBy(F.col("g").alias("h")).agg(F.max(r).alias("r"))
+        pairs = far.join(widest, "h").where(F.col("d2") <= F.col("r") * F.col("r") * SLACK).select("g", "h")
+        found = _compare(close(asked, pairs, box, r * r), placed, count, schema, ["radii"], True)
+        # Queries that are close to no group have a row too.
+        found = found.unionByName(asked.select(F.col("id").alias("query_id"), F.explode("radii").alias("radius"), F.lit(0).cast("long").alias("n")))
+    return found.groupBy("query_id", "radius").agg(F.sum("n").alias("n"))

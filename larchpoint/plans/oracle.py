@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from larchpoint.functions.morton import TOP
 from larchpoint.operators.moments import all_indices, name
 
@@ -161,6 +163,22 @@ def central(order: int, digits: int = 5) -> str:
   FROM nd JOIN bk ON bk.pos BETWEEN nd.lo AND nd.hi WINDOW w AS (PARTITION BY nd.node_id)) GROUP BY node_id"""
 
 
+def stf(order: int, digits: int = 4) -> str:
+    """Components of the trace-free tensor of order 3 or 4, from moments by name: traces are spelled out as sums."""
+    of = lambda i: "m" + "".join(str(i.count(a)) for a in (0, 1, 2))
+    trace = lambda i: "(" + " + ".join(of((*i, a, a)) for a in (0, 1, 2)) + ")"
+    out = []
+    for i in (x for x in itertools.product((0, 1, 2), repeat=order) if list(x) == sorted(x)):
+        minus = [trace(tuple(x for n, x in enumerate(i) if n not in pair)) for pair in itertools.combinations(range(order), 2) if i[pair[0]] == i[pair[1]]]
+        text = f"{2 * order - 1} * {of(i)}" if order == 3 else f"35 * {of(i)}"
+        text += "".join(f" - {1 if order == 3 else 5} * {t}" for t in minus)
+        if order == 4:
+            both = sum(i[a] == i[b] and i[c] == i[d] for a, b, c, d in ((0, 1, 2, 3), (0, 2, 1, 3), (0, 3, 1, 2)))
+            text += f" + {both} * (m400 + m040 + m004 + 2 * m220 + 2 * m202 + 2 * m022)" if both else ""
+        out.append(f"round({text}, {digits}) + 0 AS {'oh'[order - 3]}{''.join(map(str, i))}")
+    return ", ".join(out)
+
+
 CUBE = "cube AS (SELECT min(x) x0, min(y) y0, min(z) z0, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) * (1 + 1e-6::DOUBLE) AS span FROM pts)"
 
 

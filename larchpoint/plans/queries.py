@@ -106,6 +106,12 @@ def quadrupoles(s: SparkSession, d: str) -> DataFrame:
     return rounded(own.select("node_id", *(c.alias(n) for n, c in q.items())), list(q), 5)
 
 
+def trace_free(s: SparkSession, d: str, order: int) -> DataFrame:
+    p = emb(s, d)
+    q = moments.trace_free(order)
+    return rounded(moments.multipoles(p.points, p.nodes, order).select("node_id", *(c.alias(n) for n, c in q.items())), list(q), 4)
+
+
 def multipole(s: SparkSession, d: str, order: int) -> DataFrame:
     p = emb(s, d)
     names = [moments.name(m) for m in moments.all_indices(order)]
@@ -156,30 +162,43 @@ def split(s: SparkSession, d: str) -> DataFrame:
     return keep(domains.decompose(cloud, DOMAINS, points.infer_bounds(cloud), equalize=True))
 
 
-def crossed(s: SparkSession, d: str) -> walk.Walk:
-    rows = split(s, d)
-    a, b = domains.local_tree(rows, 0, LEAF), domains.local_tree(rows, 1, LEAF)
-    return walk.walk(a.nodes, a.geom, walk.Rules(THETA), (b.nodes, b.geom))
-
-
 def frontier(s: SparkSession, d: str) -> DataFrame:
     return rounded(domains.frontier(split(s, d), LEAF), ["mass", "comx", "comy", "comz", "radius"])
 
 
-def crossed_all(s: SparkSession, d: str) -> DataFrame:
-    """The pairs of the walk of every domain against every other: target_domain, source_domain, target, source, kind."""
+def local_trees(s: SparkSession, d: str) -> list[domains.LocalTree]:
     rows = split(s, d)
-    local = [domains.local_tree(rows, k, LEAF) for k in range(DOMAINS)]
-    parts = []
+    return [domains.local_tree(rows, k, LEAF) for k in range(DOMAINS)]
+
+
+def crossed(s: SparkSession, d: str, mutual: bool = False) -> DataFrame:
+    """The pairs of the walk of every domain against every other: target_domain, source_domain, target, source, kind."""
+    local, parts = local_trees(s, d), []
     for a, b in permutations(range(DOMAINS), 2):
-        pairs = walk.walk(local[a].nodes, local[a].geom, walk.Rules(THETA), (local[b].nodes, local[b].geom)).pairs.where(F.col("action") != walk.REFINE)
+        pairs = walk.walk(local[a].nodes, local[a].geom, walk.Rules(THETA, mutual=mutual), (local[b].nodes, local[b].geom)).pairs.where(F.col("action") != walk.REFINE)
         parts.append(pairs.select(F.lit(a).cast("long").alias("target_domain"), F.lit(b).cast("long").alias("source_domain"), F.col("a").alias("target"), F.col("b").alias("source"), F.col("action").alias("kind")))
     return reduce(DataFrame.unionByName, parts)
 
 
-def owned_all(s: SparkSession, d: str) -> DataFrame:
-    """The pairs of crossed_all and the domain that handles each."""
-    return crossed_all(s, d).withColumn("owner", domains.owners("target_domain", "target", "source_domain", "source"))
+def owned(s: SparkSession, d: str) -> DataFrame:
+    """The pairs of crossed and the domain that handles each."""
+    return crossed(s, d).withColumn("owner", domains.owners("target_domain", "target", "source_domain", "source"))
+
+
+def mutual_owned(s: SparkSession, d: str) -> DataFrame:
+    """The pairs of the mutual walk that the target's domain handles."""
+    return domains.handled(crossed(s, d, mutual=True))
+
+
+def domain_node_moments(s: SparkSession, d: str) -> DataFrame:
+    """Mass and centre of every node of every domain's tree."""
+    parts = [moments.mass_moments(t.points, t.nodes).withColumn("domain", F.lit(k).cast("long")) for k, t in enumerate(local_trees(s, d))]
+    return rounded(reduce(DataFrame.unionByName, parts), ["mass", "comx", "comy", "comz"])
+
+
+def domain_nodes(s: SparkSession, d: str) -> DataFrame:
+    """The nodes of every domain's tree."""
+    return reduce(DataFrame.unionByName, [node_columns(t.nodes).withColumn("domain", F.lit(k).cast("long")) for k, t in enumerate(local_trees(s, d))])
 
 
 def halo(s: SparkSession, d: str) -> DataFrame:
@@ -195,12 +214,6 @@ def halo(s: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def owned(s: SparkSession, d: str) -> DataFrame:
-    rows = split(s, d).select("domain", "local")
-    b = rows.where(F.col("domain") == 1).select(F.col("domain").alias("bd"), F.col("local").alias("bi"))
-    return rows.where((F.col("domain") == 0) & (F.col("local") < 50)).join(b, F.col("local") % 7 == F.col("bi") % 7).select(F.col("local").alias("ai"), "bi", domains.owners("domain", "local", "bd", "bi").alias("owner"))
-
-
 def returned(s: SparkSession, d: str) -> DataFrame:
     rows = split(s, d).withColumn("gid", F.col("domain") * domains.STRIDE + F.col("local"))
     forces = rows.select("gid", F.explode(F.array(F.lit(1.0), F.lit(2.0))).alias("k"), "x", "y", "z").select("gid", *((F.col(a) * F.col("k")).alias(f"f{a}") for a in "xyz"))
@@ -258,9 +271,7 @@ def event_cells(s: SparkSession, d: str) -> DataFrame:
 
 def neighbours(s: SparkSession, d: str, **options) -> DataFrame:
     v = points.vectors(s, d)
-    own = options.get("exclude_self", False)
-    q = None if own else v.where(F.col("id") % 5 == 0)
-    return rounded(knn.nearest(keep(v), q, 8, **options), ["distance"])
+    return rounded(knn.nearest(keep(v), None, 8, **options), ["distance"])
 
 
 def counted(s: SparkSession, d: str, radius, **options) -> DataFrame:
@@ -285,6 +296,8 @@ ALL: dict[str, Query] = {
     "multipole_o2": partial(multipole, order=2),
     "multipole_o4": partial(multipole, order=4),
     "quadrupole_stf": quadrupoles,
+    "octupole_stf": partial(trace_free, order=3),
+    "hexadecapole_stf": partial(trace_free, order=4),
     "m2m_check": m2m,
     "walk_far_bh": lambda s, d: emb(s, d).walk().far.select("target", "source"),
     "walk_near_bh": lambda s, d: emb(s, d).walk().near,
@@ -328,11 +341,12 @@ ALL: dict[str, Query] = {
     "equalize": lambda s, d: split(s, d).select("id", "domain", "local"),
     "domain_moments": lambda s, d: rounded(domains.top_moments(split(s, d)), ["mass", "comx", "comy", "comz"]),
     "coarse_frontier": frontier,
-    "cross_walk": lambda s, d: crossed(s, d).pairs.where(F.col("action") != walk.REFINE).select(F.col("a").alias("target"), F.col("b").alias("source"), F.col("action").alias("kind")),
-    "cross_walk_all": crossed_all,
+    "cross_walk": crossed,
+    "cross_mutual_owned": mutual_owned,
+    "domain_nodes": domain_nodes,
+    "domain_node_moments": domain_node_moments,
     "halo_import": halo,
     "cross_owner": owned,
-    "cross_owner_all": owned_all,
     "reverse_halo": returned,
     "prepared": prepared,
     "fixed_depth_walk": fixed_depth_walk,
@@ -364,8 +378,8 @@ def _walk(kind: str, select: str) -> str:
     return sql.recursive(_TREE + sql.walk(kind, THETA), select)
 
 
-def _cross() -> str:
-    ext, ok = sql.criterion("bh", THETA)
+def _cross(kind: str = "bh") -> str:
+    ext, ok = sql.criterion(kind, THETA)
     ok = f"(({sql.D2}) > 0 AND {ok.replace('d2', f'({sql.D2})')})"
     leaf = "(t.lft < 0 AND s.lft < 0)"
     trees_ = ", ".join(_renamed(sql.hierarchy(f"lv{k}") + "," + sql.GEOM, k) for k in (0, 1))
@@ -376,11 +390,11 @@ def _cross() -> str:
     return sql.recursive(f"{_DOMAINS}, {_LOCAL}, {trees_}, {sides}, {pairs}", f"SELECT w.a AS target, w.b AS source, CAST(CASE WHEN {ok} THEN 0 ELSE 1 END AS BIGINT) AS kind FROM w JOIN wn0 t ON t.node_id = w.a JOIN wn1 s ON s.node_id = w.b WHERE {ok} OR {leaf}")
 
 
-def _cross_all() -> str:
+def _cross_all(kind: str = "bh") -> str:
     """_cross() for every ordered pair of domains."""
     import re
 
-    one = lambda a, b: re.sub(r"\bWHERE domain = ([01])\b", lambda m: f"WHERE domain = {(a, b)[int(m[1])]}", _cross())
+    one = lambda a, b: re.sub(r"\bWHERE domain = ([01])\b", lambda m: f"WHERE domain = {(a, b)[int(m[1])]}", _cross(kind))
     return " UNION ALL ".join(f"SELECT CAST({a} AS BIGINT) AS target_domain, CAST({b} AS BIGINT) AS source_domain, * FROM ({one(a, b)})" for a, b in permutations(range(DOMAINS), 2))
 
 
@@ -388,6 +402,12 @@ def _octree_walk(select: str) -> str:
     return sql.recursive(f"{sql.bucketed('emb', LEAF)}, {sql.OCTREE}, {_OCT_PARENTS}, {_OCT_BOXES}{sql.cell_walk('bh', THETA)}", select)
 
 
+def _each_domain(select: str) -> str:
+    """The rows of every domain's tree (nd0 over bk0)."""
+    one = lambda k: f"WITH {_DOMAINS}, {_LOCAL.split(', bk1')[0]}, {_renamed(sql.hierarchy('lv0'), 0)} {select}".replace("WHERE domain = 0", f"WHERE domain = {k}")
+    return " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS domain, * FROM ({one(k)})" for k in range(DOMAINS))
+
+
 _OCT_PARENTS = "op AS (SELECT a.oct_id, max_by(b.oct_id, b.d) AS parent, max(b.d) AS pd FROM o a JOIN o b ON b.d < a.d AND (a.code >> (63 - 3 * b.d)) << (63 - 3 * b.d) = b.code GROUP BY a.oct_id)"
 _OCT_BOXES = f"""oc AS (SELECT oct_id, pow(2.0::DOUBLE, d) AS k, code >> (63 - 3 * d) AS cell FROM o), {sql.deinterleave('oc', 'oj', 'cell')},
 ob AS (SELECT oct_id, {', '.join(f"{a}0 + (j{a} + 0.5::DOUBLE) * (({a}1 - {a}0) / k) AS c{a}, 0.5::DOUBLE * ({a}1 - {a}0) / k AS h{a}" for a in 'xyz')} FROM oj, box)"""
@@ -410,6 +430,8 @@ SELECT id, {_SHARED} AS shared_bits, CASE WHEN code = nxt THEN 21 ELSE ({_SHARED
     "mass_moments": f"WITH {_TREE}, mm AS (SELECT node_id, sum(mass) AS mass, sum(mass * x) / sum(mass) AS comx, sum(mass * y) / sum(mass) AS comy, sum(mass * z) / sum(mass) AS comz FROM nd JOIN bk ON bk.pos BETWEEN nd.lo AND nd.hi GROUP BY node_id) SELECT node_id, {_R6('mass', 'comx', 'comy', 'comz')} FROM mm",
     "multipole_o2": f"WITH {_TREE} {sql.central(2)}",
     "multipole_o4": f"WITH {_TREE} {sql.central(4)}",
+    "octupole_stf": f"WITH {_TREE}, cn AS ({sql.central(3, 15)}) SELECT node_id, {sql.stf(3)} FROM cn",
+    "hexadecapole_stf": f"WITH {_TREE}, cn AS ({sql.central(4, 15)}) SELECT node_id, {sql.stf(4)} FROM cn",
     "m2m_check": f"WITH {_TREE} SELECT c.* FROM ({sql.central(2)}) c JOIN nd USING (node_id) WHERE NOT is_leaf",
     "walk_far_bh": _walk("bh", sql.FAR),
     "walk_near_bh": _walk("bh", sql.NEAR),
@@ -449,7 +471,7 @@ SELECT code, CAST(d AS BIGINT) AS depth, oct_id, (SELECT min(pos) FROM bk WHERE
     "adaptive_v": f"WITH {_ADAPTIVE} SELECT a.cell_id AS target, b.cell_id AS source FROM ad a JOIN ad b ON a.level = b.level AND a.level > 0 AND NOT ({sql.TOUCH}) AND abs((a.jx >> 1) - (b.jx >> 1)) <= 1 AND abs((a.jy >> 1) - (b.jy >> 1)) <= 1 AND abs((a.jz >> 1) - (b.jz >> 1)) <= 1",
     "nearfield_tiles": f"WITH {_ADAPTIVE} SELECT cell_id, nth, least({TILE}, n - nth * {TILE}) AS n, row_number() OVER (ORDER BY cell_id, nth) - 1 AS tile_id FROM (SELECT cell_id, n, unnest(range((n + {TILE - 1}) // {TILE})) AS nth FROM ad WHERE is_leaf AND n > 0)",
     "nearfield_tile_sources": f"WITH {_ADAPTIVE}, tl AS (SELECT cell_id, row_number() OVER (ORDER BY cell_id, nth) - 1 AS tile_id FROM (SELECT cell_id, unnest(range((n + {TILE - 1}) // {TILE})) AS nth FROM ad WHERE is_leaf AND n > 0)), nr AS ({sql.ADAPTIVE_NEAR} UNION ALL SELECT cell_id, cell_id FROM ad WHERE is_leaf) SELECT t.tile_id AS target_tile, s.tile_id AS source_tile FROM nr JOIN tl t ON t.cell_id = nr.target JOIN tl s ON s.cell_id = nr.source WHERE t.tile_id <> s.tile_id",
-    "knn": f"{_VECTORS} SELECT query_id, rank, id, round(sqrt(d2), 6) AS distance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d2, id) AS INTEGER) AS rank FROM dd WHERE query_id % 5 = 0) WHERE rank <= 8",
+    "knn": f"{_VECTORS} SELECT query_id, rank, id, round(sqrt(d2), 6) AS distance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d2, id) AS INTEGER) AS rank FROM dd) WHERE rank <= 8",
     "knn_exclude_self": f"{_VECTORS} SELECT query_id, rank, id, round(sqrt(d2), 6) AS distance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d2, id) AS INTEGER) AS rank FROM dd WHERE query_id <> id) WHERE rank <= 8",
     "radius_count": f"{_VECTORS} SELECT query_id, 1.0::DOUBLE AS radius, count(*) FILTER (d2 <= 1.0) AS n FROM dd GROUP BY query_id",
     "radius_count_multi": f"{_VECTORS} SELECT query_id, CAST(radius AS DOUBLE) AS radius, count(*) FILTER (d2 <= radius * radius AND query_id <> id) AS n FROM dd, (VALUES (0.5), (1.25)) r(radius) GROUP BY query_id, radius",
@@ -457,10 +479,11 @@ SELECT code, CAST(d AS BIGINT) AS depth, oct_id, (SELECT min(pos) FROM bk WHERE
     "equalize": f"WITH {_DOMAINS} SELECT id, domain, local FROM dm",
     "domain_moments": f"WITH {_DOMAINS}, g AS (SELECT domain, mass, x, y, z FROM dm UNION ALL SELECT -1, mass, x, y, z FROM dm), h AS (SELECT domain, sum(mass) AS mass, sum(mass * x) / sum(mass) AS comx, sum(mass * y) / sum(mass) AS comy, sum(mass * z) / sum(mass) AS comz FROM g GROUP BY domain) SELECT domain, {_R6('mass', 'comx', 'comy', 'comz')} FROM h",
     "coarse_frontier": f"WITH {_DOMAINS}, g AS (SELECT *, local // {LEAF} AS leaf FROM dm), h AS (SELECT domain, leaf, count(*) AS n, min(local) AS lo, max(local) AS hi, sum(mass) AS mass, sum(mass * x) / sum(mass) AS comx, sum(mass * y) / sum(mass) AS comy, sum(mass * z) / sum(mass) AS comz FROM g GROUP BY domain, leaf), i AS (SELECT h.*, sqrt((SELECT max((x - comx) * (x - comx) + (y - comy) * (y - comy) + (z - comz) * (z - comz)) FROM g WHERE g.domain = h.domain AND g.leaf = h.leaf)) AS radius FROM h) SELECT domain, leaf, n, lo, hi, {_R6('mass', 'comx', 'comy', 'comz', 'radius')} FROM i",
-    "cross_walk": _cross(),
-    "cross_walk_all": _cross_all(),
-    "cross_owner_all": f"SELECT *, CASE WHEN (target + source) % 2 = 0 THEN least(target_domain, source_domain) ELSE greatest(target_domain, source_domain) END AS owner FROM ({_cross_all()})",
-    "cross_owner": f"WITH {_DOMAINS} SELECT a.local AS ai, b.local AS bi, CAST(CASE WHEN (a.local + b.local) % 2 = 0 THEN 0 ELSE 1 END AS BIGINT) AS owner FROM dm a JOIN dm b ON a.domain = 0 AND a.local < 50 AND b.domain = 1 AND a.local % 7 = b.local % 7",
+    "cross_walk": _cross_all(),
+    "cross_mutual_owned": f"SELECT * FROM ({_cross_all('mutual')}) WHERE target_domain = CASE WHEN (target + source) % 2 = 0 THEN least(target_domain, source_domain) ELSE greatest(target_domain, source_domain) END",
+    "domain_nodes": _each_domain('SELECT node_id, parent, lft AS "left", rgt AS "right", is_leaf, level, lo, hi FROM nd0'),
+    "domain_node_moments": _each_domain(f"SELECT node_id, {_R6('mass', 'comx', 'comy', 'comz')} FROM (SELECT node_id, sum(mass) AS mass, sum(mass * x) / sum(mass) AS comx, sum(mass * y) / sum(mass) AS comy, sum(mass * z) / sum(mass) AS comz FROM nd0 JOIN bk0 ON bk0.local BETWEEN nd0.lo AND nd0.hi GROUP BY node_id)"),
+    "cross_owner": f"SELECT *, CASE WHEN (target + source) % 2 = 0 THEN least(target_domain, source_domain) ELSE greatest(target_domain, source_domain) END AS owner FROM ({_cross_all()})",
     "quadrupole_stf": f"WITH {_TREE}, cn AS ({sql.central(2, 15)}) SELECT node_id, " + ", ".join(f"round(3 * {m}{' - (m200 + m020 + m002)' if i == j else ''}, 5) + 0 AS q{i}{j}" for i, j, m in ((0, 0, "m200"), (0, 1, "m110"), (0, 2, "m101"), (1, 1, "m020"), (1, 2, "m011"), (2, 2, "m002"))) + " FROM cn",
     "octree_boxes": f"""WITH {sql.bucketed('emb', LEAF)}, {sql.OCTREE}, oc AS (SELECT oct_id, pow(2.0::DOUBLE, d) AS k, code >> (63 - 3 * d) AS cell FROM o), {sql.deinterleave('oc', 'oj', 'cell')},
 ob AS (SELECT oct_id, {', '.join(f"{a}0 + (j{a} + 0.5::DOUBLE) * (({a}1 - {a}0) / k) AS c{a}, 0.5::DOUBLE * ({a}1 - {a}0) / k AS h{a}" for a in 'xyz')} FROM oj, box)

@@ -211,7 +211,7 @@ def test_domains_cover_all_pairs_through_halos(spark):
 
 def test_queries_pair_and_own_all_domains(spark):
     sf = "/root/testdata/sf0.001"
-    pairs = keep(queries.ALL["cross_owner_all"](spark, sf))
+    pairs = keep(queries.ALL["cross_owner"](spark, sf))
     assert pairs.where("owner NOT IN (target_domain, source_domain)").isEmpty()
     rows = queries.split(spark, sf)
     nodes = [domains.local_tree(rows, k, queries.LEAF).nodes.select(F.lit(k).alias("domain"), "node_id", (F.col("hi") - F.col("lo") + 1).alias("n")) for k in range(queries.DOMAINS)]
