@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.OP1_SQL, "op8_topk": topk.OP8_SQL}
+    return {"op1_chat": chat.OP1_SQL, "op3_ann": ann.OP3_SQL, "op7_minhash": minhash.OP7_SQL, "op8_topk": topk.OP8_SQL}
