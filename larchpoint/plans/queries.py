@@ -416,6 +416,14 @@ _F32 = lambda a: f"{a}0 + CAST(CAST(j{a} AS FLOAT) / CAST({morton.TOP} AS FLOAT)
 _SHARED = "CASE WHEN code = nxt THEN 64 ELSE 64 - length(bin(xor(code, nxt))) END"
 _STATS = "SELECT CAST(count(*) FILTER (ok) AS BIGINT) AS accepted, CAST(count(*) FILTER (NOT ok AND NOT refined) AS BIGINT) AS near, CAST(count(*) FILTER (refined) AS BIGINT) AS refined, CAST(max(round) + 1 AS BIGINT) AS rounds FROM pr"
 
+_STATIC = f"""{sql.bucketed('emb', LEAF)}, k AS (SELECT count(*) AS n FROM lv),
+b(node_id, parent, a, e, level) AS (SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), n, CAST(0 AS BIGINT) FROM k
+  UNION ALL SELECT CASE WHEN x.e - x.a = 1 THEN n - 1 + x.a WHEN x.lower THEN node_id + 1 ELSE node_id + (b.a + b.e) // 2 - b.a END, node_id, x.a, x.e, level + 1
+  FROM (SELECT *, unnest([{{'a': a, 'e': (a + e) // 2, 'lower': true}}, {{'a': (a + e) // 2, 'e': e, 'lower': false}}]) AS x FROM b, k WHERE e - a > 1) b),
+nd AS (SELECT b.node_id, b.parent, coalesce(min(c.node_id) FILTER (c.a = b.a), -1) AS lft, coalesce(min(c.node_id) FILTER (c.e = b.e), -1) AS rgt, b.e - b.a = 1 AS is_leaf, b.level, u.lo, v.hi
+FROM b LEFT JOIN b c ON c.parent = b.node_id JOIN lv u ON u.leaf = b.a JOIN lv v ON v.leaf = b.e - 1 GROUP BY ALL)"""
+_FIXED = f"""{sql.coded('emb')}, np AS (SELECT CAST(ceil(count(*) / 8.0) AS BIGINT) AS need FROM cd), dp AS (SELECT min(d) AS d FROM range(22) r(d), np WHERE pow(8, d) >= need)"""
+
 SQL: dict[str, str] = {
     "bounds": f"WITH {sql.EMB} SELECT {_BOUNDS} FROM pts",
     "morton_encode": f"WITH {sql.coded('events')} SELECT id, code FROM cd",
@@ -447,12 +455,8 @@ SELECT id, {_SHARED} AS shared_bits, CASE WHEN code = nxt THEN 21 ELSE ({_SHARED
     "dense_slots": _walk("bh", f"""SELECT f.target, f.source, s.level, s.slot, CAST(row_number() OVER (PARTITION BY f.target ORDER BY f.source) - 1 AS INTEGER) AS k, {', '.join(f'round(g.c{a} - h.c{a}, 12) + 0 AS d{a}' for a in 'xyz')}
       FROM ({sql.FAR}) f JOIN (SELECT node_id, level, CAST(row_number() OVER (PARTITION BY level ORDER BY node_id) - 1 AS INTEGER) AS slot FROM nd) s ON s.node_id = f.target JOIN gm g ON g.node_id = f.target JOIN gm h ON h.node_id = f.source"""),
     "neighbor_growth_topk": _walk("bh", f"""SELECT node_id AS target, n, (SELECT max(n) FROM q) AS max_n, (SELECT round(avg(n), 6) FROM q) AS mean_n, (SELECT n FROM q ORDER BY n LIMIT 1 OFFSET (SELECT count(*) // 2 FROM q)) AS median_n FROM q ORDER BY n DESC, node_id LIMIT 10""").replace("\nSELECT node_id AS target", f", q AS (SELECT node_id, count(f.source) AS n FROM nd LEFT JOIN ({sql.NEAR}) f ON f.target = nd.node_id WHERE is_leaf GROUP BY node_id)\nSELECT node_id AS target"),
-    "static_radix_nodes": f"""WITH RECURSIVE {sql.bucketed('emb', LEAF)}, k AS (SELECT count(*) AS n FROM lv),
-b(node_id, parent, a, e, level) AS (SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), n, CAST(0 AS BIGINT) FROM k
-  UNION ALL SELECT CASE WHEN x.e - x.a = 1 THEN n - 1 + x.a WHEN x.lower THEN node_id + 1 ELSE node_id + (b.a + b.e) // 2 - b.a END, node_id, x.a, x.e, level + 1
-  FROM (SELECT *, unnest([{{'a': a, 'e': (a + e) // 2, 'lower': true}}, {{'a': (a + e) // 2, 'e': e, 'lower': false}}]) AS x FROM b, k WHERE e - a > 1) b)
-SELECT b.node_id, b.parent, coalesce(min(c.node_id) FILTER (c.a = b.a), -1) AS "left", coalesce(min(c.node_id) FILTER (c.e = b.e), -1) AS "right", b.e - b.a = 1 AS is_leaf, b.level, u.lo, v.hi
-FROM b LEFT JOIN b c ON c.parent = b.node_id JOIN lv u ON u.leaf = b.a JOIN lv v ON v.leaf = b.e - 1 GROUP BY ALL""",
+    "static_radix_nodes": f"WITH RECURSIVE {_STATIC} {_NODES}",
+    "static_radix_walk": sql.recursive(f"{_STATIC}, {sql.GEOM}{sql.walk('bh', THETA)}", _STATS),
     "fixed_depth_leaves": f"""WITH {sql.coded('emb')}, np AS (SELECT CAST(ceil(count(*) / 8.0) AS BIGINT) AS need FROM cd), dp AS (SELECT min(d) AS d FROM range(22) r(d), np WHERE pow(8, d) >= need),
 h AS (SELECT code >> CAST(63 - 3 * d AS BIGINT) AS leaf, count(*) AS n FROM cd, dp GROUP BY 1),
 c AS (SELECT r.leaf, coalesce(n, 0) AS n FROM (SELECT unnest(range(CAST(pow(8, d) AS BIGINT))) AS leaf FROM dp) r LEFT JOIN h USING (leaf))
@@ -490,6 +494,8 @@ ob AS (SELECT oct_id, {', '.join(f"{a}0 + (j{a} + 0.5::DOUBLE) * (({a}1 - {a}0)
 SELECT oct_id, {', '.join(f"round({c}, 9) + 0 AS {n}" for c, n in [*((f"{k}{a}", f"{k}{a}") for k in 'ch' for a in 'xyz'), ('sqrt(hx * hx + hy * hy + hz * hz)', 'radius'), ('greatest(hx, hy, hz)', 'max_extent')])} FROM ob""",
     "radix_to_oct": f"WITH {_TREE}, {sql.OCTREE}{sql.TO_OCTREE} SELECT node_id, oct_id FROM mp",
     "octree_far": sql.recursive(_TREE + sql.walk("bh", THETA) + ", " + sql.OCTREE + sql.TO_OCTREE, f"SELECT t.oct_id AS oct_target, s.oct_id AS oct_source FROM ({sql.FAR}) x JOIN mp t ON t.node_id = x.target JOIN mp s ON s.node_id = x.source"),
+    "fixed_depth_boxes": f"""WITH {_FIXED}, cl AS (SELECT unnest(range(CAST(pow(8, d) AS BIGINT))) AS leaf, pow(2.0::DOUBLE, d) AS k FROM dp), {sql.deinterleave('cl', 'cj', 'leaf')}
+SELECT leaf, {', '.join(f"round({a}0 + (j{a} + {e}) * (({a}1 - {a}0) / k), 9) + 0 AS {a}{e}" for a in 'xyz' for e in (0, 1))} FROM cj, box""",
     "octree_walk_far": _octree_walk(sql.FAR),
     "octree_walk_near": _octree_walk(sql.NEAR),
     "octree_walk_stats": _octree_walk(_STATS),
