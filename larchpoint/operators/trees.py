@@ -96,18 +96,27 @@ def fixed_depth(points: DataFrame, target_leaf_points: int, bounds: Bounds | Non
     return rows.withColumnRenamed("cell", "leaf"), leaf_rows, depth
 
 
-def refine_once(leaf_rows: DataFrame, points: DataFrame, least: int) -> DataFrame:
-    """Cells (code, depth, n) with the given ones cut into their octants; cells of `least` points or fewer stay.
+def refined(bucketed: DataFrame, leaf_rows: DataFrame, levels: int = 2, aspect: float = 8.0, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Points and leaves of a fixed depth with long cells cut into their octants, up to `levels` times.
 
-    points: code, cell_code, cell_depth of the cell each is in.
+    A cell is cut if its points' longest side exceeds `aspect` times the shortest and they lie in two octants or more.
+    Only octants with points remain, and those of `least` points or fewer aren't cut again. Empty leaves stay. Leaves
+    are numbered by first point, then code. A round is one aggregation by cell and one join.
     """
-    wide = leaf_rows.where(F.col("n") > least)
-    stay = leaf_rows.where(F.col("n") <= least)
-    kids = wide.select("code", "depth", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("o"))
-    kids = kids.select((F.col("code") + F.call_function("shiftleft", F.col("o").cast("long"), (60 - 3 * F.col("depth")).cast("int"))).alias("code"), (F.col("depth") + 1).alias("depth"))
-    held = points.join(wide.select(F.col("code").alias("cell_code"), F.col("depth").alias("cell_depth")), ["cell_code", "cell_depth"])
-    held = held.groupBy(morton.prefix(F.col("code"), F.col("cell_depth") + 1).alias("code"), (F.col("cell_depth") + 1).alias("depth")).agg(F.count("*").alias("n"))
-    return stay.unionByName(kids.join(held, ["code", "depth"], "left").select("code", "depth", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+    rows = bucketed.join(leaf_rows.select("leaf", F.col("code").alias("cell"), "depth"), "leaf").drop("leaf")
+    depth = F.col("depth")
+    for nth in range(levels):
+        octant = morton.octant(F.col("code"), depth + 1)
+        sides = [F.max(a) - F.min(a) for a in "xyz"]
+        cells = rows.where(depth < morton.BITS).groupBy("cell", "depth").agg(F.count("*").alias("n"), F.greatest(*sides).alias("long"), F.greatest(F.least(*sides), F.lit(1e-12)).alias("short"), F.min(octant).alias("o0"), F.max(octant).alias("o1"))
+        wide = cells.where((F.col("long") / F.col("short") > aspect) & (F.col("o0") < F.col("o1")) & (F.col("n") > (least if nth else 0)))
+        rows = rows.join(wide.select("cell", "depth", F.lit(1).alias("cut")), ["cell", "depth"], "left").withColumn("depth", depth + F.coalesce("cut", F.lit(0)))
+        rows = keep(rows.withColumn("cell", F.when(F.col("cut").isNotNull(), morton.prefix(F.col("code"), depth)).otherwise(F.col("cell"))).drop("cut"))
+    held = rows.groupBy("cell", "depth").agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    empty = leaf_rows.where("n = 0").select(F.col("code").alias("cell"), "depth", "n", "lo", "hi")
+    out = keep(with_rank(held.unionByName(empty), ["lo", "cell"], "leaf"))
+    rows = rows.join(out.where("n > 0").select("cell", "depth", "leaf"), ["cell", "depth"]).drop("cell", "depth")
+    return rows, out.withColumnRenamed("cell", "code").select("leaf", "code", "depth", "n", "lo", "hi")
 
 
 def kd_depth(n: int, leaf_size: int) -> int:

@@ -20,6 +20,8 @@ from larchpoint.storage import keep
 LEAF, EVENT_LEAF, THETA = 8, 128, 0.6
 DEPTH, ADAPTIVE_LEAF, TILE = 3, 16, 8
 DOMAINS = 4
+#: Sides of a refined cell's points, longest to shortest.
+ASPECT = 3.0
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -225,6 +227,12 @@ def fixed_cells(s: SparkSession, d: str) -> DataFrame:
     return leaf.select("leaf", "code", F.col("depth").cast("long").alias("depth"), "n", "lo", "hi")
 
 
+def refined_cells(s: SparkSession, d: str) -> DataFrame:
+    rows, leaf, _ = trees.fixed_depth(points.embeddings(s, d), LEAF)
+    leaf = trees.refined(rows, leaf, 2, ASPECT)[1]
+    return leaf.select("leaf", "code", F.col("depth").cast("long").alias("depth"), "n", "lo", "hi")
+
+
 def kd_nodes(s: SparkSession, d: str) -> DataFrame:
     return trees.leaf_kd(points.embeddings(s, d), LEAF)[1].select("node_id", "parent", "is_leaf", "level", "lo", "hi", F.col("split_dim").cast("long").alias("split_dim"), "split_value")
 
@@ -311,6 +319,7 @@ ALL: dict[str, Query] = {
     "dense_slots": lambda s, d: (lambda p: rounded(layout.dense(p.walk().far, p.nodes, p.geom).withColumn("slot", F.col("slot").cast("int")), ["dx", "dy", "dz"], 12))(emb(s, d)),
     "neighbor_growth_topk": grown,
     "fixed_depth_leaves": fixed_cells,
+    "fixed_depth_refined": refined_cells,
     "static_radix_nodes": lambda s, d: node_columns(trees.static_radix(emb(s, d).points)),
     "static_radix_walk": static_walk,
     "leaf_kd": kd_nodes,
@@ -424,6 +433,22 @@ nd AS (SELECT b.node_id, b.parent, coalesce(min(c.node_id) FILTER (c.a = b.a), -
 FROM b LEFT JOIN b c ON c.parent = b.node_id JOIN lv u ON u.leaf = b.a JOIN lv v ON v.leaf = b.e - 1 GROUP BY ALL)"""
 _FIXED = f"""{sql.coded('emb')}, np AS (SELECT CAST(ceil(count(*) / 8.0) AS BIGINT) AS need FROM cd), dp AS (SELECT min(d) AS d FROM range(22) r(d), np WHERE pow(8, d) >= need)"""
 
+def _refined() -> str:
+    """Leaves of the fixed depth, cut where they are long, in two rounds."""
+    out = f"""WITH {_FIXED}, c0 AS (SELECT *, row_number() OVER (ORDER BY code, id) - 1 AS pos, (code >> (63 - 3 * d)) << (63 - 3 * d) AS cell, CAST(d AS BIGINT) AS depth FROM cd, dp)"""
+    for k in range(2):
+        octant = "(code >> (60 - 3 * depth)) & 7"
+        side = lambda a: f"max({a}) - min({a})"
+        sides = ", ".join(map(side, "xyz"))
+        out += f""", s{k} AS (SELECT cell, depth, greatest({sides}) / greatest(least({sides}), 1e-12::DOUBLE) > {ASPECT} AND min({octant}) < max({octant}){' AND count(*) > 2' if k else ''} AS cut FROM c{k} GROUP BY cell, depth),
+c{k + 1} AS (SELECT * EXCLUDE (cell, depth, cut), CASE WHEN cut THEN (code >> (60 - 3 * depth)) << (60 - 3 * depth) ELSE cell END AS cell, depth + CAST(cut AS BIGINT) AS depth FROM c{k} JOIN s{k} USING (cell, depth))"""
+    out += """, h AS (SELECT cell AS code, depth, count(*) AS n, min(pos) AS lo, max(pos) AS hi FROM c2 GROUP BY cell, depth),
+z AS (SELECT r.cell << CAST(63 - 3 * d AS BIGINT) AS code, CAST(d AS BIGINT) AS depth FROM (SELECT unnest(range(CAST(pow(8, d) AS BIGINT))) AS cell, d FROM dp) r WHERE NOT EXISTS (SELECT 1 FROM cd WHERE code >> CAST(63 - 3 * d AS BIGINT) = r.cell)),
+u AS (SELECT * FROM h UNION ALL SELECT z.code, z.depth, 0, (SELECT count(*) FROM cd WHERE cd.code < z.code), (SELECT count(*) FROM cd WHERE cd.code < z.code) - 1 FROM z)
+SELECT row_number() OVER (ORDER BY lo, code) - 1 AS leaf, code, depth, n, lo, hi FROM u"""
+    return out
+
+
 SQL: dict[str, str] = {
     "bounds": f"WITH {sql.EMB} SELECT {_BOUNDS} FROM pts",
     "morton_encode": f"WITH {sql.coded('events')} SELECT id, code FROM cd",
@@ -496,6 +521,7 @@ SELECT oct_id, {', '.join(f"round({c}, 9) + 0 AS {n}" for c, n in [*((f"{k}{a}",
     "octree_far": sql.recursive(_TREE + sql.walk("bh", THETA) + ", " + sql.OCTREE + sql.TO_OCTREE, f"SELECT t.oct_id AS oct_target, s.oct_id AS oct_source FROM ({sql.FAR}) x JOIN mp t ON t.node_id = x.target JOIN mp s ON s.node_id = x.source"),
     "fixed_depth_boxes": f"""WITH {_FIXED}, cl AS (SELECT unnest(range(CAST(pow(8, d) AS BIGINT))) AS leaf, pow(2.0::DOUBLE, d) AS k FROM dp), {sql.deinterleave('cl', 'cj', 'leaf')}
 SELECT leaf, {', '.join(f"round({a}0 + (j{a} + {e}) * (({a}1 - {a}0) / k), 9) + 0 AS {a}{e}" for a in 'xyz' for e in (0, 1))} FROM cj, box""",
+    "fixed_depth_refined": _refined(),
     "octree_walk_far": _octree_walk(sql.FAR),
     "octree_walk_near": _octree_walk(sql.NEAR),
     "octree_walk_stats": _octree_walk(_STATS),
