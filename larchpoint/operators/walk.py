@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larchpoint.session import ship
-from larchpoint.storage import keep
+from larchpoint.storage import forget, keep
 
 ACCEPT, NEAR, REFINE = 0, 1, 2
 NODES = 500_000
@@ -238,6 +238,8 @@ def by_rounds(targets: DataFrame, sources: DataFrame | None, rules: Rules) -> Da
         bad = (F.col("action") == NEAR) & ~(leaf_a & leaf_b) | (F.col("action") == REFINE) & leaf_a & leaf_b & different
         if rules.policy and not rows.where(bad).isEmpty():
             raise ValueError("a policy must name leaf pairs near or accept them, and name no other pair near")
+        if number:
+            forget(frontier)
         done = rows.where(F.col("action") != REFINE).select("a", "b", "action", "tag", "back_tag", F.lit(number).cast("long").alias("round"))
         going = rows.where(F.col("action") == REFINE)
         count = going.agg(F.count("*").alias("n")).select(F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"), F.lit(REFINE).cast("long").alias("action"), F.col("n").alias("tag"), F.lit(0).cast("long").alias("back_tag"), F.lit(number).cast("long").alias("round")).where("tag > 0")
