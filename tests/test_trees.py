@@ -143,6 +143,27 @@ def test_leaf_kd_splits_at_medians(spark, kind):
     assert nodes.where("is_leaf").count() == len(set(want.values()))
 
 
+def test_balancing_cuts_large_leaves_beside_small_ones(spark):
+    """A dense corner beside sparse cells: without balancing, leaves that touch differ by several levels."""
+    rng = np.random.default_rng(6)
+    p = np.concatenate((0.49 + 0.005 * rng.uniform(size=(200, 3)), rng.uniform(size=(40, 3)), [[0.0] * 3, [1.0] * 3]))
+    df = frame(spark, p)
+    placed = keep(cells.place(df, cells.grid_of(df, 6)))
+
+    def steps(balanced: bool) -> tuple[int, int]:
+        """Largest difference of level between leaves that touch, and the points of all leaves."""
+        found = [(r["level"], r["cell"], r["n"]) for r in cells.adaptive_cells(placed, 6, 12, balanced).where("is_leaf AND n > 0").collect()]
+        boxes = []
+        for level, cell, _ in found:
+            at = [sum((cell >> (3 * i + a) & 1) << i for i in range(level)) << (6 - level) for a in range(3)]
+            boxes.append((level, at, 1 << (6 - level)))
+        touch = [abs(m - n) for k, (m, x, u) in enumerate(boxes) for n, y, v in boxes[:k] if all(x[a] <= y[a] + v and y[a] <= x[a] + u for a in range(3))]
+        return max(touch), sum(n for *_, n in found)
+
+    assert steps(False)[0] > 1 and steps(True)[0] <= 1
+    assert steps(False)[1] == steps(True)[1] == len(p)
+
+
 def test_adaptive_lists_cover_every_pair_once(spark):
     p = cloud("clustered", 400)
     df = frame(spark, p)
