@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larchpoint.functions import morton
+from larchpoint.operators.layout import starts
 from larchpoint.sources.points import exact_bounds
 from larchpoint.storage import keep, with_rank
 
@@ -73,6 +74,26 @@ def uniform_cells(placed: DataFrame, depth: int) -> DataFrame:
     return with_rank(up.groupBy("level", "cell").agg(F.sum("n").alias("n")), ["level", "cell"], "cell_id")
 
 
+def execution_view(placed: DataFrame, depth: int) -> DataFrame:
+    """uniform_cells with parent, nth (place among the parent's children), n_children, first_child (children
+    have consecutive ids; -1 at the finest level), lo and hi (the cell's points in order of their cells,
+    inclusive), and level_start (id of its level's first cell)."""
+    cells = keep(uniform_cells(placed, depth))
+    up = cells.select((F.col("level") + 1).alias("level"), F.col("cell").alias("up"), F.col("cell_id").alias("parent"))
+    rows = cells.withColumn("up", F.shiftright("cell", 3)).join(up, ["level", "up"], "left").withColumn("parent", F.coalesce("parent", F.lit(-1)))
+    kids = rows.where("parent >= 0").groupBy(F.col("parent").alias("cell_id")).agg(F.count("*").alias("n_children"), F.min("cell_id").alias("first_child"))
+    rows = rows.join(kids, "cell_id", "left").withColumns({"n_children": F.coalesce("n_children", F.lit(0)), "first_child": F.coalesce("first_child", F.lit(-1))})
+    nth = kids.select(F.col("cell_id").alias("parent"), F.col("first_child").alias("eldest"))
+    rows = rows.join(nth, "parent", "left").withColumn("nth", F.coalesce(F.col("cell_id") - F.col("eldest"), F.lit(-1)))
+    finest = keep(cells.where(F.col("level") == depth).select("cell", "n", F.col("cell_id")))
+    base = finest.agg(F.min("cell_id")).head()[0] or 0
+    spans = keep(starts(finest.withColumn("rank", F.col("cell_id") - F.lit(base)), "rank", "n", "lo").select("cell", "lo", (F.col("lo") + F.col("n") - 1).alias("hi")))
+    above = spans.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("cell", F.call_function("shiftright", F.col("cell"), (3 * (depth - F.col("level"))).cast("int")))
+    ranges = above.groupBy("level", "cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    first = cells.groupBy("level").agg(F.min("cell_id").alias("level_start"))  # a row a level
+    return rows.join(ranges, ["level", "cell"]).join(first, "level").select("cell_id", "level", "cell", "n", "parent", "nth", "n_children", "first_child", "lo", "hi", "level_start")
+
+
 def dense_cells(placed: DataFrame, depth: int) -> DataFrame:
     """The same with empty cells too: ids are fixed by level and cell."""
     spark = placed.sparkSession

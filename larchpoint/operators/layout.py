@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larchpoint.functions.morton import Bounds
 from larchpoint.operators.radix import with_slot
+from larchpoint.storage import keep, with_rank
 
 
 def dense(far: DataFrame, nodes: DataFrame, geom: DataFrame) -> DataFrame:
@@ -33,8 +34,6 @@ def displacement_classes(far: DataFrame, nodes: DataFrame, geom: DataFrame, box:
 
 def class_table(classified: DataFrame) -> DataFrame:
     """One row a class, numbered in order of its key."""
-    from larchpoint.storage import with_rank
-
     key = ["target_level", "source_level", "ix", "iy", "iz"]
     return with_rank(classified.groupBy(*key).agg(F.count("*").alias("n_pairs")), key, "class_id")
 
@@ -51,9 +50,38 @@ def growth(near: DataFrame, nodes: DataFrame, top: int = 10) -> DataFrame:
 
 
 def csr(pairs: DataFrame, key: str = "target", value: str = "source") -> DataFrame:
-    """key, count, offset and k-th value: compressed rows of a pair table."""
-    from larchpoint.storage import with_rank
-
+    """Compressed rows of a pair table: key, value, k (value's place within its key's row), count and first (the row's
+    length and its first place), row (the key's place among the keys with pairs)."""
     k = F.row_number().over(Window.partitionBy(key).orderBy(value)) - 1
-    counts = with_rank(pairs.groupBy(key).agg(F.count("*").alias("count")), [key], "row")
-    return pairs.select(key, value, k.alias("k")).join(counts, key)
+    ranked = keep(with_rank(pairs.groupBy(key).agg(F.count("*").alias("count")), [key], "row"))
+    return pairs.select(key, value, k.alias("k")).join(starts(ranked, "row", "count"), key)
+
+
+def starts(rows: DataFrame, rank: str, size: str, name: str = "first") -> DataFrame:
+    """Adds the sum of size over the rows before each, in order of rank (0, 1, ...): sums within blocks of ranks are
+    windows of 4,096 rows, and the blocks' sums are added up in one."""
+    block = F.shiftright(rank, 12)
+    sizes = rows.groupBy(block.alias("_block")).agg(F.sum(size).alias("_size"))
+    before = sizes.select("_block", (F.sum("_size").over(Window.orderBy("_block")) - F.col("_size")).alias("_before"))
+    own = F.sum(size).over(Window.partitionBy("_block").orderBy(rank)) - F.col(size)
+    placed = rows.withColumn("_block", block).withColumn("_own", own).join(before, "_block")
+    return placed.withColumn(name, F.col("_before") + F.col("_own")).drop("_block", "_own", "_before")
+
+
+def target_blocks(pairs: DataFrame, width: int, key: str = "target", value: str = "source") -> DataFrame:
+    """csr() with block, numbered through: each row of sources is cut into blocks of `width` places, none shared."""
+    if width < 1:
+        raise ValueError("width must be positive")
+    rows = keep(csr(pairs, key, value))
+    blocks = F.ceil(F.col("count") / width).cast("long")
+    first = starts(rows.where("k = 0").select(key, "row", blocks.alias("blocks")), "row", "blocks", "first_block")
+    return rows.join(first.select(key, "first_block"), key).withColumn("block", F.col("first_block") + F.floor(F.col("k") / width).cast("long")).drop("first_block")
+
+
+def level_major(far: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Far pairs with the level of their target, their place by (level, target, source), and the place of their level's
+    first pair."""
+    rows = far.select("target", "source").join(nodes.select(F.col("node_id").alias("target"), F.col("level").alias("target_level")), "target")
+    ranked = with_rank(rows, ["target_level", "target", "source"], "place")
+    first = ranked.groupBy("target_level").agg(F.min("place").alias("level_start"))  # a row a level
+    return ranked.join(first, "target_level")

@@ -62,6 +62,25 @@ def unpack(packed: Column, order: int) -> dict[str, Column]:
     return {name(m): F.element_at(packed, i + 1) for i, m in enumerate(all_indices(order))}
 
 
+def densify(packed: Column, order: int) -> Column:
+    """The (order + 1)^3 coefficients in order of (i, j, k) from packed ones; 0 where i + j + k > order."""
+    at = {m: n + 1 for n, m in enumerate(all_indices(order))}
+    side = range(order + 1)
+    return F.array(*(F.element_at(packed, at[i, j, k]) if (i, j, k) in at else F.lit(0.0) for i in side for j in side for k in side))
+
+
+def from_dense(dense: Column, order: int) -> Column:
+    """Packed coefficients from the dense ones of densify()."""
+    w = order + 1
+    return F.array(*(F.element_at(dense, (i * w + j) * w + k + 1) for i, j, k in all_indices(order)))
+
+
+def packed_multipoles(bucketed: DataFrame, nodes: DataFrame, order: int) -> DataFrame:
+    """node_id, centre of mass, and the moments about it as one array, packed by order."""
+    rows = multipoles(bucketed, nodes, order)
+    return rows.select("node_id", "comx", "comy", "comz", pack([F.col(name(m)) for m in all_indices(order)]).alias("packed"))
+
+
 def mass_moments(bucketed: DataFrame, nodes: DataFrame) -> DataFrame:
     """node_id, mass, comx, comy, comz; without mass the centre is 0."""
     sums = bucketed.groupBy("leaf").agg(F.sum("mass").alias("mass"), *(F.sum(F.col("mass") * F.col(a)).alias(f"s{a}") for a in "xyz"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larchpoint.functions import morton
@@ -142,9 +144,11 @@ def leaf_kd(points: DataFrame, leaf_size: int) -> tuple[DataFrame, DataFrame]:
         sides = rows.groupBy("bucket").agg(*(F.max(a) - F.min(a) for a in "xyz"), F.count("*").alias("n")).toDF("bucket", "sx", "sy", "sz", "n")
         widest = F.when((F.col("sx") >= F.col("sy")) & (F.col("sx") >= F.col("sz")), 0).when(F.col("sy") >= F.col("sz"), 1).otherwise(2)
         sides = keep(sides.select("bucket", widest.alias("dim"), "n"))  # 2^level rows
-        starts = sides.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"), F.ceil(F.col("n") / 2).alias("half"))
+        halves = sides.select("bucket", F.ceil(F.col("n") / 2).alias("half"))
         coord = F.when(F.col("dim") == 0, F.col("x")).when(F.col("dim") == 1, F.col("y")).otherwise(F.col("z"))
-        ranked = with_rank(rows.join(sides.select("bucket", "dim"), "bucket").withColumn("coord", coord), ["bucket", "coord", "id"], "_r").join(starts, "bucket")
+        ranked = with_rank(rows.join(sides.select("bucket", "dim"), "bucket").withColumn("coord", coord), ["bucket", "coord", "id"], "_r")
+        start = ranked.groupBy("bucket").agg(F.min("_r").alias("start"))
+        ranked = ranked.join(start, "bucket").join(halves, "bucket")
         within = F.col("_r") - F.col("start")
         ranked = keep(ranked.withColumn("within", within))
         cut = F.least(F.col("half"), F.lit(n - 1))
@@ -172,3 +176,49 @@ def leaf_kd(points: DataFrame, leaf_size: int) -> tuple[DataFrame, DataFrame]:
     if splits is None:
         return bucketed, nodes.withColumns({"split_dim": F.lit(-1), "split_value": F.lit(None).cast("double")})
     return bucketed, nodes.join(splits, "node_id", "left").withColumn("split_dim", F.coalesce("split_dim", F.lit(-1)))
+
+
+def _left_size(n: Column) -> Column:
+    """Points below the left child of a left-balanced node over n: only its last level may be short, at the right."""
+    half = F.call_function("shiftleft", F.lit(1).cast("long"), (F.length(F.bin(n)) - 2).cast("int"))
+    return half - 1 + F.least(n - 2 * half + 1, half)
+
+
+def heap_kd(points: DataFrame, leaf_size: int) -> tuple[DataFrame, DataFrame]:
+    """(points with node and pos, nodes): the left-balanced k-d tree in which each inner node holds one point, its pivot.
+
+    nodes: node_id (heap number), parent, is_leaf, n (points at and below), lo and hi (their places in inorder,
+    inclusive), split_dim, split_value and pivot (the id of the inner node's point; all -1 or null at leaves). A node
+    of leaf_size points or fewer is a leaf, its points in order of id. A node splits its widest side, the first of
+    equal ones; points at one coordinate go by id. Without points there are no nodes.
+
+    As points lie in inner nodes, a walk over leaves loses pairs: this tree serves searches and layouts only. A level
+    is one aggregation and one ranking over range partitions, so that the first nodes don't fill one task.
+    """
+    if leaf_size < 1:
+        raise ValueError("leaf_size must be positive")
+    active = keep(points.withColumns({"node": F.lit(0).cast("long"), "start": F.lit(0).cast("long")}))
+    size, placed, nodes = active.count(), [], []
+    none = {"split_dim": F.lit(-1), "split_value": F.lit(None).cast("double"), "pivot": F.lit(-1).cast("long")}
+    while not active.isEmpty():
+        sides = active.groupBy("node", "start").agg(*((F.max(a) - F.min(a)).alias(f"s{a}") for a in "xyz"), F.count("*").alias("n"))
+        widest = F.when((F.col("sx") >= F.col("sy")) & (F.col("sx") >= F.col("sz")), 0).when(F.col("sy") >= F.col("sz"), 1).otherwise(2)
+        sides = keep(sides.select("node", "start", "n", F.when(F.col("n") > leaf_size, widest).alias("dim")))
+        coord = F.when(F.col("dim") == 0, F.col("x")).when(F.col("dim") == 1, F.col("y")).when(F.col("dim") == 2, F.col("z"))
+        ranked = with_rank(active.join(sides.select("node", "dim"), "node").withColumn("coord", coord).drop("dim"), ["node", "coord", "id"], "_r")
+        first = ranked.groupBy("node").agg(F.min("_r").alias("first"))
+        ranked = ranked.join(first, "node").join(sides.select("node", "n", "dim"), "node").withColumns({"within": F.col("_r") - F.col("first"), "cut": _left_size(F.col("n"))})
+        ranked = keep(ranked.drop("_r", "first"))
+        here, place = [c for c in points.columns], (F.col("start") + F.col("within")).alias("pos")
+        placed.append(ranked.where("dim IS NULL OR within = cut").select(*here, "node", place))
+        ends = ("n", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1).alias("hi"))
+        parent = F.when(F.col("node") == 0, -1).otherwise(F.floor((F.col("node") - 1) / 2)).cast("long").alias("parent")
+        nodes.append(sides.where("dim IS NULL").select(F.col("node").alias("node_id"), parent, F.lit(True).alias("is_leaf"), *ends, *(c.alias(k) for k, c in none.items())))
+        nodes.append(ranked.where("dim IS NOT NULL AND within = cut").select(F.col("node").alias("node_id"), parent, F.lit(False).alias("is_leaf"), *ends, F.col("dim").alias("split_dim"), F.col("coord").alias("split_value"), F.col("id").alias("pivot")))
+        right = F.col("within") > F.col("cut")
+        active = keep(ranked.where("dim IS NOT NULL AND within <> cut").select(*here, (F.col("node") * 2 + F.when(right, 2).otherwise(1)).alias("node"), (F.col("start") + F.when(right, F.col("cut") + 1).otherwise(0)).alias("start")))
+    if not size:
+        empty = active.withColumn("pos", F.col("start"))
+        ids = F.col("node")
+        return empty.select(*points.columns, "node", "pos"), empty.select(ids.alias("node_id"), ids.alias("parent"), F.lit(True).alias("is_leaf"), ids.alias("n"), ids.alias("lo"), ids.alias("hi"), *(c.alias(k) for k, c in none.items()))
+    return reduce(DataFrame.unionByName, placed), reduce(DataFrame.unionByName, nodes)

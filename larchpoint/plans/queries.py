@@ -22,6 +22,8 @@ DEPTH, ADAPTIVE_LEAF, TILE = 3, 16, 8
 DOMAINS = 4
 #: Sides of a refined cell's points, longest to shortest.
 ASPECT = 3.0
+#: Sources of a target in a block.
+BLOCK = 4
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -217,9 +219,66 @@ def halo(s: SparkSession, d: str) -> DataFrame:
 
 
 def returned(s: SparkSession, d: str) -> DataFrame:
-    rows = split(s, d).withColumn("gid", F.col("domain") * domains.STRIDE + F.col("local"))
-    forces = rows.select("gid", F.explode(F.array(F.lit(1.0), F.lit(2.0))).alias("k"), "x", "y", "z").select("gid", *((F.col(a) * F.col("k")).alias(f"f{a}") for a in "xyz"))
-    return rounded(domains.reverse_halo(forces), ["fx", "fy", "fz"])
+    """What the viewers' imported points owe to their owners: each point pulls its viewer's centre of mass with a force
+    that grows with the distance, and its owner gets the opposite."""
+    rows = split(s, d)
+    top = domains.top_moments(rows).where("domain >= 0").select(F.col("domain").alias("viewer"), F.col("mass").alias("vmass"), *(F.col(f"com{a}").alias(f"v{a}") for a in "xyz"))
+    held = halo(s, d).select("viewer", "gid", "id").join(rows.select("id", "x", "y", "z", "mass"), "id").join(top, "viewer")
+    forces = held.select("gid", *((F.col("mass") * F.col("vmass") * (F.col(a) - F.col(f"v{a}"))).alias(f"f{a}") for a in "xyz"))
+    return rounded(domains.reverse_halo(forces), ["fx", "fy", "fz"], 5)
+
+
+def coarse_nodes(s: SparkSession, d: str) -> DataFrame:
+    """The coarse tree over the leaves of all domains, and the domain that owns all leaves below a node."""
+    rows = split(s, d)
+    entries, nodes, geom = domains.coarse_tree(domains.frontier(rows, LEAF), points.infer_bounds(rows))
+    owner = domains.single_owner(nodes, entries.select("leaf", "domain")).withColumnRenamed("domain", "owner")
+    return rounded(node_columns(nodes).join(owner, "node_id").join(geom.select("node_id", "cx", "cy", "cz", "radius"), "node_id"), ["cx", "cy", "cz", "radius"])
+
+
+def near_blocks(s: SparkSession, d: str) -> DataFrame:
+    rows = layout.target_blocks(emb(s, d).walk().near, BLOCK)
+    return rows.select("target", "source", F.col("k").cast("long").alias("k"), F.col("count").alias("n"), F.col("first").alias("first_place"), F.col("row").alias("nth_target"), "block")
+
+
+def far_by_level(s: SparkSession, d: str) -> DataFrame:
+    p = emb(s, d)
+    return layout.level_major(p.walk().far, p.nodes)
+
+
+def coefficients(df: DataFrame, values: str, digits: int = 5) -> DataFrame:
+    """node_id, slot, value: an array's elements by place."""
+    rows = df.select("node_id", F.posexplode(values).alias("slot", "value"))
+    return rounded(rows.withColumn("slot", F.col("slot").cast("long")), ["value"], digits)
+
+
+def packed_moments(s: SparkSession, d: str) -> DataFrame:
+    p = emb(s, d)
+    return coefficients(moments.packed_multipoles(p.points, p.nodes, 3), "packed")
+
+
+def dense_moments(s: SparkSession, d: str) -> DataFrame:
+    p = emb(s, d)
+    return coefficients(moments.packed_multipoles(p.points, p.nodes, 2).withColumn("dense", moments.densify(F.col("packed"), 2)), "dense")
+
+
+def moment_layout(s: SparkSession, d: str) -> DataFrame:
+    """Where the coefficient of each multi-index up to order 4 is kept."""
+    rows = [(sum(m), *m, moments.triangular_index(*m), moments.level_offset(sum(m)) + moments.triangular_index(*m), moments.level_size(sum(m)), moments.index_factorial(m)) for m in moments.all_indices(4)]
+    return s.createDataFrame(rows, "order_ long, i long, j long, k long, nth long, place long, size long, factorial long")
+
+
+def heap_nodes(s: SparkSession, d: str) -> DataFrame:
+    return trees.heap_kd(points.embeddings(s, d), LEAF)[1].select("node_id", "parent", "is_leaf", "n", "lo", "hi", F.col("split_dim").cast("long").alias("split_dim"), "split_value", "pivot")
+
+
+def heap_points(s: SparkSession, d: str) -> DataFrame:
+    return trees.heap_kd(points.embeddings(s, d), LEAF)[0].select("id", "node", "pos")
+
+
+def view(s: SparkSession, d: str) -> DataFrame:
+    rows = cells.execution_view(placed(s, d), DEPTH)
+    return rows.select(*(F.col(c).cast("long").alias(c) for c in rows.columns))
 
 
 def fixed_cells(s: SparkSession, d: str) -> DataFrame:
@@ -357,6 +416,15 @@ ALL: dict[str, Query] = {
     "halo_import": halo,
     "cross_owner": owned,
     "reverse_halo": returned,
+    "coarse_nodes": coarse_nodes,
+    "near_blocks": near_blocks,
+    "far_by_level": far_by_level,
+    "moments_packed": packed_moments,
+    "moments_dense": dense_moments,
+    "moment_layout": moment_layout,
+    "heap_kd": heap_nodes,
+    "heap_kd_points": heap_points,
+    "uniform_view": view,
     "prepared": prepared,
     "fixed_depth_walk": fixed_depth_walk,
     "fixed_depth_boxes": fixed_depth_boxes,
@@ -387,16 +455,23 @@ def _walk(kind: str, select: str) -> str:
     return sql.recursive(_TREE + sql.walk(kind, THETA), select)
 
 
-def _cross(kind: str = "bh") -> str:
+def _pairs(kind: str = "bh") -> tuple[str, str]:
+    """(CTEs of the walk of nd0 against nd1, whether its pairs t, s are far)."""
     ext, ok = sql.criterion(kind, THETA)
     ok = f"(({sql.D2}) > 0 AND {ok.replace('d2', f'({sql.D2})')})"
     leaf = "(t.lft < 0 AND s.lft < 0)"
-    trees_ = ", ".join(_renamed(sql.hierarchy(f"lv{k}") + "," + sql.GEOM, k) for k in (0, 1))
     sides = ", ".join(f"wn{k} AS (SELECT nd{k}.node_id, lft, rgt, {ext} AS ext, cx, cy, cz FROM nd{k} JOIN gm{k} USING (node_id))" for k in (0, 1))
     pairs = f"""w AS (SELECT CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b UNION ALL SELECT k.p, k.q FROM (
       SELECT unnest(CASE WHEN t.lft >= 0 AND (s.lft < 0 OR t.ext >= s.ext) THEN [{{'p': t.lft, 'q': s.node_id}}, {{'p': t.rgt, 'q': s.node_id}}] ELSE [{{'p': t.node_id, 'q': s.lft}}, {{'p': t.node_id, 'q': s.rgt}}] END) AS k
       FROM w JOIN wn0 t ON t.node_id = w.a JOIN wn1 s ON s.node_id = w.b WHERE NOT {ok} AND NOT {leaf}))"""
-    return sql.recursive(f"{_DOMAINS}, {_LOCAL}, {trees_}, {sides}, {pairs}", f"SELECT w.a AS target, w.b AS source, CAST(CASE WHEN {ok} THEN 0 ELSE 1 END AS BIGINT) AS kind FROM w JOIN wn0 t ON t.node_id = w.a JOIN wn1 s ON s.node_id = w.b WHERE {ok} OR {leaf}")
+    return f"{sides}, {pairs}", ok
+
+
+def _cross(kind: str = "bh") -> str:
+    pairs, ok = _pairs(kind)
+    leaf = "(t.lft < 0 AND s.lft < 0)"
+    trees_ = ", ".join(_renamed(sql.hierarchy(f"lv{k}") + "," + sql.GEOM, k) for k in (0, 1))
+    return sql.recursive(f"{_DOMAINS}, {_LOCAL}, {trees_}, {pairs}", f"SELECT w.a AS target, w.b AS source, CAST(CASE WHEN {ok} THEN 0 ELSE 1 END AS BIGINT) AS kind FROM w JOIN wn0 t ON t.node_id = w.a JOIN wn1 s ON s.node_id = w.b WHERE {ok} OR {leaf}")
 
 
 def _cross_all(kind: str = "bh") -> str:
@@ -407,6 +482,64 @@ def _cross_all(kind: str = "bh") -> str:
     return " UNION ALL ".join(f"SELECT CAST({a} AS BIGINT) AS target_domain, CAST({b} AS BIGINT) AS source_domain, * FROM ({one(a, b)})" for a, b in permutations(range(DOMAINS), 2))
 
 
+def _coarse(where: str = "") -> str:
+    """CTEs ce (the domains' leaves in order along the curve), and its tree as nd1, with balls as gm1."""
+    balls = sql.GEOM.replace("min(x)", "min(x - r)").replace("max(x)", "max(x + r)").replace("min(y)", "min(y - r)").replace("max(y)", "max(y + r)").replace("min(z)", "min(z - r)").replace("max(z)", "max(z + r)")
+    return f"""ft AS (SELECT domain, local // {LEAF} AS own, sum(mass * x) / sum(mass) AS x, sum(mass * y) / sum(mass) AS y, sum(mass * z) / sum(mass) AS z FROM dm GROUP BY ALL),
+fu AS (SELECT *, sqrt((SELECT max((p.x - ft.x) * (p.x - ft.x) + (p.y - ft.y) * (p.y - ft.y) + (p.z - ft.z) * (p.z - ft.z)) FROM dm p WHERE p.domain = ft.domain AND p.local // {LEAF} = ft.own)) AS r FROM ft{where}),
+fb AS (SELECT * FROM fu, box), {sql.interleave('fb', 'fc', *map(sql.grid, 'xyz'))},
+bk1 AS (SELECT *, row_number() OVER (ORDER BY code, domain, own) - 1 AS local FROM fc),
+lv1 AS (SELECT local AS leaf, code, local AS lo, local AS hi FROM bk1), {_renamed(sql.hierarchy('lv1') + ',' + balls, 1)}"""
+
+
+def _halo(select: str) -> str:
+    """Over hl(viewer, domain, local, id, x, y, z, mass): the points that each viewer imports."""
+    pairs, ok = _pairs()
+    own = f"{_LOCAL.split(', bk1')[0]}, {_renamed(sql.hierarchy('lv0') + ',' + sql.GEOM, 0)}"
+    near = f"SELECT DISTINCT b.domain, b.own FROM w JOIN wn0 t ON t.node_id = w.a JOIN wn1 s ON s.node_id = w.b JOIN nd1 n ON n.node_id = w.b JOIN bk1 b ON b.local = n.lo WHERE NOT {ok} AND t.lft < 0 AND s.lft < 0"
+    one = lambda k: sql.recursive(f"{_DOMAINS}, {own}, {_coarse(' WHERE ft.domain <> 0')}, {pairs}", f"SELECT CAST({k} AS BIGINT) AS viewer, dm.* FROM dm JOIN ({near}) f ON f.domain = dm.domain AND f.own = dm.local // {LEAF}").replace("domain = 0", f"domain = {k}").replace("domain <> 0", f"domain <> {k}")
+    return f"WITH hl AS ({' UNION ALL '.join(f'SELECT * FROM ({one(k)})' for k in range(DOMAINS))}), {_DOMAINS} {select}"
+
+
+def _kd(rounds: int = 12) -> str:
+    """CTEs of the leaf k-d tree for up to {rounds} levels: kb (points with bucket), bk, nd and ks (splits)."""
+    out = f"""{sql.CLOUDS['emb']}, kc AS (SELECT count(*) AS total FROM pts),
+dp AS (SELECT CAST(CASE WHEN total <= {LEAF} THEN 0 ELSE least(length(bin((total + {LEAF - 1}) // {LEAF} - 1)), length(bin(total)) - 1) END AS BIGINT) AS d, total FROM kc),
+k0 AS (SELECT id, x, y, z, mass, CAST(0 AS BIGINT) AS bucket FROM pts)"""
+    for i in range(rounds):
+        out += f""",
+d{i} AS (SELECT bucket, count(*) AS n, CAST({_WIDEST} AS BIGINT) AS dim FROM k{i} GROUP BY bucket),
+r{i} AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY coord, id) - 1 AS w FROM (SELECT k.*, n, dim, CASE dim WHEN 0 THEN x WHEN 1 THEN y ELSE z END AS coord FROM k{i} k JOIN d{i} USING (bucket), dp WHERE dp.d > {i})),
+k{i + 1} AS (SELECT id, x, y, z, mass, bucket * 2 + CAST(w >= (n + 1) // 2 AS BIGINT) AS bucket FROM r{i} UNION ALL SELECT k.* FROM k{i} k, dp WHERE dp.d <= {i})"""
+    splits = " UNION ALL ".join(f"SELECT bucket + {2**i - 1} AS node_id, dim AS split_dim, max(coord) FILTER (w = (n + 1) // 2) AS split_value FROM r{i} GROUP BY bucket, dim" for i in range(rounds))
+    return out + f""",
+bk AS (SELECT *, row_number() OVER (ORDER BY bucket, id) - 1 AS pos FROM k{rounds}),
+en AS (SELECT bucket AS leaf, min(pos) AS lo, max(pos) AS hi FROM bk GROUP BY bucket),
+hp AS (SELECT node_id, length(bin(node_id + 1)) - 1 AS level, CAST(1 AS BIGINT) << d AS leaves, CAST(1 AS BIGINT) << (d - length(bin(node_id + 1)) + 1) AS below FROM (SELECT unnest(range(2 * (CAST(1 AS BIGINT) << d) - 1)) AS node_id, d FROM dp)),
+nd AS (SELECT h.node_id, CASE WHEN h.node_id = 0 THEN -1 ELSE (h.node_id - 1) // 2 END AS parent, h.node_id >= leaves - 1 AS is_leaf, CAST(level AS BIGINT) AS level, CASE WHEN h.node_id < leaves - 1 THEN 2 * h.node_id + 1 ELSE -1 END AS lft, CASE WHEN h.node_id < leaves - 1 THEN 2 * h.node_id + 2 ELSE -1 END AS rgt, a.lo, b.hi
+  FROM hp h JOIN en a ON a.leaf = (h.node_id + 1) * below - leaves JOIN en b ON b.leaf = (h.node_id + 2) * below - leaves - 1),
+ks AS ({splits})"""
+
+
+def _heap(rounds: int = 14) -> str:
+    """CTEs of the heap k-d tree for up to {rounds} levels: hn (nodes) and hq (points)."""
+    out = f"{sql.CLOUDS['emb']}, h0 AS (SELECT id, x, y, z, CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS start FROM pts)"
+    for i in range(rounds):
+        half = "(CAST(1 AS BIGINT) << (length(bin(n)) - 2))"
+        out += f""",
+d{i} AS (SELECT node, count(*) AS n, CASE WHEN count(*) <= {LEAF} THEN -1 ELSE CAST({_WIDEST} AS BIGINT) END AS dim FROM h{i} GROUP BY node),
+r{i} AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY coord, id) - 1 AS w, CASE WHEN dim >= 0 THEN {half} - 1 + least(n - 2 * {half} + 1, {half}) END AS cut FROM (SELECT h.*, n, dim, CASE dim WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN z END AS coord FROM h{i} h JOIN d{i} USING (node))),
+h{i + 1} AS (SELECT id, x, y, z, CASE WHEN w < cut THEN 2 * node + 1 ELSE 2 * node + 2 END AS node, CASE WHEN w < cut THEN start ELSE start + cut + 1 END AS start FROM r{i} WHERE dim >= 0 AND w <> cut)"""
+    every = " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(rounds))
+    return out + f""", hr AS ({every}),
+hq AS (SELECT id, node, start + w AS pos FROM hr WHERE dim < 0 OR w = cut),
+hn AS (SELECT node AS node_id, CASE WHEN node = 0 THEN -1 ELSE (node - 1) // 2 END AS parent, dim < 0 AS is_leaf, n, start AS lo, start + n - 1 AS hi, dim AS split_dim, CASE WHEN dim >= 0 THEN coord END AS split_value, CASE WHEN dim >= 0 THEN id ELSE -1 END AS pivot
+  FROM hr WHERE CASE WHEN dim < 0 THEN w = 0 ELSE w = cut END)"""
+
+
+_WIDEST = "CASE WHEN max(x) - min(x) >= max(y) - min(y) AND max(x) - min(x) >= max(z) - min(z) THEN 0 WHEN max(y) - min(y) >= max(z) - min(z) THEN 1 ELSE 2 END"
+
+
 def _octree_walk(select: str) -> str:
     return sql.recursive(f"{sql.bucketed('emb', LEAF)}, {sql.OCTREE}, {_OCT_PARENTS}, {_OCT_BOXES}{sql.cell_walk('bh', THETA)}", select)
 
@@ -528,7 +661,26 @@ SELECT leaf, {', '.join(f"round({a}0 + (j{a} + {e}) * (({a}1 - {a}0) / k), 9) +
     "octree_parents": f"WITH {sql.bucketed('emb', LEAF)}, {sql.OCTREE}, {_OCT_PARENTS} SELECT o.oct_id, coalesce(parent, -1) AS parent, CAST(CASE WHEN parent IS NULL THEN -1 ELSE (code >> (60 - 3 * pd)) & 7 END AS INTEGER) AS octant FROM o LEFT JOIN op USING (oct_id)",
     "prepared": sql.recursive(sql.tree("emb", 16) + sql.walk("bh", THETA), _STATS),
     "event_cells": f"WITH {sql.coded('events')} SELECT epoch_us(time_bucket(INTERVAL 1 DAY, CAST(ts AS TIMESTAMP), TIMESTAMP '1970-01-01')) AS start, code >> 57 AS cell, count(*) AS n, sum(mass) AS mass FROM cd JOIN events ON event_id = id GROUP BY 1, 2",
-    "reverse_halo": f"WITH {_DOMAINS} SELECT domain, local, round(-x * 3, 6) + 0 AS fx, round(-y * 3, 6) + 0 AS fy, round(-z * 3, 6) + 0 AS fz FROM dm",
+    "reverse_halo": _halo(f"""SELECT hl.domain, hl.local, {', '.join(f'round(sum(-(mass * vmass * ({a} - v{a}))), 5) + 0 AS f{a}' for a in 'xyz')} FROM hl JOIN (SELECT domain AS viewer, sum(mass) AS vmass, sum(mass * x) / sum(mass) AS vx, sum(mass * y) / sum(mass) AS vy, sum(mass * z) / sum(mass) AS vz FROM dm GROUP BY domain) USING (viewer) GROUP BY ALL"""),
+    "halo_import": _halo(f"SELECT domain * {domains.STRIDE} + local AS gid, domain, local // {LEAF} AS leaf, local, id, viewer FROM hl"),
+    "coarse_nodes": f"""WITH {_DOMAINS}, {_coarse()} SELECT node_id, parent, lft AS "left", rgt AS "right", is_leaf, level, nd1.lo, nd1.hi, (SELECT CASE WHEN min(domain) = max(domain) THEN min(domain) ELSE -1 END FROM bk1 WHERE local BETWEEN nd1.lo AND nd1.hi) AS owner, {_R6('cx', 'cy', 'cz', 'radius')} FROM nd1 JOIN gm1 USING (node_id)""",
+    "near_blocks": _walk("bh", f"""SELECT target, source, k, n, place - k AS first_place, nth_target, sum(CAST(k % {BLOCK} = 0 AS BIGINT)) OVER (ORDER BY target, source)::BIGINT - 1 AS block FROM (SELECT target, source, row_number() OVER (PARTITION BY target ORDER BY source) - 1 AS k, count(*) OVER (PARTITION BY target) AS n, row_number() OVER (ORDER BY target, source) - 1 AS place, dense_rank() OVER (ORDER BY target) - 1 AS nth_target FROM ({sql.NEAR}))"""),
+    "far_by_level": _walk("bh", f"SELECT target, source, level AS target_level, row_number() OVER (ORDER BY level, target, source) - 1 AS place, rank() OVER (ORDER BY level) - 1 AS level_start FROM ({sql.FAR}) JOIN nd ON node_id = target"),
+    "moments_packed": f"WITH {_TREE}, cn AS ({sql.central(3)}) SELECT node_id, unnest(range({moments.total_coefficients(3)})) AS slot, unnest([{', '.join(moments.name(m) for m in moments.all_indices(3))}]) AS value FROM cn",
+    "moments_dense": f"WITH {_TREE}, cn AS ({sql.central(2)}) SELECT node_id, unnest(range(27)) AS slot, unnest([{', '.join(f'm{i}{j}{k}' if i + j + k <= 2 else '0.0::DOUBLE' for i in range(3) for j in range(3) for k in range(3))}]) AS value FROM cn",
+    "moment_layout": "SELECT o AS order_, i, j, o - i - j AS k, row_number() OVER (PARTITION BY o ORDER BY i DESC, j DESC) - 1 AS nth, row_number() OVER (ORDER BY o, i DESC, j DESC) - 1 AS place, count(*) OVER (PARTITION BY o) AS size, CAST(factorial(CAST(i AS INTEGER)) * factorial(CAST(j AS INTEGER)) * factorial(CAST(o - i - j AS INTEGER)) AS BIGINT) AS factorial FROM range(5) a(o), range(5) b(i), range(5) c(j) WHERE i + j <= o",
+    "leaf_kd": f"WITH {_kd()} SELECT node_id, parent, is_leaf, level, lo, hi, coalesce(split_dim, -1) AS split_dim, split_value FROM nd LEFT JOIN ks USING (node_id)",
+    "leaf_kd_walk": sql.recursive(_kd() + "," + sql.GEOM + sql.walk("dehnen", THETA).replace("radius AS ext", "radius * 1.2::DOUBLE AS ext"), _STATS),
+    "heap_kd": f"WITH {_heap()} SELECT * FROM hn",
+    "heap_kd_points": f"WITH {_heap()} SELECT * FROM hq",
+    "uniform_view": f"""WITH {_CELLS}{sql.NUMBERED} SELECT a.cell_id, a.level, a.cell, a.n, coalesce(p.cell_id, -1) AS parent, CASE WHEN p.cell_id IS NULL THEN -1 ELSE row_number() OVER (PARTITION BY p.cell_id ORDER BY a.cell_id) - 1 END AS nth,
+  (SELECT count(*) FROM nc c WHERE c.level = a.level + 1 AND c.cell >> 3 = a.cell) AS n_children, coalesce((SELECT min(cell_id) FROM nc c WHERE c.level = a.level + 1 AND c.cell >> 3 = a.cell), -1) AS first_child,
+  (SELECT count(*) FROM pl WHERE pl.code < a.cell << CAST(3 * ({DEPTH} - a.level) AS BIGINT)) AS lo, (SELECT count(*) FROM pl WHERE pl.code < (a.cell + 1) << CAST(3 * ({DEPTH} - a.level) AS BIGINT)) - 1 AS hi, (SELECT min(cell_id) FROM nc c WHERE c.level = a.level) AS level_start
+FROM nc a LEFT JOIN nc p ON p.level = a.level - 1 AND p.cell = a.cell >> 3""",
+    "fixed_depth_walk": sql.recursive(f"""{_FIXED}, fc AS (SELECT unnest(range(CAST(pow(8, d) AS BIGINT))) AS leaf, pow(2.0::DOUBLE, d) AS k, d FROM dp), {sql.deinterleave('fc', 'cj', 'leaf')},
+lb AS (SELECT leaf, {', '.join(f"{a}0 + (j{a} + {e}) * (({a}1 - {a}0) / k) AS b{a}{e}" for a in 'xyz' for e in (0, 1))} FROM cj, box),
+lv AS (SELECT leaf, leaf << CAST(63 - 3 * d AS BIGINT) AS code, (SELECT count(*) FROM cd WHERE cd.code >> CAST(63 - 3 * fc.d AS BIGINT) < fc.leaf) AS lo, (SELECT count(*) FROM cd WHERE cd.code >> CAST(63 - 3 * fc.d AS BIGINT) <= fc.leaf) - 1 AS hi FROM fc), {sql.hierarchy()},
+gm AS (SELECT *, sqrt(hx * hx + hy * hy + hz * hz) AS radius, greatest(hx, hy, hz) AS max_extent FROM (SELECT node_id, {', '.join(f"(min(b{a}0) + max(b{a}1)) * 0.5::DOUBLE AS c{a}, greatest((max(b{a}1) - min(b{a}0)) * 0.5::DOUBLE, 1e-6::DOUBLE) AS h{a}" for a in 'xyz')} FROM nd JOIN lb ON lb.leaf BETWEEN nd.first AND nd.last GROUP BY node_id)){sql.walk('bh', THETA)}""", _STATS),
 }
 
 
