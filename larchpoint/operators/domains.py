@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larchpoint.functions import morton
 from larchpoint.functions.morton import Bounds
 from larchpoint.operators import geometry, radix
-from larchpoint.operators.walk import Rules, Walk, walk
-from larchpoint.storage import keep
+from larchpoint.operators.walk import NEAR, REFINE, Rules, Walk, walk
+from larchpoint.storage import keep, with_rank
 
 #: A particle's global number is its domain times this, plus its place there.
 STRIDE = 1 << 40
@@ -67,6 +67,42 @@ def local_tree(decomposed: DataFrame, domain: int, leaf_size: int) -> LocalTree:
     return LocalTree(rows, nodes, keep(geometry.geometry(rows, nodes)))
 
 
+def forest(decomposed: DataFrame, leaf_size: int) -> LocalTree:
+    """The radix trees of all domains at once, told apart by the column domain."""
+    rows = keep(radix.bucket(decomposed.withColumn("pos", F.col("local")), leaf_size))
+    nodes = keep(radix.hierarchy(radix.leaves(rows, ["domain"]), ["domain"]))
+    return LocalTree(rows, nodes, keep(geometry.geometry(rows, nodes, by=["domain"])))
+
+
+def numbered(nodes: DataFrame, tree: str) -> DataFrame:
+    """The nodes of a forest with ids of their own (g), tree by tree, and their children's (gleft, gright; -1)."""
+    sizes = nodes.groupBy(tree).agg(F.count("*").alias("size"))  # a row a tree
+    base = F.sum("size").over(Window.orderBy(tree)) - F.col("size")
+    rows = nodes.join(sizes.select(tree, base.alias("base")), tree)
+    child = lambda c: F.when(F.col(c) < 0, -1).otherwise(F.col("base") + F.col(c)).cast("long").alias("g" + c)
+    return rows.select(tree, "node_id", (F.col("base") + F.col("node_id")).alias("g"), "parent", child("left"), child("right"))
+
+
+def walk_forests(targets: LocalTree, sources: LocalTree, pairs: DataFrame, rules: Rules | None = None, tree: str = "domain") -> DataFrame:
+    """The walks of many pairs of trees as one: target_tree, source_tree, target, source, action (ACCEPT or NEAR).
+
+    pairs: target_tree, source_tree, the values of column `tree` that tell the trees of both forests apart.
+    """
+    sides = []
+    for x, f in (("target", targets), ("source", sources)):
+        ids = keep(numbered(f.nodes, tree))
+        nodes = ids.select(F.col("g").alias("node_id"), F.col("gleft").alias("left"), F.col("gright").alias("right"))
+        geom = f.geom.join(ids.select(tree, "node_id", "g"), [tree, "node_id"]).drop(tree, "node_id").withColumnRenamed("g", "node_id")
+        names = ids.select(F.col(tree).alias(f"{x}_tree"), F.col("node_id").alias(x), F.col("g").alias(f"g_{x}"))
+        roots = ids.where("parent < 0").select(F.col(tree).alias(f"{x}_tree"), F.col("g").alias(x[0]))
+        sides.append((nodes, geom, names, roots))
+    (tn, tg, t_names, t_roots), (sn, sg, s_names, s_roots) = sides
+    roots = pairs.join(t_roots, "target_tree").join(s_roots, "source_tree").select(F.col("t").alias("a"), F.col("s").alias("b"))
+    found = walk(tn, tg, rules, (sn, sg), roots=roots).pairs.where(F.col("action") != REFINE)
+    rows = found.select(F.col("a").alias("g_target"), F.col("b").alias("g_source"), "action")
+    return rows.join(t_names, "g_target").join(s_names, "g_source").select("target_tree", "source_tree", "target", "source", "action")
+
+
 def frontier(decomposed: DataFrame, leaf_size: int) -> DataFrame:
     """Per domain and leaf: n, first and last point, mass, centre of mass, and the largest distance from it."""
     rows = decomposed.withColumn("leaf", F.floor(F.col("local") / leaf_size).cast("long"))
@@ -91,6 +127,35 @@ def remote_tree(front: DataFrame, domain: int, bounds: Bounds) -> tuple[DataFram
     return coarse_tree(front.where(F.col("domain") != domain), bounds)
 
 
+def remote_forest(front: DataFrame, bounds: Bounds) -> tuple[DataFrame, LocalTree]:
+    """(entries, trees): the coarse trees that all domains see, told apart by the column viewer.
+
+    Every frontier leaf is in the tree of each domain but its own; domains are as many rows as there are domains.
+    """
+    viewers = front.select(F.col("domain").alias("viewer")).distinct()
+    seen = front.join(F.broadcast(viewers), F.col("viewer") != F.col("domain"))  # a row a domain
+    points = seen.select("viewer", (F.col("domain") * STRIDE + F.col("leaf")).alias("id"), *(F.col(f"com{a}").alias(a) for a in "xyz"), "mass", "radius", "domain", F.col("leaf").alias("own_leaf"))
+    ranked = with_rank(morton.with_code(points, bounds), ["viewer", "code", "id"])
+    first = ranked.groupBy("viewer").agg(F.min("pos").alias("first"))
+    rows = keep(radix.bucket(ranked.join(first, "viewer").withColumn("pos", F.col("pos") - F.col("first")).drop("first"), 1))
+    nodes = keep(radix.hierarchy(radix.leaves(rows, ["viewer"]), ["viewer"]))
+    return rows, LocalTree(rows, nodes, keep(geometry.geometry(rows, nodes, "radius", ["viewer"])))
+
+
+def halos(decomposed: DataFrame, leaf_size: int, bounds: Bounds, rules: Rules | None = None) -> DataFrame:
+    """import_halo() of every domain, the viewer: gid, domain, leaf, local, id, viewer."""
+    local = forest(decomposed, leaf_size)
+    entries, remote = remote_forest(keep(frontier(decomposed, leaf_size)), bounds)
+    local = LocalTree(*(df.withColumnRenamed("domain", "viewer") for df in (local.points, local.nodes, local.geom)))
+    viewers = local.nodes.where("parent < 0").select(F.col("viewer").alias("target_tree"), F.col("viewer").alias("source_tree"))
+    near = walk_forests(local, remote, viewers, rules, "viewer").where(F.col("action") == NEAR)
+    needed = near.select(F.col("source_tree").alias("viewer"), F.col("source").alias("node_id")).distinct()
+    leaf = remote.nodes.where("is_leaf").select("viewer", "node_id", F.col("first").alias("leaf")).join(entries.select("viewer", "leaf", "domain", "own_leaf"), ["viewer", "leaf"]).drop("leaf")
+    wanted = needed.join(leaf, ["viewer", "node_id"]).select("viewer", "domain", F.col("own_leaf").alias("leaf"))
+    rows = decomposed.withColumn("leaf", F.floor(F.col("local") / leaf_size).cast("long"))
+    return rows.join(wanted, ["domain", "leaf"]).select((F.col("domain") * STRIDE + F.col("local")).alias("gid"), "domain", "leaf", "local", "id", "viewer")
+
+
 def classify(local: LocalTree, remote: tuple[DataFrame, DataFrame, DataFrame], rules: Rules | None = None) -> Walk:
     """Pairs of a domain's nodes with remote ones."""
     return walk(local.nodes, local.geom, rules, (remote[1], remote[2]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import comb, factorial
 
 from pyspark.sql import Column, DataFrame
@@ -81,11 +82,11 @@ def packed_multipoles(bucketed: DataFrame, nodes: DataFrame, order: int) -> Data
     return rows.select("node_id", "comx", "comy", "comz", pack([F.col(name(m)) for m in all_indices(order)]).alias("packed"))
 
 
-def mass_moments(bucketed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node_id, mass, comx, comy, comz; without mass the centre is 0."""
-    sums = bucketed.groupBy("leaf").agg(F.sum("mass").alias("mass"), *(F.sum(F.col("mass") * F.col(a)).alias(f"s{a}") for a in "xyz"))
-    total = over_leaves(nodes, sums, dict.fromkeys(("mass", "sx", "sy", "sz"), F.sum))
-    return total.select("node_id", "mass", *(F.when(F.col("mass") != 0, F.col(f"s{a}") / F.col("mass")).otherwise(0.0).alias(f"com{a}") for a in "xyz"))
+def mass_moments(bucketed: DataFrame, nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """node_id, mass, comx, comy, comz; without mass the centre is 0. by: columns that tell trees apart."""
+    sums = bucketed.groupBy(*by, "leaf").agg(F.sum("mass").alias("mass"), *(F.sum(F.col("mass") * F.col(a)).alias(f"s{a}") for a in "xyz"))
+    total = over_leaves(nodes, sums, dict.fromkeys(("mass", "sx", "sy", "sz"), F.sum), by)
+    return total.select(*by, "node_id", "mass", *(F.when(F.col("mass") != 0, F.col(f"s{a}") / F.col("mass")).otherwise(0.0).alias(f"com{a}") for a in "xyz"))
 
 
 def raw_moments(bucketed: DataFrame, nodes: DataFrame, order: int) -> DataFrame:

@@ -167,7 +167,7 @@ def _rows(a: np.ndarray, b: np.ndarray, action: np.ndarray, tag: np.ndarray, bac
 SCHEMA = "a long, b long, action long, tag long, back_tag long, round long"
 
 
-def in_tasks(targets: DataFrame, sources: DataFrame | None, rules: Rules) -> DataFrame:
+def in_tasks(targets: DataFrame, sources: DataFrame | None, rules: Rules, roots: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b, action, tag, back_tag, round); rows of action REFINE count refined pairs in tag."""
     spark = targets.sparkSession
     ship(spark)
@@ -175,7 +175,11 @@ def in_tasks(targets: DataFrame, sources: DataFrame | None, rules: Rules) -> Dat
     t = Nodes.collect(targets)
     s = Nodes.collect(sources) if cross else t
     done, number = [], 0
-    a, b = np.array([t.root()]), np.array([s.root()])
+    if roots is None:
+        a, b = np.array([t.root()]), np.array([s.root()])
+    else:
+        held = roots.select("a", "b").toArrow()  # pairs of trees
+        a, b = held["a"].to_numpy(), held["b"].to_numpy()
     while len(a) and len(a) < FRONTIER and sum(x.num_rows for x in done) < 4 * FRONTIER:
         action, tag, back, na, nb = step(t, s, a, b, rules, cross)
         done.append(_rows(a, b, action, tag, back, number))
@@ -207,7 +211,7 @@ def in_tasks(targets: DataFrame, sources: DataFrame | None, rules: Rules) -> Dat
 # -- joins
 
 
-def by_rounds(targets: DataFrame, sources: DataFrame | None, rules: Rules) -> DataFrame:
+def by_rounds(targets: DataFrame, sources: DataFrame | None, rules: Rules, roots: DataFrame | None = None) -> DataFrame:
     """The same as in_tasks, one join round after the other."""
     cross = sources is not None
     side = lambda df, x: df.select(*(F.col(c).alias(f"{x}_{c}") for c in ("node_id", "kids", "ext", "cx", "cy", "cz")))
@@ -216,7 +220,7 @@ def by_rounds(targets: DataFrame, sources: DataFrame | None, rules: Rules) -> Da
     t, s = side(targets, "a"), side(sources, "b")
     kids = lambda df: df.select(F.explode("kids").alias("node_id"))
     root = lambda df: df.select("node_id").join(kids(df), "node_id", "left_anti")
-    frontier = root(targets).select(F.col("node_id").alias("a")).crossJoin(root(sources).select(F.col("node_id").alias("b")))  # one row each
+    frontier = keep(roots.select("a", "b")) if roots is not None else root(targets).select(F.col("node_id").alias("a")).crossJoin(root(sources).select(F.col("node_id").alias("b")))  # one row each
     out, number = None, 0
     select = lambda c, x, y: F.when(c, x).otherwise(y)
     while True:
@@ -238,7 +242,7 @@ def by_rounds(targets: DataFrame, sources: DataFrame | None, rules: Rules) -> Da
         bad = (F.col("action") == NEAR) & ~(leaf_a & leaf_b) | (F.col("action") == REFINE) & leaf_a & leaf_b & different
         if rules.policy and not rows.where(bad).isEmpty():
             raise ValueError("a policy must name leaf pairs near or accept them, and name no other pair near")
-        if number:
+        if number or roots is not None:
             forget(frontier)
         done = rows.where(F.col("action") != REFINE).select("a", "b", "action", "tag", "back_tag", F.lit(number).cast("long").alias("round"))
         going = rows.where(F.col("action") == REFINE)
@@ -287,10 +291,11 @@ class Walk:
         return self.pairs.agg(n(ACCEPT).alias("accepted"), n(NEAR).alias("near"), n(REFINE, F.col("tag")).alias("refined"), (F.max("round") + 1).alias("rounds"))
 
 
-def walk(nodes: DataFrame, geom: DataFrame, rules: Rules | None = None, sources: tuple[DataFrame, DataFrame] | None = None, broadcast_nodes: int = NODES) -> Walk:
-    """A tree against itself, or against the tree `sources` (nodes, geom): ordered (target, source) pairs then."""
+def walk(nodes: DataFrame, geom: DataFrame, rules: Rules | None = None, sources: tuple[DataFrame, DataFrame] | None = None, broadcast_nodes: int = NODES, roots: DataFrame | None = None) -> Walk:
+    """A tree against itself, or against the tree `sources` (nodes, geom): ordered (target, source) pairs then. With
+    roots (a, b), the nodes are those of many trees, and the walk starts at these pairs of roots."""
     rules = rules or Rules()
     t = keep(mac_nodes(nodes, geom, rules))
     s = keep(mac_nodes(*sources, rules)) if sources else None
     few = t.count() + (s.count() if s is not None else 0) <= broadcast_nodes
-    return Walk(keep((in_tasks if few else by_rounds)(t, s, rules)), sources is not None)
+    return Walk(keep((in_tasks if few else by_rounds)(t, s, rules, roots)), sources is not None)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property, partial, reduce
+from functools import cached_property, partial
 from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -170,18 +170,12 @@ def frontier(s: SparkSession, d: str) -> DataFrame:
     return rounded(domains.frontier(split(s, d), LEAF), ["mass", "comx", "comy", "comz", "radius"])
 
 
-def local_trees(s: SparkSession, d: str) -> list[domains.LocalTree]:
-    rows = split(s, d)
-    return [domains.local_tree(rows, k, LEAF) for k in range(DOMAINS)]
-
-
 def crossed(s: SparkSession, d: str, mutual: bool = False) -> DataFrame:
     """The pairs of the walk of every domain against every other: target_domain, source_domain, target, source, kind."""
-    local, parts = local_trees(s, d), []
-    for a, b in permutations(range(DOMAINS), 2):
-        pairs = walk.walk(local[a].nodes, local[a].geom, walk.Rules(THETA, mutual=mutual), (local[b].nodes, local[b].geom)).pairs.where(F.col("action") != walk.REFINE)
-        parts.append(pairs.select(F.lit(a).cast("long").alias("target_domain"), F.lit(b).cast("long").alias("source_domain"), F.col("a").alias("target"), F.col("b").alias("source"), F.col("action").alias("kind")))
-    return reduce(DataFrame.unionByName, parts)
+    trees_ = domains.forest(split(s, d), LEAF)
+    pairs = s.createDataFrame(list(permutations(range(DOMAINS), 2)), "target_tree long, source_tree long")
+    found = domains.walk_forests(trees_, trees_, pairs, walk.Rules(THETA, mutual=mutual))
+    return found.toDF("target_domain", "source_domain", "target", "source", "kind")
 
 
 def owned(s: SparkSession, d: str) -> DataFrame:
@@ -196,26 +190,19 @@ def mutual_owned(s: SparkSession, d: str) -> DataFrame:
 
 def domain_node_moments(s: SparkSession, d: str) -> DataFrame:
     """Mass and centre of every node of every domain's tree."""
-    parts = [moments.mass_moments(t.points, t.nodes).withColumn("domain", F.lit(k).cast("long")) for k, t in enumerate(local_trees(s, d))]
-    return rounded(reduce(DataFrame.unionByName, parts), ["mass", "comx", "comy", "comz"])
+    t = domains.forest(split(s, d), LEAF)
+    return rounded(moments.mass_moments(t.points, t.nodes, ["domain"]), ["mass", "comx", "comy", "comz"])
 
 
 def domain_nodes(s: SparkSession, d: str) -> DataFrame:
     """The nodes of every domain's tree."""
-    return reduce(DataFrame.unionByName, [node_columns(t.nodes).withColumn("domain", F.lit(k).cast("long")) for k, t in enumerate(local_trees(s, d))])
+    return domains.forest(split(s, d), LEAF).nodes.select("domain", "node_id", "parent", "left", "right", "is_leaf", "level", "lo", "hi")
 
 
 def halo(s: SparkSession, d: str) -> DataFrame:
     """The halo of every domain, the viewer."""
     rows = split(s, d)
-    box = points.infer_bounds(rows)
-    front = keep(domains.frontier(rows, LEAF))
-    parts = []
-    for viewer in range(DOMAINS):
-        local, remote = domains.local_tree(rows, viewer, LEAF), domains.remote_tree(front, viewer, box)
-        near = domains.classify(local, remote, walk.Rules(THETA)).near
-        parts.append(domains.import_halo(near, remote[0], remote[1], rows, LEAF).withColumn("viewer", F.lit(viewer).cast("long")))
-    return reduce(DataFrame.unionByName, parts)
+    return domains.halos(rows, LEAF, points.infer_bounds(rows), walk.Rules(THETA))
 
 
 def returned(s: SparkSession, d: str) -> DataFrame:
