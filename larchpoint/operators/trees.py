@@ -179,8 +179,8 @@ def leaf_kd(points: DataFrame, leaf_size: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _left_size(n: Column) -> Column:
-    """Points below the left child of a left-balanced node over n: only its last level may be short, at the right."""
-    half = F.call_function("shiftleft", F.lit(1).cast("long"), (F.length(F.bin(n)) - 2).cast("int"))
+    """Points below the left child of a left-balanced node over n: only its last level may be short, at the right. 0 for n = 1."""
+    half = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(n)) - 2, F.lit(0)).cast("int"))
     return half - 1 + F.least(n - 2 * half + 1, half)
 
 
