@@ -44,6 +44,36 @@ def test_compressed_rows(spark):
     assert sorted((r["target"], r["k"], r["source"], r["count"]) for r in rows) == [(1, 0, 9, 1), (3, 0, 1, 3), (3, 1, 4, 3), (3, 2, 5, 3), (7, 0, 2, 1)]
 
 
+def test_blocks_of_sources(spark):
+    pairs = [(t, s) for t, n in ((4, 7), (9, 1), (2, 4), (5, 3)) for s in range(n)]
+    rows = layout.target_blocks(spark.createDataFrame(pairs, "target long, source long"), 3).collect()
+    want, block, first = [], -1, 0
+    for row, (t, n) in enumerate(((2, 4), (4, 7), (5, 3), (9, 1))):
+        for s in range(n):
+            block += s % 3 == 0
+            want.append((t, s, s, n, first, row, block))
+        first += n
+    assert sorted((r["target"], r["source"], r["k"], r["count"], r["first"], r["row"], r["block"]) for r in rows) == want
+
+
+def test_sums_before_each_row_across_blocks(spark):
+    rows = spark.range(10_000).select("id", (F.col("id") % 7).alias("n"))
+    got = {r["id"]: r["first"] for r in layout.starts(rows, "id", "n").collect()}
+    total = 0
+    for i in range(10_000):
+        assert got[i] == total
+        total += i % 7
+
+
+def test_dense_moments_come_back(spark):
+    packed = spark.createDataFrame([([float(i + 1) for i in range(20)],)], "p array<double>")
+    row = packed.select("p", moments.densify(F.col("p"), 3).alias("d")).select("p", "d", moments.from_dense(F.col("d"), 3).alias("q")).head()
+    assert row["p"] == row["q"] and len(row["d"]) == 64
+    for n, (i, j, k) in enumerate(moments.all_indices(3)):
+        assert row["d"][(i * 4 + j) * 4 + k] == n + 1.0
+    assert sum(x != 0 for x in row["d"]) == 20
+
+
 def test_single_owner_and_places_in_aligned_domains(spark):
     df = frame(spark, cloud("uniform", 60))
     rows = keep(domains.nth_in_domain(domains.decompose(df, 3, points.infer_bounds(df), align_level=1)))

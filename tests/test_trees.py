@@ -230,6 +230,53 @@ def test_domains_cover_all_pairs_through_halos(spark):
         domains.decompose(df, 3, box, equalize=True, align_level=1)
 
 
+@pytest.mark.parametrize("kind", ["clustered", "ties"])
+def test_forest_equals_trees_of_one_domain(spark, kind):
+    df = frame(spark, cloud(kind, 90))
+    # Domain 3 has one leaf only.
+    split = keep(domains.decompose(df, 3, points.infer_bounds(df), equalize=True).withColumn("domain", F.when((F.col("domain") == 2) & (F.col("local") < 4), 3).otherwise(F.col("domain")).cast("long")))
+    first = split.groupBy("domain").agg(F.min("pos").alias("first"))
+    split = keep(split.join(first, "domain").withColumn("local", F.col("pos") - F.col("first")).drop("first"))
+    every = domains.forest(split, 4)
+    box = points.infer_bounds(df)
+    front = keep(domains.frontier(split, 4))
+    halos = sorted((r["viewer"], r["gid"]) for r in domains.halos(split, 4, box).collect())
+    for k in (0, 2, 3):
+        one = domains.local_tree(split, k, 4)
+        for a, b in ((one.nodes, every.nodes), (one.geom, every.geom)):
+            assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.where(F.col("domain") == k).select(*a.columns).collect()))
+        remote = domains.remote_tree(front, k, box)
+        halo = domains.import_halo(domains.classify(one, remote).near, remote[0], remote[1], split, 4)
+        assert sorted(r["gid"] for r in halo.collect()) == [gid for v, gid in halos if v == k]
+
+
+@pytest.mark.parametrize(("kind", "n", "size"), [("uniform", 20, 1), ("clustered", 77, 8), ("ties", 64, 12), ("same", 16, 3), ("uniform", 5, 8)])
+def test_heap_kd_holds_pivots_between_halves(spark, kind, n, size):
+    p = cloud(kind, n)
+    rows, nodes = trees.heap_kd(frame(spark, p), size)
+    rows, nodes = rows.collect(), {r["node_id"]: r for r in nodes.collect()}
+    at = {r["pos"]: r for r in rows}
+    assert sorted(at) == list(range(len(p))) and sorted(r["id"] for r in rows) == list(range(len(p)))
+    for i, r in nodes.items():
+        assert r["n"] == r["hi"] - r["lo"] + 1 and r["is_leaf"] == (r["n"] <= size) and (i == 0 or r["parent"] == (i - 1) // 2)
+        if r["is_leaf"]:
+            assert {at[x]["node"] for x in range(r["lo"], r["hi"] + 1)} == {i}
+            continue
+        inside = np.array([p[at[x]["id"]] for x in range(r["lo"], r["hi"] + 1)])
+        assert r["split_dim"] == int(np.argmax(np.ptp(inside, axis=0)))
+        left, right = nodes[2 * i + 1], nodes.get(2 * i + 2)
+        middle = left["hi"] + 1
+        assert at[middle]["id"] == r["pivot"] and at[middle]["node"] == i and left["lo"] == r["lo"] and (right["lo"], right["hi"]) == (middle + 1, r["hi"]) if right else r["n"] == 2
+        values = inside[:, r["split_dim"]]
+        cut = middle - r["lo"]
+        assert values[cut] == r["split_value"] and (values[:cut] <= r["split_value"]).all() and (values[cut:] >= r["split_value"]).all()
+
+
+def test_heap_kd_without_points(spark):
+    rows, nodes = trees.heap_kd(frame(spark, cloud("uniform", 3)).limit(0), 4)
+    assert rows.isEmpty() and nodes.isEmpty() and {"node", "pos"} < set(rows.columns) and "pivot" in nodes.columns
+
+
 def test_queries_pair_and_own_all_domains(spark):
     sf = "/root/testdata/sf0.001"
     pairs = keep(queries.ALL["cross_owner"](spark, sf))
