@@ -15,6 +15,9 @@ all ROWS x BANDS coordinates. Equal sets are one node. Nodes that share a band a
 Links are confirmed on whole sets, computed from whole texts. Verification deals the members of a hub over salted
 groups, each with a copy of the hub's text, so no task holds a large group.
 
+All joins are sort-merge joins at every size: Spark takes hubs dealt over salts for as small as they were before, and
+would build tables of them in the driver that don't fit there.
+
 Null texts and texts without words have an empty set and are linked with nothing. With fewer words than a shingle has,
 the sequence of words is one shingle. Rows without doc_id take no part and are their own component (null). Rows that
 repeat a doc_id count as one document with several texts: what one of them is linked with, all are, empty texts
@@ -163,14 +166,18 @@ def verify(pairs: DataFrame, groups: DataFrame, texts: DataFrame, n: int, simila
     return both.mapInArrow(run, "hub long, id long")
 
 
+def dealt(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+    """rows (hub, id, ...) with the columns of their hub; a hub's rows are dealt over STAR_SALTS tasks."""
+    salted = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(STAR_SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(STAR_SALTS)).cast("int")).join(salted.hint("merge"), ["hub", "salt"]).drop("salt")
+
+
 def open_stars(tested: DataFrame, labels: DataFrame) -> DataFrame:
     """hub, id, label, n of all nodes of the stars that hold nodes of several components, the hubs among them."""
     tested = tested.select("hub", "id")
     rows = keep(labelled(tested.unionByName(tested.select("hub", F.col("hub").alias("id")).distinct()), labels))
     several = rows.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    # A hub's rows are dealt over STAR_SALTS tasks.
-    salted = several.select("hub", "n", F.explode(F.sequence(F.lit(0), F.lit(STAR_SALTS - 1))).alias("salt"))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(STAR_SALTS)).cast("int")).join(salted, ["hub", "salt"]).drop("salt")
+    return dealt(rows, several.select("hub", "n"))
 
 
 def in_blocks(stars: DataFrame, size: int) -> DataFrame:
@@ -283,10 +290,10 @@ def components(links: DataFrame) -> DataFrame:
         # Large star: every node passes its smallest neighbour to its larger ones.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: and to its smaller ones, itself included.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = large.join(least.hint("merge"), "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         last, edges = edges, keep(small)
         forget(last)
@@ -298,7 +305,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """rows with the label of their id, by default the id itself."""
-    return rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    return rows.join(labels.hint("merge"), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -322,7 +329,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, similar: tuple[int,
     near = keep(promising(stars, nodes, similar))
     if not near.isEmpty():
         some = near.groupBy("hub").agg(F.count("*").alias("n"))
-        chosen = stars.drop("n").join(near.hint("merge"), ["hub", "id"]).join(some, "hub")
+        chosen = dealt(stars.drop("n").join(near.hint("merge"), ["hub", "id"]), some)
         more = keep(compare_stars(chosen, texts, n, similar))
         if not more.isEmpty():
             labels = components(links.unionByName(more))

@@ -69,6 +69,29 @@ def test_stars_are_cut_into_blocks(spark, monkeypatch):
     assert got == linked_components(dict(rows), 2)
 
 
+def executions(store) -> list:
+    every = store.executionsList()
+    return [every.apply(i) for i in range(every.size())]
+
+
+def test_near_duplicates_build_no_table_in_the_driver(spark, monkeypatch):
+    """Every join is a sort-merge join, also where Spark takes a side for small."""
+    monkeypatch.setattr(minhash, "STAR_BLOCK", 4)
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    last = max((x.executionId() for x in executions(store)), default=-1)
+    stages = []
+    for name in ("components", "open_stars", "compare_stars"):
+        monkeypatch.setattr(minhash, name, lambda *a, f=getattr(minhash, name), name=name: stages.append(name) or f(*a))
+    rows = near_copies()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == linked_components(dict(rows), 2)
+    assert {*stages} == {"components", "open_stars", "compare_stars"}
+    bus.waitUntilEmpty()
+    plans = [x.physicalPlanDescription() for x in executions(store) if x.executionId() > last]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def brute_repeats(strings: list[bytes], length: int) -> list[np.ndarray]:
     every = [s[i : i + length] for s in strings for i in range(len(s) - length + 1)]
     return [np.array([every.count(s[i : i + length]) > 1 for i in range(len(s) - length + 1)], bool) for s in strings]
